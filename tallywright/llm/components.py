@@ -1,0 +1,32 @@
+"""Connected components over an edge table by alternating large-star and small-star steps."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tallywright.llm.common import settle
+
+
+def _star(edges: DataFrame, large: bool) -> DataFrame:
+    """Hang the neighbours of each node below its smallest one: larger neighbours, or smaller ones and itself."""
+    if large:
+        both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        out = both.filter("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+    else:
+        low = edges.groupBy("a").agg(F.min("b").alias("m"))
+        out = edges.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
+    return out.filter("a <> b").distinct()
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node, root for all nodes of edges (a, b): root is the smallest node reachable. Edges may repeat or be loops."""
+    state = settle(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
+    mark = None
+    while True:
+        state = settle(_star(_star(state, True), False))
+        now = state.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if now == mark:
+            return state.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        mark = now
