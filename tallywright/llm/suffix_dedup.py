@@ -1,16 +1,18 @@
 """Repeated substrings over a whole corpus by prefix-free parsing.
 
-Rolling-hash minima cut each text into phrases. A string of `length` bytes is then named by what parsing gives it and
-nothing else: its first and last trigger (the leftmost minima of the hash in its first and last window), the phrases
-between them, and how far it reaches over both. Neighbouring starts with the same two triggers form one run, so the
-corpus order of suffixes is needed per run (one per some 40 bytes) and not per byte:
+Minima of a rolling hash are triggers. The string of `length` bytes at a start is named by its first trigger (the
+leftmost minimum among its first `window` grams) and by the phrase there, of length - window + 1 bytes: both lie inside
+the string, so equal strings have the same phrase at the same distance. Neighbouring starts with one trigger form a
+run, so the corpus order of suffixes is made for runs, about one per half window, and not for bytes:
 
-1. the parse: a row per run with a digest of the phrases between its triggers and one of the whole run;
-2. runs whose phrases occur once in the corpus go; sorting by digest puts equal ones together;
-3. runs that are equal as a whole repeat at each of their starts; the others (edges of repeats) are settled by the
-   dictionary side: digests of each of their suffixes, again brought together by sorting.
+1. the parse: a row per run with a digest of its phrase and one of all its bytes (up to the end of its last string);
+2. runs whose phrase occurs once go; sorting by digests brings equal ones together;
+3. runs equal as a whole repeat at each of their starts, and one of each stands for all;
+4. where one phrase has different runs (edges of repeats), these are parsed again with a smaller window, down to a window
+   of one start, where phrase and string are the same.
 
-Only digests and places are shuffled in the first steps. Digests are 64 bits for candidates and 128 bits for decisions.
+Only digests and places are shuffled, and the texts of documents that have repeats. Digests are 64 bits for candidates
+and 128 bits for decisions. A bitmap of fixed size tells which documents may have repeats; it only saves shuffling.
 
 Defined results: a null text is empty; texts shorter than `length` keep all; equal rows count as copies of each other;
 an empty table gives an empty table; other columns pass through unchanged.
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tallywright.llm.common import append, fresh, settle
 
-GRAM, TILE = 16, 1 << 20
+GRAM, TILE = 16, 1 << 18
 _rng = np.random.default_rng(20240229)
 _VALUES = _rng.integers(1, 1 << 63, (2, 256), dtype=np.uint64) | np.uint64(1)
 _BASES = [int(x) | 5 for x in _rng.integers(1 << 62, 1 << 63, 2, dtype=np.uint64)]
@@ -95,24 +97,32 @@ def tiles(texts: list[bytes], length: int, size: int = TILE) -> Iterator[tuple[n
         yield np.frombuffer(b"".join(parts), np.uint8), spans
 
 
-def parse(texts: list[bytes], length: int, window: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """Runs of starts with the same triggers: text, first start, number of starts, digest of phrases, digest of the run."""
-    far = length - GRAM - window + 1
+def parse(texts: list[bytes], length: int, window: int, parts: list | None = None) -> Iterator[tuple[np.ndarray, ...]]:
+    """Runs of starts with one trigger: text, first start, number of starts, digest of the phrase, digest of the run.
+    parts: arrays of first starts and numbers of starts per text, if not all starts are wanted."""
+    phrase = length - window + 1
     for data, spans in tiles(texts, length):
-        low = _minima(data, window)
-        first, last = low[: len(data) - length + 1], low[far : far + len(data) - length + 1]
-        own = np.full(len(first), -1, np.int64)
-        for k, (_, _, at, n) in enumerate(spans):
-            own[at : at + n] = k
-        new = np.ones(len(first), bool)
-        new[1:] = (first[1:] != first[:-1]) | (last[1:] != last[:-1]) | (own[1:] != own[:-1])
+        n = len(data) - length + 1
+        first, own = _minima(data, window)[:n], np.full(n, -1, np.int64)
+        for k, (i, lo, at, many) in enumerate(spans):
+            if parts is None:
+                own[at : at + many] = k
+                continue
+            start, stop = np.maximum(parts[i][0] - lo, 0), np.minimum(parts[i][0] + parts[i][1] - lo, many)
+            start, stop = start[start < stop], stop[start < stop]
+            edge = np.zeros(many + 1, np.int64)
+            np.add.at(edge, start, 1)
+            np.add.at(edge, stop, -1)
+            own[at : at + many][np.cumsum(edge[:-1]) > 0] = k
+        new = np.ones(n, bool)
+        new[1:] = (first[1:] != first[:-1]) | (own[1:] != own[:-1])
         start = np.flatnonzero(new)
-        n = np.diff(start, append=len(first))
+        size = np.diff(start, append=n)
         good = own[start] >= 0
-        start, n = start[good], n[good]
-        d, k = Digests(data), own[start]
-        table = np.array(spans, np.int64)
-        yield table[k, 0], start - table[k, 2] + table[k, 1], n, d.of(0, first[start], last[start] + GRAM), d.of(1, start, start + n + length - 1)
+        start, size = start[good], size[good]
+        if len(start):
+            d, k, table = Digests(data), own[start], np.array(spans, np.int64)
+            yield table[k, 0], start - table[k, 2] + table[k, 1], size, d.of(0, first[start], first[start] + phrase), d.of(1, start, start + size + length - 1)
 
 
 def _utf8(texts: pa.Array) -> list[bytes]:
@@ -120,89 +130,102 @@ def _utf8(texts: pa.Array) -> list[bytes]:
 
 
 def runs(keyed: DataFrame, length: int, window: int) -> DataFrame:
-    """The parse of documents (id, check, text): one row per run."""
+    """The parse of documents (id, check, text, and the wanted starts if there is a fourth column): a row per run."""
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, checks = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
-            for doc, start, n, key, whole in parse(_utf8(b.column(2)), length, window):
+            parts = [[x.values.field(f).to_numpy() for f in (0, 1)] for x in b.column(3)] if b.num_columns > 3 else None
+            for doc, start, n, key, whole in parse(_utf8(b.column(2)), length, window, parts):
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(whole), pa.array(ids[doc]), pa.array(checks[doc]), pa.array(start), pa.array(n.astype(np.int32))], names=["key", "whole", "id", "check", "start", "n"])
 
     return keyed.mapInArrow(fn, "key long, whole long, id long, check int, start long, n int")
 
 
-def _suffixes(joined: DataFrame, length: int) -> DataFrame:
-    """A digest of 128 bits for each start of the runs left open."""
+class Likely:
+    """Which documents (id, check) of a table there may be: a bitmap of 2 ** 24 bits, whatever the table's size."""
 
-    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i, text in enumerate(_utf8(b.column(2))):
-                todo = b.column(3)[i].values
-                for lo in range(0, len(text) - length + 1, TILE):
-                    data = np.frombuffer(text[lo : lo + TILE + length - 1], np.uint8)
-                    start = todo.field(0).to_numpy() - lo
-                    n, open_ = todo.field(1).to_numpy(), todo.field(2).to_numpy(zero_copy_only=False)
-                    here = (start >= 0) & (start < TILE)
-                    start, n, open_ = start[here], n[here], open_[here]
-                    if len(start):
-                        at = np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
-                        d = Digests(data)
-                        m = len(at)
-                        yield pa.RecordBatch.from_arrays([pa.array(d.of(0, at, at + length)), pa.array(d.of(1, at, at + length)), pa.array(np.full(m, b.column(0)[i].as_py())), pa.array(np.full(m, b.column(1)[i].as_py(), np.int32)), pa.array(at + lo), pa.array(np.repeat(open_, n))], names=["h1", "h2", "id", "check", "start", "open"])
-
-    return joined.mapInArrow(fn, "h1 long, h2 long, id long, check int, start long, open boolean")
-
-
-def repeated_starts(keyed: DataFrame, length: int = 400, window: int | None = None) -> DataFrame:
+    BITS = 1 << 24
+
+    def __init__(self, table: DataFrame):
+        bit = F.pmod(F.xxhash64("id", "check"), F.lit(self.BITS))
+        rows = table.groupBy(F.bitmap_bucket_number(bit).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
+        bits = np.zeros((self.BITS >> 15) + 1, "V4096")
+        for r in rows.collect():
+            bits[r["k"] - 1] = bytes(r["bits"])
+        self.sent = table.sparkSession.sparkContext.broadcast(bits.view(np.uint8))
+
+    def of(self, docs: DataFrame, want: bool, id_: str = "id", check: str = "check") -> DataFrame:
+        """The documents that may be in the table, or those that aren't."""
+        (bit,) = fresh(docs, "bit")
+        sent, columns = self.sent, docs.columns
+
+        def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                at = b.column(len(columns)).to_numpy()
+                hit = (sent.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+                yield pa.RecordBatch.from_arrays(b.columns[:-1], names=columns).filter(pa.array(hit == want))
+
+        # a position counts from 0 in its bucket, buckets from 1
+        dealt = docs.withColumn(bit, F.pmod(F.xxhash64(id_, check), F.lit(self.BITS)))
+        dealt = dealt.withColumn(bit, (F.bitmap_bucket_number(bit) - 1) * 32768 + F.bitmap_bit_position(bit))
+        return dealt.mapInArrow(fn, docs.schema)
+
+
+def repeated_starts(keyed: DataFrame, length: int = 400, windows: tuple[int, ...] | None = None) -> DataFrame:
     """id, check, start, end: strings of `length` bytes that also start elsewhere cover these ranges."""
-    window = window or max(1, min(160, (length - GRAM) // 2 - 8))
-    parsed = runs(keyed, length, window)
-    again = parsed.groupBy("key").count().filter("count > 1").select("key")
-    found = settle(parsed.join(again, "key"))
-    wholes = settle(found.groupBy("key", "whole").agg(F.count("*").alias("copies"), F.min(F.struct("id", "check", "start", "n")).alias("one")))
-    equal = found.join(wholes.filter("copies > 1").select("key", "whole"), ["key", "whole"]).select("id", "check", "start", (F.col("start") + F.col("n") + length - 1).alias("end"))
-    mixed = wholes.groupBy("key").count().filter("count > 1").select("key")
-    todo = wholes.join(mixed, "key").select("one.*", (F.col("copies") == 1).alias("open")).groupBy("id", "check").agg(F.collect_list(F.struct("start", "n", "open")).alias("todo"))
-    edges = settle(_suffixes(keyed.join(todo, ["id", "check"]), length))
-    twice = edges.groupBy("h1", "h2").count().filter("count > 1").select("h1", "h2")
-    edge = edges.filter("open").join(twice, ["h1", "h2"]).select("id", "check", "start", (F.col("start") + length).alias("end"))
-    return equal.unionByName(edge)
+    windows = windows or (length // 2, max(2, length // 20), 1)
+    covered, texts = [], keyed
+    for window in windows:
+        parsed = runs(texts, length, window)
+        again = parsed.groupBy("key").count().filter("count > 1").select("key")
+        found = settle(parsed.join(again, "key"))
+        wholes = settle(found.groupBy("key", "whole").agg(F.count("*").alias("copies"), F.min(F.struct("id", "check", "start", "n")).alias("one")))
+        equal = found.join(wholes.filter("copies > 1").select("key", "whole"), ["key", "whole"])
+        covered.append(equal.select("id", "check", "start", (F.col("start") + F.col("n") + length - 1).alias("end")))
+        if window > 1:
+            mixed = wholes.groupBy("key").count().filter("count > 1").select("key")
+            todo = settle(wholes.join(mixed, "key").select("one.*").groupBy("id", "check").agg(F.collect_list(F.struct("start", "n")).alias("todo")))
+            texts = Likely(todo).of(keyed, True).join(todo, ["id", "check"])
+    out = covered[0]
+    for more in covered[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def _key(doc_id: Column, text: Column) -> tuple[Column, Column]:
     return F.coalesce(doc_id.cast("long"), F.lit(-(1 << 62))), F.hash(text)
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, text: str = "text", doc_id: str = "doc_id", window: int | None = None) -> DataFrame:
-    """docs with n_bytes, n_removed, n_spans, spans and the remaining bytes `kept`; other columns stay."""
+def remove_repeats(docs: DataFrame, length: int = 400, text: str = "text", doc_id: str = "doc_id", windows: tuple[int, ...] | None = None) -> DataFrame:
+    """docs with n_bytes, n_removed, n_spans, the removed ranges and the remaining bytes `kept`; other columns stay."""
     id_, check, spans = fresh(docs, "id", "check", "spans")
     a, b = _key(F.col(doc_id), F.col(text))
-    covered = repeated_starts(docs.select(a.alias("id"), b.alias("check"), F.col(text).alias("text")), length, window)
-    listed = covered.groupBy(F.col("id").alias(id_), F.col("check").alias(check)).agg(F.collect_set(F.struct("start", "end")).alias(spans))
-    keyed = docs.withColumns({id_: a, check: b}).join(listed, [id_, check], "left")
-
-    def cut(texts: pa.Array, ranges: pa.Array) -> list:
-        n_bytes, removed, n_spans, kept, merged = [], [], [], [], []
-        for i, raw in enumerate(_utf8(texts)):
-            n_bytes.append(len(raw))
-            if not ranges[i].is_valid:
-                out, gone = [raw], []
-            else:
-                r = ranges[i].values
-                s, e = r.field(0).to_numpy(), r.field(1).to_numpy()
-                order = np.argsort(s, kind="stable")
-                s, e = s[order], np.maximum.accumulate(e[order])
-                new = np.r_[True, s[1:] > e[:-1]]
-                gone = list(zip(s[new].tolist(), e[np.r_[new[1:], True]].tolist(), strict=True))
-                out, at = [], 0
-                for lo, hi in gone:
-                    out.append(raw[at:lo])
-                    at = hi
-                out.append(raw[at:])
-            kept.append(b"".join(out))
-            removed.append(len(raw) - len(kept[-1]))
-            n_spans.append(len(gone))
-            merged.append([{"start": lo, "end": hi} for lo, hi in gone])
-        return [n_bytes, removed, n_spans, merged, kept]
-
-    return append(keyed, [text, spans], "n_bytes long, n_removed long, n_spans long, removed array<struct<start:long,end:long>>, kept binary", cut, docs.columns)
+    covered = repeated_starts(docs.select(a.alias("id"), b.alias("check"), F.col(text).alias("text")), length, windows)
+    listed = settle(covered.groupBy("id", "check").agg(F.collect_set(F.struct("start", "end")).alias("spans")))
+    likely, keyed = Likely(listed), docs.withColumns({id_: a, check: b})
+    touched = likely.of(keyed, True, id_, check).join(listed.withColumnsRenamed({"id": id_, "check": check, "spans": spans}), [id_, check], "left")
+    whole = likely.of(keyed, False, id_, check).withColumn(spans, F.lit(None).cast(listed.schema["spans"].dataType))
+    added = "n_bytes long, n_removed long, n_spans long, removed array<struct<start:long,end:long>>, kept binary"
+    return append(touched.unionByName(whole), [text, spans], added, _cut, docs.columns)
+
+
+def _cut(texts: pa.Array, ranges: pa.Array) -> list:
+    n_bytes, removed, n_spans, kept, merged = [], [], [], [], []
+    for i, raw in enumerate(_utf8(texts)):
+        out, gone, at = [], [], 0
+        if ranges[i].is_valid:
+            r = ranges[i].values
+            order = np.argsort(s := r.field(0).to_numpy(), kind="stable")
+            s, e = s[order], np.maximum.accumulate(r.field(1).to_numpy()[order])
+            new = np.r_[True, s[1:] > e[:-1]]
+            gone = list(zip(s[new].tolist(), e[np.r_[new[1:], True]].tolist(), strict=True))
+        for lo, hi in gone:
+            out.append(raw[at:lo])
+            at = hi
+        kept.append(b"".join([*out, raw[at:]]))
+        n_bytes.append(len(raw))
+        removed.append(len(raw) - len(kept[-1]))
+        n_spans.append(len(gone))
+        merged.append([{"start": lo, "end": hi} for lo, hi in gone])
+    return [n_bytes, removed, n_spans, merged, kept]
