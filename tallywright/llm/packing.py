@@ -15,16 +15,21 @@ Defined results: null and empty texts are the end id alone; equal rows are packe
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import struct
 import zlib
 from collections.abc import Callable
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallywright.llm.bpe import byte_letters
 from tallywright.llm.common import append, fresh, numbered, settle
 
 SIZE, END = 1024, 2
@@ -33,8 +38,9 @@ _chunks = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+").findall
 _kept: dict = {}
 
 
-def encoder(path: str, bound: int = 400_000) -> Callable[[str], bytes]:
-    """Text to its ids as little-endian 32-bit numbers, kept by word up to a bound."""
+def encoder(path: str, bound: int = 600_000) -> Callable[[str], bytes]:
+    """Text to its ids as little-endian 32-bit numbers, kept by word up to a bound. Words of Latin letters are encoded
+    by a second library from the same vocabulary, which takes half as long; all others by the file's own library."""
     if path in _kept:
         return _kept[path]
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -46,6 +52,11 @@ def encoder(path: str, bound: int = 400_000) -> Callable[[str], bytes]:
     special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
     at_special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
     known: dict[str, bytes] = {}
+    with open(path, encoding="utf-8") as f:
+        vocab = json.load(f)["model"]["vocab"]
+    byte_of = {letter: b for b, letter in byte_letters().items()}
+    ranks = {bytes(byte_of[c] for c in s): i for s, i in vocab.items() if s not in special}
+    latin = tiktoken.Encoding("latin", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def encode(text: str) -> bytes:
         parts = [text]
@@ -57,8 +68,11 @@ def encoder(path: str, bound: int = 400_000) -> Callable[[str], bytes]:
         except KeyError:
             if len(known) > bound:
                 known.clear()
-            new = [c for c in set(chunks) if c not in known]
-            for c, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            new = {c for c in chunks if c not in known}
+            other = [c for c in new if max(c) > "\u024f" or c in special]
+            for c in new.difference(other):
+                known[c] = struct.pack(f"<{len(ids := latin(c))}I", *ids)
+            for c, e in zip(other, tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
                 known[c] = np.array(e.ids, "<u4").tobytes()
             return b"".join(map(known.__getitem__, chunks))
 
