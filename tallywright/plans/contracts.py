@@ -145,11 +145,11 @@ def cells(t: Tables) -> DataFrame:
     """A sheet per brand group: title and unit row, a two-level merged header of years over measures, ditto labels, data."""
     by = brand_years(t).filter("y between 1995 and 2000").withColumn("group", F.regexp_extract("brand", r"^(.*?)\d$", 1)).withColumn("digit", F.regexp_extract("brand", r"(\d)$", 1).cast("int"))
     base = by.select(F.lit("w").alias("workbook"), C("group").alias("sheet"), "digit", (C("y") - 1995).alias("k"), "y", "revenue", "qty")
-    body = base.select("workbook", "sheet", (C("digit") + 5).alias("row"), F.explode(F.array(F.struct((3 + 2 * C("k")).alias("col"), F.format_number("revenue", 2).alias("value_str")), F.struct((4 + 2 * C("k")).alias("col"), F.concat(F.lit("("), F.format_string("%.1f", "qty"), F.lit(")")).alias("value_str")))).alias("x")).select("workbook", "sheet", "row", "x.*")
+    body = base.select("workbook", "sheet", (C("digit") + 5 - (C("sheet") == "Brand#").cast("int")).alias("row"), F.explode(F.array(F.struct((3 + 2 * C("k")).alias("col"), F.format_number("revenue", 2).alias("value_str")), F.struct((4 + 2 * C("k")).alias("col"), F.concat(F.lit("("), F.format_string("%.1f", "qty"), F.lit(")")).alias("value_str")))).alias("x")).select("workbook", "sheet", "row", "x.*")
     sheets = base.select("workbook", "sheet").distinct()
     years = base.select("workbook", "sheet", "k", "y").distinct()
     heads = years.select("workbook", "sheet", F.explode(F.array(F.struct(F.lit(3).alias("row"), (3 + 2 * C("k")).alias("col"), C("y").cast("string").alias("value_str")), F.struct(F.lit(4).alias("row"), (3 + 2 * C("k")).alias("col"), F.lit("revenue¹").alias("value_str")), F.struct(F.lit(4).alias("row"), (4 + 2 * C("k")).alias("col"), F.lit("qty").alias("value_str")))).alias("x")).select("workbook", "sheet", "x.*")
-    labels = base.select("workbook", "sheet", "digit").distinct().select("workbook", "sheet", F.explode(F.array(F.struct((C("digit") + 5).alias("row"), F.lit(1).alias("col"), F.when((C("digit") == 0) | (C("sheet") == "Brand#") & (C("digit") == 1), C("sheet")).alias("value_str")), F.struct((C("digit") + 5).alias("row"), F.lit(2).alias("col"), C("digit").cast("string").alias("value_str")))).alias("x")).select("workbook", "sheet", "x.*").withColumn("value_str", F.when(C("col") == 2, F.concat(F.lit("no "), "value_str")).otherwise(C("value_str")))
+    labels = base.select("workbook", "sheet", "digit").distinct().select("workbook", "sheet", F.explode(F.array(F.struct((C("digit") + 5 - (C("sheet") == "Brand#").cast("int")).alias("row"), F.lit(1).alias("col"), F.when((C("digit") == 0) | (C("sheet") == "Brand#") & (C("digit") == 1), C("sheet")).alias("value_str")), F.struct((C("digit") + 5 - (C("sheet") == "Brand#").cast("int")).alias("row"), F.lit(2).alias("col"), C("digit").cast("string").alias("value_str")))).alias("x")).select("workbook", "sheet", "x.*").withColumn("value_str", F.when(C("col") == 2, F.concat(F.lit("no "), "value_str")).otherwise(C("value_str")))
     fixed = sheets.select("workbook", "sheet", F.explode(F.array(F.struct(F.lit(1).alias("row"), F.lit(1).alias("col"), F.lit("Sales").alias("value_str")), F.struct(F.lit(2).alias("row"), F.lit(1).alias("col"), F.lit("(단위: 원)").alias("value_str")), F.struct(F.lit(3).alias("row"), F.lit(1).alias("col"), F.lit("group").alias("value_str")), F.struct(F.lit(3).alias("row"), F.lit(2).alias("col"), F.lit("item").alias("value_str")))).alias("x")).select("workbook", "sheet", "x.*")
     return body.unionByName(heads).unionByName(labels).unionByName(fixed).withColumns({"row": C("row").cast("int"), "col": C("col").cast("int"), "bold": F.lit(False), "merge_row": F.lit(None).cast("int"), "merge_col": F.lit(None).cast("int")})
 
