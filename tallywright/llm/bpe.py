@@ -21,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tallywright.llm.common import append
+from tallywright.llm.common import append, memo
 
 _odd_space = re.compile("[\x1c-\x1f]")
 _split_space = re.compile("[^\t-\r \x85\xa0  -     　]+").findall
@@ -63,8 +63,7 @@ class Bpe:
         self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.letters = byte_letters()
         self.at_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self.known: dict[str, tuple[str, str]] = {}
-        self.bound = bound
+        self.path, self.bound = path, bound
 
     def merge(self, piece: str) -> list[int]:
         """Ids of one piece."""
@@ -103,16 +102,17 @@ class Bpe:
     def encode(self, text: str) -> tuple[str, str]:
         """Decimal ids joined by spaces, and the decoded text."""
         parts = self.at_special.split(text) if self.at_special and any(x in text for x in self.special) else [text]
-        if len(self.known) > self.bound:
-            self.known.clear()
+        known = memo(self.path)
+        if len(known) > self.bound:
+            known.clear()
         found = []
         for part in parts:
             if part in self.special:
                 found.append((str(self.special[part]), part))
                 continue
             for w in _split_space(part) if _odd_space.search(part) else part.split():
-                if (x := self.known.get(w)) is None:
-                    x = self.known[w] = self.word(w)
+                if (x := known.get(w)) is None:
+                    x = known[w] = self.word(w)
                 found.append(x)
         found = [x for x in found if x[0]]
         return " ".join([x[0] for x in found]), " ".join([x[1] for x in found])

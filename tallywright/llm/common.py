@@ -15,6 +15,17 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
 
 
+_memo: dict = {}
+
+
+def memo(owner: str) -> dict:
+    """What a Python worker remembers between batches. Workers outlive stages, so another owner's memory is dropped."""
+    if _memo.get("owner") != owner:
+        _memo.clear()
+        _memo.update(owner=owner, kept={})
+    return _memo["kept"]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)

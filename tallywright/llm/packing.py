@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallywright.llm.bpe import byte_letters
-from tallywright.llm.common import append, fresh, numbered, settle
+from tallywright.llm.common import append, fresh, memo, numbered, settle
 
 SIZE, END = 1024, 2
 WHITE = "\t-\r \x85\xa0  -     　"
@@ -38,7 +38,7 @@ _chunks = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+").findall
 _kept: dict = {}
 
 
-def encoder(path: str, bound: int = 600_000) -> Callable[[str], bytes]:
+def encoder(path: str, bound: int = 400_000) -> Callable[[str], bytes]:
     """Text to its ids as little-endian 32-bit numbers, kept by word up to a bound. Words of Latin letters are encoded
     by a second library from the same vocabulary, which takes half as long; all others by the file's own library."""
     if path in _kept:
@@ -51,7 +51,6 @@ def encoder(path: str, bound: int = 600_000) -> Callable[[str], bytes]:
     tokenizer.no_padding()
     special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
     at_special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
-    known: dict[str, bytes] = {}
     with open(path, encoding="utf-8") as f:
         vocab = json.load(f)["model"]["vocab"]
     byte_of = {letter: b for b, letter in byte_letters().items()}
@@ -59,6 +58,7 @@ def encoder(path: str, bound: int = 600_000) -> Callable[[str], bytes]:
     latin = tiktoken.Encoding("latin", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def encode(text: str) -> bytes:
+        known = memo(path)
         parts = [text]
         if at_special and any(s in text for s in special):
             parts = at_special.split(text)

@@ -21,22 +21,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallywright.llm.common import append
+from tallywright.llm.common import append, memo
 
 BITS, SAMPLE, FOLDS, CUT = 18, 6000, 5, 0.3
 _shape = re.compile(r"^(\W*)(.*?)(\W*)$", re.S)
-_known: dict[str, tuple[int, int]] = {}
 
 
-def _word(w: str) -> tuple[int, int]:
+def _word(w: str, known: dict[str, tuple[int, int]]) -> tuple[int, int]:
     """Slots of a word and of its shape."""
-    if (x := _known.get(w)) is None:
-        if len(_known) > 400_000:
-            _known.clear()
+    if (x := known.get(w)) is None:
+        if len(known) > 200_000:
+            known.clear()
         before, core, after = _shape.match(w).groups()
         case = "0" if not core else "A" if core.isupper() and len(core) > 1 else "a" if core.islower() else "1" if core.isdigit() else "X" if core[:1].isupper() else "m"
         shape = f"{before[:3]} {case} {after[:3]}"
-        x = _known[w] = zlib.crc32(core.lower().encode()), zlib.crc32(shape.encode(), 7) | 1
+        x = known[w] = zlib.crc32(core.lower().encode()), zlib.crc32(shape.encode(), 7) | 1
     return x
 
 
@@ -46,7 +45,8 @@ def indicators(text: str) -> np.ndarray:
     bucket = [zlib.crc32(b"size%d" % min(12, len(words).bit_length()))]
     if not words:
         return np.array(bucket, np.int64) & ((1 << BITS) - 1)
-    both = np.array([_word(w) for w in words], np.uint64)
+    known = memo("classifier")
+    both = np.array([_word(w, known) for w in words], np.uint64)
     own, shape = both[:, 0], both[:, 1].copy()
     shape[1:][own[1:] == own[:-1]] = 0x5EED
     pairs = (shape[:-1] * np.uint64(0x9E3779B97F4A7C15) + shape[1:]) >> np.uint64(20)

@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tallywright.llm.common import append, fresh, settle
 
@@ -155,8 +156,8 @@ class Likely:
             bits[r["k"] - 1] = bytes(r["bits"])
         self.sent = table.sparkSession.sparkContext.broadcast(bits.view(np.uint8))
 
-    def of(self, docs: DataFrame, want: bool, id_: str = "id", check: str = "check") -> DataFrame:
-        """The documents that may be in the table, or those that aren't."""
+    def of(self, docs: DataFrame, want: bool, id_: str = "id", check: str = "check", then=None, schema=None) -> DataFrame:
+        """The documents that may be in the table, or those that aren't; `then` turns each batch of them into `schema`."""
         (bit,) = fresh(docs, "bit")
         sent, columns = self.sent, docs.columns
 
@@ -164,12 +165,14 @@ class Likely:
             for b in batches:
                 at = b.column(len(columns)).to_numpy()
                 hit = (sent.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
-                yield pa.RecordBatch.from_arrays(b.columns[:-1], names=columns).filter(pa.array(hit == want))
+                b = pa.RecordBatch.from_arrays(b.columns[:-1], names=columns).filter(pa.array(hit == want))
+                if b.num_rows:
+                    yield then(b) if then else b
 
         # a position counts from 0 in its bucket, buckets from 1
         dealt = docs.withColumn(bit, F.pmod(F.xxhash64(id_, check), F.lit(self.BITS)))
         dealt = dealt.withColumn(bit, (F.bitmap_bucket_number(bit) - 1) * 32768 + F.bitmap_bit_position(bit))
-        return dealt.mapInArrow(fn, docs.schema)
+        return dealt.mapInArrow(fn, schema or docs.schema)
 
 
 def repeated_starts(keyed: DataFrame, length: int = 400, windows: tuple[int, ...] | None = None) -> DataFrame:
@@ -198,23 +201,30 @@ def _key(doc_id: Column, text: Column) -> tuple[Column, Column]:
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, text: str = "text", doc_id: str = "doc_id", windows: tuple[int, ...] | None = None) -> DataFrame:
-    """docs with n_bytes, n_removed, n_spans, the removed ranges and the remaining bytes `kept`; other columns stay."""
+    """docs with n_bytes, n_removed, n_spans, the removed ranges, the remaining bytes `kept` and
+    their text, without characters that a range's end cuts in two; other columns stay."""
     id_, check, spans = fresh(docs, "id", "check", "spans")
     a, b = _key(F.col(doc_id), F.col(text))
     covered = repeated_starts(docs.select(a.alias("id"), b.alias("check"), F.col(text).alias("text")), length, windows)
     listed = settle(covered.groupBy("id", "check").agg(F.collect_set(F.struct("start", "end")).alias("spans")))
     likely, keyed = Likely(listed), docs.withColumns({id_: a, check: b})
+    added = "n_bytes long, n_removed long, n_spans long, removed array<struct<start:long,end:long>>, kept binary, kept_text string"
     touched = likely.of(keyed, True, id_, check).join(listed.withColumnsRenamed({"id": id_, "check": check, "spans": spans}), [id_, check], "left")
-    whole = likely.of(keyed, False, id_, check).withColumn(spans, F.lit(None).cast(listed.schema["spans"].dataType))
-    added = "n_bytes long, n_removed long, n_spans long, removed array<struct<start:long,end:long>>, kept binary"
-    return append(touched.unionByName(whole), [text, spans], added, _cut, docs.columns)
+    touched = append(touched, [text, spans], added, _cut, docs.columns)
+    kinds, at, names = to_arrow_schema(touched.schema), keyed.columns.index(text), docs.columns
 
+    def untouched(b: pa.RecordBatch) -> pa.RecordBatch:
+        made = _cut(b.column(at), None)
+        return pa.RecordBatch.from_arrays([*(b.column(k) for k in range(len(names))), *(pa.array(x, f.type) for x, f in zip(made, list(kinds)[len(names) :], strict=True))], names=kinds.names)
 
-def _cut(texts: pa.Array, ranges: pa.Array) -> list:
+    return touched.unionByName(likely.of(keyed, False, id_, check, untouched, touched.schema))
+
+
+def _cut(texts: pa.Array, ranges: pa.Array | None) -> list:
     n_bytes, removed, n_spans, kept, merged = [], [], [], [], []
     for i, raw in enumerate(_utf8(texts)):
         out, gone, at = [], [], 0
-        if ranges[i].is_valid:
+        if ranges is not None and ranges[i].is_valid:
             r = ranges[i].values
             order = np.argsort(s := r.field(0).to_numpy(), kind="stable")
             s, e = s[order], np.maximum.accumulate(r.field(1).to_numpy()[order])
@@ -228,4 +238,4 @@ def _cut(texts: pa.Array, ranges: pa.Array) -> list:
         removed.append(len(raw) - len(kept[-1]))
         n_spans.append(len(gone))
         merged.append([{"start": lo, "end": hi} for lo, hi in gone])
-    return [n_bytes, removed, n_spans, merged, kept]
+    return [n_bytes, removed, n_spans, merged, kept, [k.decode(errors="ignore") for k in kept]]
