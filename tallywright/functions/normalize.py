@@ -74,11 +74,12 @@ def indent_level(x: Column) -> Column:
 
 
 def value_kind(x: Column) -> Column:
-    """DATE, PCT, NUM or TEXT of one value; null where it is missing."""
+    """DATE, PCT, NUM or TEXT of one value; null where it is missing. With a point, as in 2024.03, a date needs a
+    year and month that exist: other such texts are amounts."""
     t = F.trim(ascii_digits(x))
     return (
         F.when(x.isNull() | sentinel(x).isNotNull(), F.lit(None))
-        .when(t.rlike(r"^\d{4}[-./]\d{1,2}([-./]\d{1,2})?$"), "DATE")
+        .when(t.rlike(r"^(\d{4}[-/]\d{1,2}|(19|20)\d{2}\.(0?[1-9]|1[0-2]))([-./]\d{1,2})?$"), "DATE")
         .when(t.rlike(r"^[△▲−(-]?[\d,.]+\)?\s*%\)?$"), "PCT")
         .when(number(x)["value"].isNotNull(), "NUM")
         .otherwise("TEXT")

@@ -94,3 +94,57 @@ def claims(texts: DataFrame, key: str, text: Column, facts: DataFrame, fact: str
     near = found.withColumn("_b", F.explode(F.array(bucket(C("x")) - 1, bucket(C("x")), bucket(C("x")) + 1)))
     hit = near.join(known, "_b").filter(F.abs(C("x") - C("v")) <= F.greatest(rel * C("v"), F.lit(least))).select(key, "raw").distinct().withColumn("verified", F.lit(True))
     return found.join(hit, [key, "raw"], "left").withColumn("verified", F.coalesce("verified", F.lit(False)))
+
+
+def sheet_references(cells: DataFrame) -> DataFrame:
+    """From, to, n: formulas of a sheet that refer to another sheet that exists."""
+    ref = cells.select(C("sheet").cast("string").alias("from"), F.explode(F.array_distinct(F.regexp_extract_all("formula", F.lit(r"(\w+)'?!"), 1))).alias("to"))
+    edges = ref.filter(C("from") != C("to")).groupBy("from", "to").agg(F.count("*").alias("n"))
+    return edges.join(cells.select(C("sheet").cast("string").alias("to")).distinct(), "to", "left_semi").select("from", "to", "n")
+
+
+def formula_rules(cells: DataFrame, rules: DataFrame) -> DataFrame:
+    """Cells of a rule's region whose formula isn't left op right of their own row; one that's no formula fails.
+
+    rules: sheet, col, r0, r1, left, op, right. Marks of absolute references, blanks and case don't count.
+    """
+    want = F.concat(F.lit("="), F.upper("left"), C("row").cast("string"), C("op"), F.upper("right"), C("row").cast("string"))
+    j = cells.filter("formula is not null").join(rules, ["sheet", "col"]).filter("row between r0 and r1")
+    return j.filter(F.upper(F.regexp_replace("formula", r"[$\s]", "")) != want)
+
+
+def disallowed_formats(cells: DataFrame, allowed: list[str], of: str = "number_format") -> DataFrame:
+    """Cells whose number format isn't allowed."""
+    return cells.filter(C(of).isNotNull() & ~C(of).isin(allowed))
+
+
+def content_regions(cells: DataFrame, regions: DataFrame, kind: str) -> DataFrame:
+    """Cells whose kind differs from what their region wants. regions: sheet, r0, r1, c0, c1, wants."""
+    return cells.join(regions, "sheet").filter("row between r0 and r1 and col between c0 and c1").filter(~C(kind).eqNullSafe(C("wants")))
+
+
+def cell_contract(cells: DataFrame, rules: DataFrame, tol: float = 0.01, decades: float = 3.0) -> DataFrame:
+    """rules(sheet, row, col, kind, expected) against cells(sheet, row, col, value): ties within the tolerance,
+    magnitudes within so many decades; a missing cell fails."""
+    size = F.abs(F.log10(F.abs(F.try_divide("value", "expected")))) < decades
+    ok = F.when(C("kind") == "tie", F.abs(C("value") - C("expected")) <= tol).when(C("kind") == "magnitude", size)
+    return rules.join(cells, ["sheet", "row", "col"], "left").withColumn("ok", F.coalesce(ok, F.lit(False)))
+
+
+def stale_formulas(cells: DataFrame, value: str) -> DataFrame:
+    """Formula cells whose stored value is null or zero."""
+    return cells.filter(C("formula").isNotNull() & (C(value).isNull() | (C(value) == 0)))
+
+
+def digest(cells: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """A digest of each key's cells that doesn't depend on their order: the sum of 60-bit digests of the rows."""
+    row = F.md5(F.concat_ws("\x1f", *(F.coalesce(C(c).cast("string"), F.lit("\x00")) for c in columns)))
+    return cells.groupBy(*keys).agg(F.sum(F.conv(F.substring(row, 1, 15), 16, 10).cast("decimal(20,0)")).cast("string").alias("digest"), F.count("*").alias("n"))
+
+
+def type_counts(cells: DataFrame, keys: list[str], kind: Column) -> DataFrame:
+    """Cells of each column by type, over all its rows; a formula counts as one, whatever its value."""
+    t = F.when(C("formula").isNotNull(), "formula").otherwise(kind)
+    names = ["numeric", "character", "date", "formula", "blank", "error", "logical"]
+    g = cells.groupBy(*keys, t.alias("_t")).agg(F.count("*").alias("_n"))
+    return g.groupBy(*keys).agg(*(F.coalesce(F.sum(F.when(C("_t") == x, C("_n"))), F.lit(0)).alias(x) for x in names))

@@ -124,3 +124,56 @@ def publish(table: DataFrame, checks: DataFrame, path: str, force: bool = False)
         return False
     table.write.mode("overwrite").parquet(path)
     return True
+
+
+def filters_declared(filters: DataFrame) -> DataFrame:
+    """Q6: filters(field, declared, header_text, excluded_count) with any of the three missing."""
+    whole = F.coalesce(C("declared"), F.lit(False)) & (F.coalesce("header_text", F.lit("")) != "") & C("excluded_count").isNotNull()
+    return filters.filter(~whole).select("field")
+
+
+def no_silent_drop(fact: DataFrame, keys: list[str], expected: int | None = None) -> DataFrame:
+    """Q8: the row count as expected, or else no repeated key."""
+    n = fact.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count("*").alias("keys"))
+    ok = C("rows") == (C("keys") if expected is None else F.lit(expected))
+    return n.select(*check("no_silent_drop", ok, F.concat_ws("/", "rows", "keys")))
+
+
+def gate(*checks: DataFrame) -> DataFrame:
+    """Q8: all checks as one table."""
+    return reduce(DataFrame.unionByName, checks)
+
+
+def master_to_ledger(master: DataFrame, ledger: DataFrame, keys: list[str], reasons: DataFrame, tol: float = 0.0) -> DataFrame:
+    """Q12: sums of both sides per key; a difference needs reasons(keys). master and ledger: keys, amount."""
+    total = lambda df, name: df.groupBy(*keys).agg(F.sum("amount").alias(name))
+    j = full_outer(total(master, "master"), total(ledger, "ledger"), keys)
+    why = reasons.groupBy(*keys).agg(F.count("*").alias("reasons"))
+    j = j.join(why, keys, "left").fillna({"master": 0.0, "ledger": 0.0, "reasons": 0})
+    return j.withColumn("ok", (F.abs(C("master") - C("ledger")) <= tol) | (C("reasons") > 0))
+
+
+def allocation_conserves(before: DataFrame, after: DataFrame, keys: list[str], tol: float = 0.0) -> DataFrame:
+    """Q13: pools before and after allocation. Both: keys, amount."""
+    total = lambda df, name: df.groupBy(*keys).agg(F.sum("amount").alias(name))
+    j = full_outer(total(before, "pre"), total(after, "post"), keys).fillna({"pre": 0.0, "post": 0.0})
+    return j.withColumn("ok", F.abs(C("pre") - C("post")) <= tol)
+
+
+def commitment(recognized: Column, remaining: Column, cancelled: Column, total: Column, tol: float = 0.0) -> Column:
+    """Q14: OK, OVER_RECOGNIZED or NOT_CONSERVED; a null fails."""
+    kept = tie_out(recognized + remaining + cancelled, total, tol)
+    return F.when(recognized > total + tol, "OVER_RECOGNIZED").when(~kept, "NOT_CONSERVED").otherwise("OK")
+
+
+def anomalies_conserved(ledger: DataFrame, surfaced: DataFrame) -> DataFrame:
+    """Q15: findings of each type against those that the output shows. Both: anomaly_type."""
+    count = lambda df, name: df.groupBy("anomaly_type").agg(F.count("*").alias(name))
+    j = count(ledger, "ledger").join(count(surfaced, "surfaced"), "anomaly_type", "full").fillna(0)
+    return j.withColumn("ok", C("ledger") == C("surfaced"))
+
+
+def recurrence(active: DataFrame, fact: DataFrame, key: str, period: str) -> DataFrame:
+    """Q16: expected periods without a fact. active: key, start, stop (both included), every (months)."""
+    grid = active.filter("start <= stop").select(key, F.explode(F.sequence("start", "stop", "every")).alias(period))
+    return grid.join(fact.select(key, period).distinct(), [key, period], "left_anti").withColumn("anomaly_type", F.lit("MISSING_ACCRUAL"))

@@ -26,7 +26,8 @@ def filled(cells: DataFrame) -> DataFrame:
 def cell_type(x: Column) -> Column:
     """S2."""
     t = F.trim(x)
-    return F.when(x.isNull() | (t == ""), "blank").when(t.isin(n.ERRORS), "error").when(F.lower(t).isin("true", "false"), "logical").when(n.value_kind(x) == "DATE", "date").when(n.value_kind(x).isin("NUM", "PCT"), "numeric").otherwise("character")
+    kinds = F.create_map(*map(F.lit, ("DATE", "date", "NUM", "numeric", "PCT", "numeric")))
+    return F.when(x.isNull() | (t == ""), "blank").when(t.isin(n.ERRORS), "error").when(F.lower(t).isin("true", "false"), "logical").otherwise(F.coalesce(F.try_element_at(kinds, n.value_kind(x)), F.lit("character")))
 
 
 def oversize(cells: DataFrame, cap: int = 3_000_000) -> DataFrame:

@@ -62,3 +62,40 @@ def tag(texts: DataFrame, key: str, text: str, rules: list[tuple[str, str]]) ->
     """The tag whose patterns hit most; the first rule wins ties; null without a hit. Rules are a short literal."""
     hits = F.array(*(F.struct(F.regexp_count(F.coalesce(text, F.lit("")), F.lit(p)).alias("hits"), F.lit(-k).alias("o"), F.lit(name).alias("tag")) for k, (name, p) in enumerate(rules)))
     return texts.withColumn("_h", F.array_max(hits)).select(key, F.when(C("_h.hits") > 0, C("_h.tag")).alias("tag"), C("_h.hits").alias("hits"))
+
+
+def date_range(table: DataFrame, day: str) -> DataFrame:
+    """First and last month."""
+    m = lambda f: F.date_format(F.trunc(f(C(day)), "month"), "yyyy-MM")
+    return table.agg(m(F.min).alias("first_month"), m(F.max).alias("last_month"))
+
+
+def profile(table: DataFrame, columns: list[str]) -> DataFrame:
+    """P10: a row per column with its kind, role and rates, without members or absolute values."""
+    s = column_stats(table, columns)
+    k = kinds(s).select("column", "kind").join(roles(s).select("column", "role"), "column")
+    return s.select("column", "n", "card", F.round(C("nulls") / C("n"), 6).alias("null_rate")).join(k, "column")
+
+
+def trend(table: DataFrame, period: Column, measures: list[str]) -> DataFrame:
+    """Sums of the measures per period; what isn't a number counts as zero."""
+    return table.groupBy(period.alias("period")).agg(*(F.sum(F.coalesce(C(m).try_cast("double"), F.lit(0.0))).alias(m) for m in measures))
+
+
+def trend_conserved(table: DataFrame, made: DataFrame, measures: list[str], tol: float = 0.5) -> DataFrame:
+    """Measure, source and output sums of a trend and whether they tie."""
+    total = lambda df: df.agg(*(F.sum(C(m).try_cast("double")).alias(m) for m in measures)).unpivot([], measures, "measure", "v")
+    j = total(table).withColumnRenamed("v", "source").join(total(made).withColumnRenamed("v", "output"), "measure")
+    return j.withColumn("ok", F.coalesce(F.abs(C("source") - C("output")) <= tol, F.lit(False)))
+
+
+# Plausible bands of kinds of quantity.
+BANDS = {
+    "rate": (-0.5, 2.0), "pct": (-1.0, 1.0), "margin": (-2.0, 1.0), "growth": (-1.0, 10.0), "multiple": (-100.0, 100.0),
+    "ratio": (0.0, 1000.0), "share": (0.0, 1.0), "dscr": (1.0, 5.0), "terminal_growth": (-0.02, 0.05),
+}
+
+
+def in_band(value: Column, kind: str) -> Column:
+    """Null and a kind without a band pass."""
+    return F.coalesce(value.between(*BANDS[kind]), F.lit(True)) if kind in BANDS else F.lit(True)

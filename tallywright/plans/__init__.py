@@ -1,6 +1,6 @@
 """Queries over the given tables: facts, analyses and the registry."""
 
-from tallywright.plans import analyses, contracts
+from tallywright.plans import analyses, contracts, ledger
 from tallywright.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "analyses", "contracts"]
+__all__ = ["QUERIES", "SQL", "analyses", "contracts", "ledger"]
