@@ -66,35 +66,50 @@ class Bpe:
         self.path, self.bound = path, bound
 
     def merge(self, piece: str) -> list[int]:
-        """Ids of one piece."""
+        """Ids of one piece. An entry of the queue is rank * size + place; it is stale if `now` has another rank there."""
         s: list[str | None] = [self.letters[b] for b in piece.encode()]
         s[-1] += self.end
-        last = len(s) - 1
-        left, right, rank = list(range(-1, last)), list(range(1, last + 2)), self.rank
-        queue = [(r, i, s[i], s[i + 1]) for i in range(last) if (r := rank.get((s[i], s[i + 1]))) is not None]
+        size, rank = len(s), self.rank.get
+        now = [*map(rank, zip(s, s[1:])), None]
+        queue = [r * size + i for i, r in enumerate(now) if r is not None]
+        left, right = list(range(-1, size - 1)), list(range(1, size + 1))
         heapq.heapify(queue)
         while queue:
-            _, i, a, b = heapq.heappop(queue)
-            j = right[i]
-            if s[i] != a or j > last or s[j] != b:
+            r, i = divmod(heapq.heappop(queue), size)
+            if now[i] != r:
                 continue
-            s[i], s[j], k = a + b, None, right[j]
-            right[i] = k
-            if k <= last:
+            j = right[i]
+            s[i] += s[j]
+            k = right[i] = right[j]
+            s[j] = now[j] = now[i] = None
+            if k < size:
                 left[k] = i
-                if (r := rank.get((s[i], s[k]))) is not None:
-                    heapq.heappush(queue, (r, i, s[i], s[k]))
-            h = left[i]
-            if h >= 0 and (r := rank.get((s[h], s[i]))) is not None:
-                heapq.heappush(queue, (r, h, s[h], s[i]))
+                if (r := rank((s[i], s[k]))) is not None:
+                    now[i] = r
+                    heapq.heappush(queue, r * size + i)
+            if (h := left[i]) >= 0:
+                r = now[h] = rank((s[h], s[i]))
+                if r is not None:
+                    heapq.heappush(queue, r * size + h)
         return [self.vocab[x] for x in s if x is not None and x in self.vocab]
 
-    def word(self, word: str) -> tuple[str, str]:
-        """Decimal ids and strings of a text without white space, each joined by spaces."""
-        word = unicodedata.normalize("NFC", word)
-        word = word.lower() if word.isascii() else "".join(c.lower() for c in word)
-        ids = [i for m in self.pattern.finditer(word.translate(_kinds)) for i in self.merge(word[m.start() : m.end()])]
-        return " ".join(map(str, ids)), self.decode(ids)
+    def word(self, word: str, pieces: dict[str, tuple[str, str]]) -> tuple[str, str]:
+        """Decimal ids and strings of a text without white space, each joined by spaces; pieces met before are kept."""
+        if word.isascii():
+            word = shown = word.lower()
+            shown = shown if shown.isprintable() else shown.translate(_kinds)
+        else:
+            word = "".join([c.lower() for c in unicodedata.normalize("NFC", word)])
+            shown = word.translate(_kinds)
+        found = []
+        for m in self.pattern.finditer(shown):
+            piece = word[m.start() : m.end()]
+            if (x := pieces.get(piece)) is None:
+                ids = self.merge(piece)
+                x = pieces[piece] = " ".join(map(str, ids)), self.decode(ids)
+            if x[0]:
+                found.append(x)
+        return found[0] if len(found) == 1 else (" ".join([x[0] for x in found]), " ".join([x[1] for x in found]))
 
     def decode(self, ids: list[int]) -> str:
         return " ".join(map(self.strings.__getitem__, ids))
@@ -102,9 +117,11 @@ class Bpe:
     def encode(self, text: str) -> tuple[str, str]:
         """Decimal ids joined by spaces, and the decoded text."""
         parts = self.at_special.split(text) if self.at_special and any(x in text for x in self.special) else [text]
-        known = memo(self.path)
-        if len(known) > self.bound:
-            known.clear()
+        kept = memo(self.path)
+        known, pieces = kept.setdefault("words", {}), kept.setdefault("pieces", {})
+        for full in (known, pieces):
+            if len(full) > self.bound:
+                full.clear()
         found = []
         for part in parts:
             if part in self.special:
@@ -112,7 +129,7 @@ class Bpe:
                 continue
             for w in _split_space(part) if _odd_space.search(part) else part.split():
                 if (x := known.get(w)) is None:
-                    x = known[w] = self.word(w)
+                    x = known[w] = self.word(w, pieces)
                 found.append(x)
         found = [x for x in found if x[0]]
         return " ".join([x[0] for x in found]), " ".join([x[1] for x in found])
