@@ -15,7 +15,7 @@ shingle hash as one; equal rows share a component; component_id is null only whe
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -147,9 +147,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     return marked.join(ids, "fp").select(doc_id, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def keep_first(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", find: Callable[..., DataFrame] = near_duplicates) -> DataFrame:
     """The document with the smallest id of each component stays; of rows with one id, one. Rows without an id stay."""
-    first = settle(near_duplicates(docs, text, doc_id).filter(F.col(doc_id) == F.col("component_id")).groupBy(doc_id).count())
+    first = settle(find(docs, text, doc_id).filter(F.col(doc_id) == F.col("component_id")).groupBy(doc_id).count())
     kept = docs.filter(F.col(doc_id).isNotNull()).join(first.select(doc_id), doc_id, "left_semi")
     if not first.filter("count > 1").isEmpty():
         kept = kept.dropDuplicates([doc_id])
