@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallywright.functions import normalize as n
+from tallywright.llm.components import components
 from tallywright.operators.lineage import settle
 
 C = F.col
@@ -48,25 +49,19 @@ def row_runs(cells: DataFrame) -> DataFrame:
     return filled(cells).withColumn("_g", C("col") - F.row_number().over(w)).groupBy(*SHEET, "row", "_g").agg(F.min("col").alias("c0"), F.max("col").alias("c1"), F.count("*").alias("n")).drop("_g")
 
 
-def blocks(cells: DataFrame, rounds: int = 200) -> DataFrame:
+def blocks(cells: DataFrame) -> DataFrame:
     """B2: bounding boxes of connected cells (eight neighbours) of at least two columns, three rows and enough density.
 
-    Runs are nodes, touching runs of neighbouring rows are edges; the smallest label spreads, over two hops a round,
-    until nothing changes.
+    Runs that start in one column of consecutive rows touch and are one strip; touching strips are edges, and their
+    components are found in rounds until nothing changes.
     """
-    runs = row_runs(cells).withColumn("id", F.xxhash64(*SHEET, "row", "c0"))
-    runs = settle(runs)
+    w = Window.partitionBy(*SHEET, "c0").orderBy("row")
+    runs = row_runs(cells).withColumn("_g", C("row") - F.row_number().over(w))
+    runs = settle(runs.withColumn("id", F.xxhash64(*SHEET, "c0", "_g")).drop("_g"))
     up = runs.select(*SHEET, (C("row") + 1).alias("row"), C("c0").alias("u0"), C("c1").alias("u1"), C("id").alias("up"))
-    edge = runs.join(up, [*SHEET, "row"]).filter("u0 <= c1 + 1 and u1 >= c0 - 1").select("id", "up")
-    edge = settle(edge.unionByName(edge.select(C("up").alias("id"), C("id").alias("up"))))
-    label = runs.select("id", C("id").alias("label"))
-    for _ in range(rounds):
-        near = edge.join(label.select(C("id").alias("up"), C("label").alias("l")), "up").groupBy("id").agg(F.min("l").alias("l"))
-        step = label.join(near, "id", "left").select("id", F.least("label", "l").alias("new"), "label")
-        jump = settle(step.join(step.select(C("id").alias("new"), C("new").alias("j")), "new", "left").select("id", F.least("new", F.coalesce("j", "new")).alias("label"), C("label").alias("old")))
-        label = jump.select("id", "label")
-        if jump.filter("label <> old").isEmpty():
-            break
+    edge = runs.join(up, [*SHEET, "row"]).filter("u0 <= c1 + 1 and u1 >= c0 - 1 and id <> up").select(C("id").alias("a"), C("up").alias("b"))
+    root = components(edge).select(C("node").alias("id"), "root")
+    label = runs.select("id").distinct().join(root, "id", "left").select("id", F.coalesce("root", "id").alias("label"))
     box = runs.join(label, "id").groupBy(*SHEET, C("label").alias("block_id")).agg(F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("c0").alias("c0"), F.max("c1").alias("c1"), F.sum("n").alias("n"), F.countDistinct("row").alias("rows"))
     area = (C("r1") - C("r0") + 1) * (C("c1") - C("c0") + 1)
     return box.filter((C("c1") > C("c0")) & (C("r1") - C("r0") >= 2) & ((C("n") / area >= 0.55) | (C("rows") / (C("r1") - C("r0") + 1) >= 0.9))).drop("n", "rows")
@@ -108,7 +103,7 @@ def classify(body: DataFrame) -> DataFrame:
 
 
 def unpivot(body: DataFrame) -> DataFrame:
-    """A row per data cell with all header levels above (nearest to the left) and labels (filled down)."""
+    """A row per data cell with all header levels above (nearest to the left) and labels (filled down), or none."""
     key = [*SHEET, "block_id"]
     data = body.filter("row > header_end and col > label_end")
     heads = body.filter("row <= header_end and col > label_end").select(*key, C("row").alias("hr"), "col", C("value_str").alias("h"))
@@ -119,7 +114,9 @@ def unpivot(body: DataFrame) -> DataFrame:
     all_rows = data.select(*key, "row").distinct().join(labels.select(*key, "lc").distinct(), key).join(labels, [*key, "row", "lc"], "left")
     w = Window.partitionBy(*key, "lc").orderBy("row")
     row_hdrs = all_rows.withColumn("l", F.last("l", True).over(w)).groupBy(*key, "row").agg(F.transform(F.sort_array(F.collect_list(F.struct("lc", "l"))), lambda x: n.strip_footnote(F.trim(x["l"]))).alias("row_hdrs"), F.min_by(n.indent_level(C("l")), "lc").alias("level"))
-    return data.join(col_hdrs, [*key, "col"]).join(row_hdrs, [*key, "row"])
+    none = F.array().cast("array<string>")
+    long = data.join(col_hdrs, [*key, "col"], "left").join(row_hdrs, [*key, "row"], "left")
+    return long.withColumns({"col_hdrs": F.coalesce("col_hdrs", none), "row_hdrs": F.coalesce("row_hdrs", none), "level": F.coalesce("level", F.lit(0))})
 
 
 def is_subtotal(label: Column) -> Column:
@@ -130,7 +127,7 @@ def is_subtotal(label: Column) -> Column:
 
 def tidy(long: DataFrame) -> DataFrame:
     """Entity, period, metric, value scaled once, role and flags, with where it came from."""
-    period = F.element_at(F.filter(F.concat("col_hdrs", "row_hdrs"), lambda x: n.is_period(x)), 1)
+    period = F.try_element_at(F.filter(F.concat("col_hdrs", "row_hdrs"), lambda x: n.is_period(x)), F.lit(1))
     rest = lambda x: F.array_join(F.filter(x, lambda y: ~F.coalesce(n.is_period(y), F.lit(False))), " > ")
     num = n.number(C("value_str"))
     block = n.unit_scale(F.coalesce("unit", F.lit("")))
@@ -139,7 +136,7 @@ def tidy(long: DataFrame) -> DataFrame:
     return long.select(
         "workbook", "sheet", "block_id", rest(C("row_hdrs")).alias("entity"), period.alias("period"), rest(C("col_hdrs")).alias("metric"),
         F.when(~error, num["value"] * scale).alias("value"), F.when(num["value"].isNull(), C("value_str")).alias("value_text"), "unit",
-        F.when(is_subtotal(F.element_at("row_hdrs", -1)), "subtotal").otherwise("data").alias("row_role"), "level", C("row").alias("src_row"), C("col").alias("src_col"),
+        F.when(is_subtotal(F.try_element_at("row_hdrs", F.lit(-1))), "subtotal").otherwise("data").alias("row_role"), "level", C("row").alias("src_row"), C("col").alias("src_col"),
         scale.alias("scale_applied"), C("value_str").alias("raw_value"), F.array_compact(F.array(F.when(error, "ERROR_CELL"), F.when(num["scale"] != 1, "CELL_SCALE"))).alias("flags"),
     )
 
