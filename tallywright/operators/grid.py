@@ -126,7 +126,7 @@ def is_subtotal(label: Column) -> Column:
 
 
 def tidy(long: DataFrame) -> DataFrame:
-    """Entity, period, metric, value scaled once, role and flags, with where it came from."""
+    """Entity, period, metric, value scaled once, role and flags, with where it came from."""
     period = F.try_element_at(F.filter(F.concat("col_hdrs", "row_hdrs"), lambda x: n.is_period(x)), F.lit(1))
     rest = lambda x: F.array_join(F.filter(x, lambda y: ~F.coalesce(n.is_period(y), F.lit(False))), " > ")
     num = n.number(C("value_str"))
