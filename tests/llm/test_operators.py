@@ -64,7 +64,7 @@ def test_op1_small_alphabets_tiles_and_overlaps(spark, monkeypatch):
     texts = ["".join(rnd.choice(part) + rnd.choice(["", "x", "zé"]) for _ in range(rnd.randint(0, 9))) for _ in range(40)] + ["a" * 700, "ab" * 300, "", None, part[0] * 7]
     got = suffix_dedup.remove_repeats(docs_of(spark, enumerate(texts)), length=64).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
     assert [tuple(r)[1:] for r in sorted(got)] == brute_repeats(texts, 64)
-    data = [t.encode() for t in texts if t]
+    data = [suffix_dedup.symbols(t.encode()) for t in texts if t]
     whole = [x for p in suffix_dedup.parse(data, 64, 20) for x in zip(*(a.tolist() for a in p))]
     monkeypatch.setattr(suffix_dedup, "TILE", 97)
     monkeypatch.setattr(suffix_dedup.tiles, "__defaults__", (97,))
