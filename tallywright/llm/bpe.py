@@ -35,22 +35,40 @@ def byte_letters() -> dict[int, str]:
 
 
 class _Kinds(dict):
-    """A stand-in of the same kind (letter, number, other) for each character outside ASCII, by the character database:
-    matching goes on stand-ins, so that characters this Python doesn't know count as neither letter nor number."""
+    """A stand-in of the same kind (letter, number, other) for each character outside ASCII. The kind is the library's:
+    its own splitter is asked once for each character, so that a newer or older character database makes no difference.
+    Matching goes on stand-ins."""
 
     def __missing__(self, point: int) -> str:
-        kind = unicodedata.category(chr(point))[0]
-        self[point] = chr(point) if 0x1F < point < 0x80 else {"L": "\u00e9", "N": "\u00b2"}.get(kind, "\u00a7")
+        from tokenizers import Regex
+        from tokenizers.pre_tokenizers import Split
+
+        kinds = (r"\p{L}", "\u00e9"), (r"\p{N}", "\u00b2")
+        self.setdefault("ask", [(Split(Regex(p), "removed"), shown) for p, shown in kinds])
+        if 0x1F < point < 0x80:
+            self[point] = chr(point)
+        else:
+            self[point] = next((shown for split, shown in self["ask"] if not split.pre_tokenize_str(chr(point))), "\u00a7")
         return self[point]
 
 
-_kinds = _Kinds()
+class _Lower(dict):
+    """Each character's lower case, as the library has it."""
+
+    def __missing__(self, c: str) -> str:
+        from tokenizers.normalizers import Lowercase
+
+        self[c] = c.lower() if c < "\u0250" else Lowercase().normalize_str(c)
+        return self[c]
+
+
+_kinds, _lower = _Kinds(), _Lower()
 
 
 class Bpe:
     """Encoder and decoder of one vocabulary file."""
 
-    def __init__(self, path: str, bound: int = 400_000):
+    def __init__(self, path: str, bound: int = 200_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -99,7 +117,7 @@ class Bpe:
             word = shown = word.lower()
             shown = shown if shown.isprintable() else shown.translate(_kinds)
         else:
-            word = "".join([c.lower() for c in unicodedata.normalize("NFC", word)])
+            word = "".join([_lower[c] for c in unicodedata.normalize("NFC", word)])
             shown = word.translate(_kinds)
         found = []
         for m in self.pattern.finditer(shown):
@@ -135,13 +153,12 @@ class Bpe:
         return " ".join([x[0] for x in found]), " ".join([x[1] for x in found])
 
 
-_loaded: dict[str, Bpe] = {}
-
-
 def loaded(path: str) -> Bpe:
-    if path not in _loaded:
-        _loaded[path] = Bpe(path)
-    return _loaded[path]
+    """The vocabulary, kept by a worker until it turns to another operator's work."""
+    kept = memo(path)
+    if "bpe" not in kept:
+        kept["bpe"] = Bpe(path)
+    return kept["bpe"]
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None, with_ids: bool = False) -> DataFrame:

@@ -30,7 +30,7 @@ _shape = re.compile(r"^(\W*)(.*?)(\W*)$", re.S)
 def _word(w: str, known: dict[str, tuple[int, int]]) -> tuple[int, int]:
     """Slots of a word and of its shape."""
     if (x := known.get(w)) is None:
-        if len(known) > 200_000:
+        if len(known) > 100_000:
             known.clear()
         before, core, after = _shape.match(w).groups()
         case = "0" if not core else "A" if core.isupper() and len(core) > 1 else "a" if core.islower() else "1" if core.isdigit() else "X" if core[:1].isupper() else "m"
