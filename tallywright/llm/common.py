@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -18,9 +20,12 @@ _memo: dict = {}
 
 
 def memo(owner: str) -> dict:
-    """What a Python worker remembers between batches. Workers outlive stages, so another owner's memory is dropped."""
+    """What a Python worker remembers between batches. Workers outlive stages, so another owner's memory is dropped, and
+    what the allocator holds of it goes back to the system."""
     if _memo.get("owner") != owner:
         _memo.clear()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
         _memo.update(owner=owner, kept={})
     return _memo["kept"]
 

@@ -35,15 +35,14 @@ from tallywright.llm.common import append, fresh, memo, numbered, settle
 SIZE, END = 1024, 2
 WHITE = "\t-\r \x85\xa0  -     　"
 _chunks = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+").findall
+_kept: dict = {}
 
 
 def encoder(path: str, bound: int = 150_000) -> Callable[[str], bytes]:
     """Text to its ids as little-endian 32-bit numbers, kept by word up to a bound. Words of Latin letters are encoded
-    by a second library from the same vocabulary, which takes half as long; all others by the file's own library.
-    A worker forgets both libraries and the words when it turns to another operator's work."""
-    kept = memo(path)
-    if "encode" in kept:
-        return kept["encode"]
+    by a second library from the same vocabulary, which takes half as long; all others by the file's own library."""
+    if path in _kept:
+        return _kept[path]
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -58,9 +57,8 @@ def encoder(path: str, bound: int = 150_000) -> Callable[[str], bytes]:
     ranks = {bytes(byte_of[c] for c in s): i for s, i in vocab.items() if s not in special}
     latin = tiktoken.Encoding("latin", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
-    known: dict[str, bytes] = {}
-
     def encode(text: str) -> bytes:
+        known = memo(path)
         parts = [text]
         if at_special and any(s in text for s in special):
             parts = at_special.split(text)
@@ -78,7 +76,7 @@ def encoder(path: str, bound: int = 150_000) -> Callable[[str], bytes]:
                 known[c] = np.array(e.ids, "<u4").tobytes()
             return b"".join(map(known.__getitem__, chunks))
 
-    kept["encode"] = encode
+    _kept[path] = encode
     return encode
 
 
