@@ -14,7 +14,9 @@ def npv(rate: Column, t: str = "t", cash: str = "cash") -> Column:
 
 
 def irr(flows: DataFrame, key: str, t: str = "t", cash: str = "cash", low: float = -0.9999, high: float = 10.0, steps: int = 80) -> DataFrame:
-    """key and irr by bisection on the flows in order of t; null without a change of sign."""
+    """key and irr by bisection on the flows in order of t; null without a change of sign between low and high.
+
+    Each step halves the bracket: 80 of them leave less than a double can tell apart."""
     series = flows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(t, cash))).alias("s"))
 
     def value(rate: Column) -> Column:
@@ -23,10 +25,10 @@ def irr(flows: DataFrame, key: str, t: str = "t", cash: str = "cash", low: float
     halve = F.aggregate(
         F.sequence(F.lit(1), F.lit(steps)),
         F.struct(F.lit(low).alias("lo"), F.lit(high).alias("hi")),
-        lambda a, _: F.when(value((a["lo"] + a["hi"]) / 2) > 0, F.struct(((a["lo"] + a["hi"]) / 2).alias("lo"), a["hi"].alias("hi"))).otherwise(F.struct(a["lo"].alias("lo"), ((a["lo"] + a["hi"]) / 2).alias("hi"))),
+        lambda a, _: F.when(F.signum(value((a["lo"] + a["hi"]) / 2)) == C("_side"), F.struct(((a["lo"] + a["hi"]) / 2).alias("lo"), a["hi"].alias("hi"))).otherwise(F.struct(a["lo"].alias("lo"), ((a["lo"] + a["hi"]) / 2).alias("hi"))),
     )
-    crosses = (value(F.lit(low)) > 0) & (value(F.lit(high)) < 0)
-    return series.select(key, F.when(crosses, (halve["lo"] + halve["hi"]) / 2).alias("irr"))
+    crosses = C("_side") * F.signum(value(F.lit(high))) < 0
+    return series.withColumn("_side", F.signum(value(F.lit(low)))).select(key, F.when(crosses, (halve["lo"] + halve["hi"]) / 2).alias("irr"))
 
 
 def mirr(finance: Column, reinvest: Column, t: str = "t", cash: str = "cash") -> Column:
@@ -61,6 +63,11 @@ def variance_pct(actual: Column, plan: Column) -> Column:
     return F.try_divide(actual - plan, F.abs(plan))
 
 
+def named_ratios(revenue: Column, cogs: Column, operating: Column, assets: Column, liabilities: Column, ltv: Column, cac: Column) -> dict[str, Column]:
+    """F8: gross and operating margin, current ratio and lifetime value over acquisition cost; null for a zero denominator."""
+    return {"gross_margin": F.try_divide(revenue - cogs, revenue), "operating_margin": F.try_divide(operating, revenue), "current_ratio": F.try_divide(assets, liabilities), "ltv_cac": F.try_divide(ltv, cac)}
+
+
 def close_to(a: Column, b: Column, rel: float = 1e-6, abs_: float = 1e-6) -> Column:
     """F9."""
     return F.abs(a - b) <= F.greatest(rel * F.greatest(F.abs(a), F.abs(b)), F.lit(abs_))
@@ -171,32 +178,6 @@ def allocate(weights: DataFrame, pool: str, ord_: str, weight: str, amount: str)
     return part.withColumn("share", F.when(last & (total > 0), C(amount) - F.coalesce(before, F.lit(0.0))).otherwise(C("_s"))).drop("_s")
 
 
-def revolver(periods: DataFrame, floor: float, limit: float, steps: int = 30) -> DataFrame:
-    """per model, periods (model, k, flow, rate, cash0) to draw, balance, interest and cash.
-
-    Interest falls on the average of opening and closing debt, which depends on the draw; a fixed number of contraction
-    steps solves each period. Cash below the floor draws, up to the limit; cash above it repays.
-    """
-    s = periods.groupBy("model").agg(F.sort_array(F.collect_list(F.struct("k", "flow", "rate"))).alias("s"), F.first("cash0").alias("cash0"))
-
-    def close(debt: Column, cash: Column, x: Column) -> Column:
-        def step(b: Column, _: Column) -> Column:
-            need = floor - (cash + x["flow"] - x["rate"] * (debt + b) / 2)
-            return F.greatest(F.lit(0.0), F.least(F.lit(limit), debt + need))
-
-        return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), debt, step)
-
-    def one(a: Column, x: Column) -> Column:
-        b = close(a["debt"], a["cash"], x)
-        interest = x["rate"] * (a["debt"] + b) / 2
-        row = F.struct(x["k"].alias("k"), (b - a["debt"]).alias("draw"), b.alias("balance"), interest.alias("interest"), (a["cash"] + x["flow"] - interest + b - a["debt"]).alias("cash"))
-        return F.struct(b.alias("debt"), row["cash"].alias("cash"), F.concat(a["rows"], F.array(row)).alias("rows"))
-
-    kind = "array<struct<k:int,draw:double,balance:double,interest:double,cash:double>>"
-    start = F.struct(F.lit(0.0).alias("debt"), C("cash0").cast("double").alias("cash"), F.array().cast(kind).alias("rows"))
-    return s.select("model", F.inline(F.aggregate("s", start, one)["rows"]))
-
-
 def discounted_ltv(margin: Column, churn: Column, rate: Column) -> Column:
     """F20."""
     return F.try_divide(margin * (1 + rate), churn + rate)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+C = F.col
+
 # Texts that stand for a missing value, and factors of unit words.
-SENTINELS = ["", "-", "--", "–", "—", "n/a", "na", "n.a.", "null", "none", "nan", "nil", "x", "…", "...", "*", "해당없음", "미상"]
-UNITS = {"십억원": 10**9, "백만원": 10**6, "억원": 10**8, "천만원": 10**7, "천원": 10**3, "만원": 10**4, "조원": 10**12, "천명": 10**3, "만명": 10**4, "billion": 10**9, "million": 10**6, "thousand": 10**3, "천": 10**3, "백만": 10**6}
+SENTINELS = ["", "…", "...", "..", "-", "–", "—", "n/a", "na", "n.a.", ".", "x", "x)", "해당없음", "없음", "*", "**", "ns"]
+UNITS = {"십억원": 10**9, "백만원": 10**6, "억원": 10**8, "천만원": 10**7, "천원": 10**3, "만원": 10**4, "조원": 10**12, "천명": 10**3, "만명": 10**4, "billion": 10**9, "million": 10**6, "thousand": 10**3, "천": 10**3, "백만": 10**6, "억": 10**8, "조": 10**12}
 ERRORS = ["#REF!", "#DIV/0!", "#VALUE!", "#NAME?", "#N/A", "#NUM!", "#NULL!", "#SPILL!", "#CALC!", "#GETTING_DATA"]
 
 _LONGEST_FIRST = sorted(UNITS, key=len, reverse=True)
@@ -38,8 +40,8 @@ def unit_scale(label: Column) -> Column:
 
 def split_scale(x: Column) -> Column:
     """Body and factor of a number with a unit behind it."""
-    pattern = r"^(.*\d[\d,.]*\)?)\s*(" + "|".join(_LONGEST_FIRST) + r")\s*$"
-    body, unit = F.regexp_extract(x, pattern, 1), F.regexp_extract(x, pattern, 2)
+    pattern = r"^(.*\d[\d,.]*\)?)\s*(" + "|".join(_LONGEST_FIRST) + r")\s*(\)?)\s*$"
+    body, unit = F.concat(F.regexp_extract(x, pattern, 1), F.regexp_extract(x, pattern, 3)), F.regexp_extract(x, pattern, 2)
     return F.struct(F.when(unit == "", x).otherwise(body).alias("body"), F.when(unit == "", F.lit(1)).otherwise(unit_scale(unit)).cast("long").alias("scale"))
 
 
@@ -86,6 +88,16 @@ def value_kind(x: Column) -> Column:
     )
 
 
+def column_type(table: DataFrame, keys: list[str], value: str, threshold: float = 0.7) -> DataFrame:
+    """Keys and the type that at least the threshold of a column's values has, missing ones left out; else MIXED, and
+    TEXT for a column without values. Ties go to the type that comes first in the alphabet."""
+    g = table.withColumn("_k", value_kind(C(value))).groupBy(*keys, "_k").agg(F.count("*").alias("_n"))
+    top = F.max_by(F.when(C("_k").isNotNull(), C("_k")), F.when(C("_k").isNotNull(), F.struct(C("_n"), -F.ascii("_k"))))
+    s = g.groupBy(*keys).agg(top.alias("_t"), F.max(F.when(C("_k").isNotNull(), C("_n"))).alias("_m"), F.sum(F.when(C("_k").isNotNull(), C("_n")).otherwise(0)).alias("_all"))
+    kind = F.when(C("_all") == 0, "TEXT").when(C("_m") / C("_all") >= threshold, C("_t")).otherwise("MIXED")
+    return s.select(*keys, kind.alias("type"))
+
+
 def to_integer(x: Column) -> Column:
     """Whole numbers only; thousands commas must stand in threes."""
     t = F.trim(x)

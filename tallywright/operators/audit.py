@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallywright.functions.normalize import ERRORS
+from tallywright.functions.normalize import ERRORS, number
+from tallywright.operators.lineage import small
 
 C = F.col
 BENIGN = ["0", "1", "2", "4", "12", "100", "365", "1000"]
@@ -47,15 +48,16 @@ def relative_form(formula: Column, row: Column, col: Column) -> Column:
 
 def minority(cells: DataFrame, keys: list[str], what: str, at_least: int = 3) -> DataFrame:
     """Rows whose form is rare (at most a third, or one) beside a majority of at least `at_least`."""
-    w, v = Window.partitionBy(*keys), Window.partitionBy(*keys, what)
-    m = cells.withColumn("_k", F.count("*").over(v)).withColumn("_top", F.max("_k").over(w)).withColumn("_n", F.count("*").over(w))
-    return m.filter((C("_top") >= at_least) & (C("_k") < C("_top")) & (C("_k") <= F.greatest(F.lit(1), F.floor(C("_n") / 3)))).drop("_k", "_top", "_n")
+    forms = cells.groupBy(*keys, what).agg(F.count("*").alias("_k"))
+    tops = small(forms.groupBy(*keys).agg(F.max("_k").alias("_top"), F.sum("_k").alias("_n")))
+    rare = forms.join(tops, keys).filter((C("_top") >= at_least) & (C("_k") < C("_top")) & (C("_k") <= F.greatest(F.lit(1), F.floor(C("_n") / 3))))
+    return cells.join(small(rare.select(*keys, what)), [*keys, what], "left_semi")
 
 
 def text_in_numbers(cells: DataFrame, keys: list[str], kind: str) -> DataFrame:
     """Text cells of columns that are mostly numbers."""
-    w = Window.partitionBy(*keys)
-    return cells.withColumn("_f", F.avg((C(kind) == "NUM").cast("int")).over(w)).filter((C("_f") > 0.5) & (C(kind) == "TEXT")).drop("_f")
+    mostly = cells.groupBy(*keys).agg(F.avg((C(kind) == "NUM").cast("int")).alias("_f")).filter("_f > 0.5").select(*keys)
+    return cells.filter(C(kind) == "TEXT").join(small(mostly), keys, "left_semi")
 
 
 def crossfoot(cells: DataFrame, keys: list[str], row: str, value: str, total: str, tol: float = 0.01) -> DataFrame:
@@ -113,6 +115,11 @@ def formula_rules(cells: DataFrame, rules: DataFrame) -> DataFrame:
     return j.filter(F.upper(F.regexp_replace("formula", r"[$\s]", "")) != want)
 
 
+def numbers_as_text(cells: DataFrame) -> DataFrame:
+    """X11: cells formatted as text whose text is a number."""
+    return cells.filter((C("number_format") == "@") & number(C("value_str"))["value"].isNotNull())
+
+
 def disallowed_formats(cells: DataFrame, allowed: list[str], of: str = "number_format") -> DataFrame:
     """Cells whose number format isn't allowed."""
     return cells.filter(C(of).isNotNull() & ~C(of).isin(allowed))

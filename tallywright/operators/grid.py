@@ -1,6 +1,7 @@
 """Grids of cells to tidy facts, for many workbooks at once.
 
-cells: workbook, sheet, row, col, value_str (text as shown), bold, merge_row, merge_col. All work is keyed by workbook
+cells: workbook, sheet, row, col, value_str (text as shown), bold, merge_row, merge_col, and where known font_rgb and
+number_format. All work is keyed by workbook
 and sheet, so a cluster spreads over sheets.
 """
 
@@ -10,12 +11,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallywright.functions import normalize as n
-from tallywright.llm.components import components
+from tallywright.operators.components import components
 from tallywright.operators.lineage import settle
 
 C = F.col
 SHEET = ["workbook", "sheet"]
-# Words that mark subtotals and totals.
+# Font colours that mark a loss, and words that mark subtotals and totals.
+RED = ["FF0000", "C00000"]
 SUBTOTALS = ["소계", "합계", "총계", "누계", "계", "subtotal", "total", "sub-total", "grand total", "sum", "소 계", "합 계"]
 
 
@@ -125,19 +127,40 @@ def is_subtotal(label: Column) -> Column:
     return bare.isin([w.replace(" ", "") for w in SUBTOTALS])
 
 
+def is_red(rgb: Column) -> Column:
+    """A red of the list, whatever its opacity."""
+    return F.coalesce(F.upper(F.right(rgb, F.lit(6))).isin(RED), F.lit(False))
+
+
+def column_findings(long: DataFrame) -> DataFrame:
+    """T5: block and column with SCALE_HETEROGENEOUS (cells' own units differ), TEXT_AS_NUM_SUSPECT (numbers in cells
+    formatted as text) or MIXED_NUMBER_FORMAT. long: data cells with value_str and number_format."""
+    num = n.number(C("value_str"))
+    ok, f = num["value"].isNotNull(), F.coalesce("number_format", F.lit("General"))
+    plain = ok & ~C("value_str").contains("%")
+    g = long.groupBy(*SHEET, "block_id", "col").agg(
+        F.size(F.collect_set(F.when(plain, num["scale"]))).alias("scales"), F.count_if(ok & (f == "@")).alias("texts"),
+        F.size(F.collect_set(F.when(~f.isin("General", "@", ""), f))).alias("formats"),
+    )
+    kinds = F.array_compact(F.array(F.when(C("scales") >= 2, "SCALE_HETEROGENEOUS"), F.when(C("texts") > 0, "TEXT_AS_NUM_SUSPECT"), F.when(C("formats") >= 2, "MIXED_NUMBER_FORMAT")))
+    return g.select(*SHEET, "block_id", "col", F.explode(kinds).alias("kind"))
+
+
 def tidy(long: DataFrame) -> DataFrame:
-    """Entity, period, metric, value scaled once, role and flags, with where it came from."""
+    """Entity, period, metric, value scaled once, role and flags, with where it came from."""
     period = F.try_element_at(F.filter(F.concat("col_hdrs", "row_hdrs"), lambda x: n.is_period(x)), F.lit(1))
     rest = lambda x: F.array_join(F.filter(x, lambda y: ~F.coalesce(n.is_period(y), F.lit(False))), " > ")
     num = n.number(C("value_str"))
     block = n.unit_scale(F.coalesce("unit", F.lit("")))
     scale = F.when(num["scale"] != 1, F.lit(1)).when(C("value_str").contains("%"), F.lit(1)).otherwise(block)
     error = F.trim("value_str").isin(n.ERRORS)
+    red = (is_red(C("font_rgb")) if "font_rgb" in long.columns else F.lit(False)) & (num["value"] > 0) & ~num["negative"]
+    red = F.coalesce(red, F.lit(False))
     return long.select(
         "workbook", "sheet", "block_id", rest(C("row_hdrs")).alias("entity"), period.alias("period"), rest(C("col_hdrs")).alias("metric"),
-        F.when(~error, num["value"] * scale).alias("value"), F.when(num["value"].isNull(), C("value_str")).alias("value_text"), "unit",
+        F.when(~error, num["value"] * scale * F.when(red, -1).otherwise(1)).alias("value"), F.when(num["value"].isNull(), C("value_str")).alias("value_text"), "unit",
         F.when(is_subtotal(F.try_element_at("row_hdrs", F.lit(-1))), "subtotal").otherwise("data").alias("row_role"), "level", C("row").alias("src_row"), C("col").alias("src_col"),
-        scale.alias("scale_applied"), C("value_str").alias("raw_value"), F.array_compact(F.array(F.when(error, "ERROR_CELL"), F.when(num["scale"] != 1, "CELL_SCALE"))).alias("flags"),
+        scale.alias("scale_applied"), C("value_str").alias("raw_value"), F.array_compact(F.array(F.when(error, "ERROR_CELL"), F.when(num["scale"] != 1, "CELL_SCALE"), F.when(red, "SIGN_FROM_COLOR"))).alias("flags"),
     )
 
 
@@ -174,10 +197,10 @@ def children(rows: DataFrame, keys: list[str], ord_: str = "src_row") -> DataFra
     w = Window.partitionBy(*keys).orderBy(ord_)
     r = rows.withColumn("_rn", F.row_number().over(w)).withColumn("_sum", F.sum("value").over(w))
     levels = [x[0] for x in r.select("level").distinct().orderBy("level").collect()]  # a few indent levels
-    ahead = w.rowsBetween(1, Window.unboundedFollowing)
+    behind = Window.partitionBy(*keys).orderBy(F.desc(ord_)).rowsBetween(Window.unboundedPreceding, -1)  # the rows below, nearest last
     stop = None
     for lv in levels:
-        s = F.min(F.when(C("level") <= lv, C("_rn"))).over(ahead)
+        s = F.min(F.when(C("level") <= lv, C("_rn"))).over(behind)
         stop = F.when(C("level") == lv, s) if stop is None else stop.when(C("level") == lv, s)
     r = r.withColumn("_stop", F.coalesce(stop, F.max("_rn").over(Window.partitionBy(*keys)) + 1))
     upto = r.select(*keys, C("_rn").alias("_e"), C("_sum").alias("_se"))

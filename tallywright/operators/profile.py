@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallywright.functions.normalize import value_kind
+from tallywright.functions.normalize import number, value_kind
 
 C = F.col
 
@@ -13,9 +13,9 @@ C = F.col
 def column_stats(table: DataFrame, columns: list[str]) -> DataFrame:
     """One pass over a table: rows, nulls, shares of dates and numbers, and distinct values of each column."""
     long = table.select(*(C(c).cast("string").alias(c) for c in columns)).unpivot([], columns, "column", "v")
-    kinds = long.withColumn("k", value_kind(C("v")))
+    kinds = long.withColumns({"k": value_kind(C("v")), "x": number(C("v"))["value"]})
     share = lambda *k: F.coalesce(F.avg(F.when(C("v").isNotNull(), C("k").isin(*k).cast("int"))), F.lit(0.0))
-    return kinds.groupBy("column").agg(F.count("*").alias("n"), F.count_if(C("v").isNull()).alias("nulls"), share("DATE").alias("dates"), share("NUM", "PCT").alias("numbers"), F.countDistinct("v").alias("card"))
+    return kinds.groupBy("column").agg(F.count("*").alias("n"), F.count_if(C("v").isNull()).alias("nulls"), share("DATE").alias("dates"), share("NUM", "PCT").alias("numbers"), F.countDistinct("v").alias("card"), F.coalesce(F.bool_and(C("x") == F.floor("x")), F.lit(False)).alias("whole"), F.min("x").alias("low"), F.max("x").alias("high"))
 
 
 def roles(stats: DataFrame) -> DataFrame:
@@ -25,8 +25,10 @@ def roles(stats: DataFrame) -> DataFrame:
 
 
 def kinds(stats: DataFrame) -> DataFrame:
-    """P5: date, measure, choice or key."""
-    return stats.withColumn("kind", F.when(C("dates") >= 0.8, "date").when(C("numbers") >= 0.8, F.when(C("card") >= 0.99 * C("n"), "key").otherwise("measure")).when(C("card") > 50, "key").otherwise("choice"))
+    """P5: date, measure, choice or key. Numbers are a key if they are whole, unique, not negative and dense: their range is at
+    most one and a half times their count. Amounts spread wider."""
+    dense = C("whole") & (C("card") == C("n") - C("nulls")) & (C("low") >= 0) & (C("high") - C("low") + 1 <= 1.5 * C("card"))
+    return stats.withColumn("kind", F.when(C("dates") >= 0.8, "date").when(C("numbers") >= 0.8, F.when(dense, "key").otherwise("measure")).when(C("card") > 50, "key").otherwise("choice"))
 
 
 def recommend(roles_: DataFrame) -> DataFrame:
@@ -35,6 +37,17 @@ def recommend(roles_: DataFrame) -> DataFrame:
     return g.withColumn("output", F.when(C("m") == 0, "listing").when(C("t") > 0, "trend").when(C("m") >= 2, "variance").otherwise("listing")).drop("m", "t")
 
 
+def workbook_verdict(sheets: DataFrame, edges: DataFrame) -> DataFrame:
+    """Workbook and kind: linked if any sheet's formulas refer to another, else none, single or multi by its sheets with data.
+
+    sheets: workbook, sheet, output (null: no data). edges: workbook, from, to.
+    """
+    g = sheets.groupBy("workbook").agg(F.count("output").alias("with_data"))
+    linked = edges.groupBy("workbook").agg(F.count("*").alias("links"))
+    kind = F.when(C("with_data") == 0, "none").when(C("links") > 0, "linked").when(C("with_data") == 1, "single").otherwise("multi")
+    return g.join(linked, "workbook", "left").fillna(0, ["links"]).withColumn("kind", kind)
+
+
 def measure_shape(series: DataFrame, keys: list[str], ord_: str, value: str) -> DataFrame:
     """Trend per step, noise and AR(1) of a monthly series, from a log-linear fit; rates of nulls, negatives, zeros."""
     s = series.withColumn("_y", F.ln(F.when(C(value) > 0, C(value))))
@@ -47,9 +60,10 @@ def measure_shape(series: DataFrame, keys: list[str], ord_: str, value: str) ->
 
 
 def choice_shape(table: DataFrame, column: str) -> DataFrame:
-    """Weights of a choice in descending order, without names."""
-    g = table.groupBy(column).count().withColumn("w", C("count") / F.sum("count").over(Window.partitionBy()))
-    return g.agg(F.count("*").alias("card"), F.sort_array(F.collect_list(F.round("w", 4)), False).alias("weights"))
+    """How many members of a choice have each weight, without names; a row per weight."""
+    g = table.groupBy(column).count()
+    total = g.agg(F.sum("count").alias("total"), F.count("*").alias("card"))  # one row
+    return g.groupBy("count").agg(F.count("*").alias("members")).crossJoin(F.broadcast(total)).select("card", F.round(C("count") / C("total"), 4).alias("weight"), "members")
 
 
 def correlation(a: str, b: str, pairs: int = 3, least: float = 0.1) -> Column:

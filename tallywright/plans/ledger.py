@@ -149,7 +149,13 @@ def t10_reject_alarm(t: Tables) -> DataFrame:
     return totals.reject_alarm(t.lineitem.select(C("l_linenumber").alias("workbook"), F.array_compact(F.array(F.when(C("l_quantity") > cut, "TOO_MANY"))).alias("reasons")), ["workbook"])
 
 
-CELLS = "(SELECT 2*count(*) FROM (SELECT DISTINCT p_brand, year(l_shipdate) FROM lineitem JOIN part ON l_partkey=p_partkey WHERE year(l_shipdate) BETWEEN 1995 AND 2000))"
+_KEY = "CASE WHEN bool_and({c}=floor({c})) AND count(DISTINCT {c})=count({c}) AND min({c})>=0 AND max({c})-min({c})+1<=1.5*count(DISTINCT {c}) THEN 'key' ELSE 'measure' END"
+_ROLE = "CASE WHEN count(DISTINCT {c})<=20 AND count(DISTINCT {c})/count(*)<=0.5 THEN 'dimension' ELSE 'measure' END"
+_TEXT = "CASE WHEN count(DISTINCT {c})>0.9*count(*) THEN 'id' ELSE 'dimension' END"
+ORDER_COLUMNS = [(c, _KEY.format(c=c), _ROLE.format(c=c)) for c in ("o_orderkey", "o_custkey", "o_totalprice")]
+ORDER_COLUMNS += [("o_orderdate", "'date'", "'time'"), *((c, f"CASE WHEN count(DISTINCT {c})>50 THEN 'key' ELSE 'choice' END", _TEXT.format(c=c)) for c in ("o_orderstatus", "o_orderpriority"))]
+
+CELLS = "(SELECT 2*count(*) FROM (SELECT DISTINCT p_brand, year(l_shipdate) FROM lineitem JOIN part ON l_partkey=p_partkey))"
 
 
 @query(f"SELECT 'w' AS workbook, (SELECT count(DISTINCT left(p_brand,length(p_brand)-1)) FROM part) AS blocks, {CELLS} AS kept, 0 AS rejected, {CELLS} AS covered, 0 AS uncovered")
@@ -159,10 +165,12 @@ def t11_ingest_summary(t: Tables) -> DataFrame:
     return totals.summary(grid.validate(rows), grid.reconcile(c, rows).withColumn("workbook", F.coalesce("workbook", F.lit("w"))), ["workbook"])
 
 
-@query("SELECT 0 AS no_entity, 0 AS no_period, 0 AS no_metric, 0 AS leaks, 0 AS rejected, 0 AS unreconciled, false AS value_leak, true AS ok")
+@query("WITH b AS (SELECT DISTINCT p_brand, year(l_shipdate) AS y FROM lineitem JOIN part ON l_partkey=p_partkey) SELECT 0 AS no_entity, 2*count(*) FILTER (right(p_brand,1)='3') AS no_period, 0 AS no_metric, 0 AS leaks, 2*count(*) FILTER (right(p_brand,1)='3') AS rejected, 2*count(*) FILTER (right(p_brand,1)='2') AS unreconciled, false AS value_leak, false AS ok FROM b")
 def t16_invariants(t: Tables) -> DataFrame:
+    """An output that is damaged after the ingest: rows of items 3 lose their period, those of items 2 are lost."""
     c = cells(t)
-    rows = grid.ingest(c)
+    whole = settle(grid.ingest(c).filter("not endswith(entity, '2')"))
+    rows = whole.withColumn("period", F.when(~C("entity").endswith("3"), C("period")))
     return totals.invariants(grid.validate(rows), grid.reconcile(c, rows))
 
 
@@ -234,7 +242,7 @@ def p9_date_range(t: Tables) -> DataFrame:
     return profile.date_range(t.orders, "o_orderdate")
 
 
-@query()
+@query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS n, count(DISTINCT {c}) AS card, round(count(*) FILTER ({c} IS NULL)/count(*),6) AS null_rate, {kind} AS kind, {role} AS role FROM orders" for c, kind, role in ORDER_COLUMNS))
 def p10_profile(t: Tables) -> DataFrame:
     """A row per column of the orders."""
     return profile.profile(t.orders.withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd")), t.orders.columns)
@@ -270,7 +278,7 @@ def s9_wide_records(t: Tables) -> DataFrame:
     return out.select("region_label", "nation", C("1997|sales").alias("v1997"), C("1998|sales").alias("v1998"), "unit")
 
 
-@query("SELECT left(p_brand,length(p_brand)-1) AS sheet, 4 AS row, k.key, count(DISTINCT year(l_shipdate)) AS columns FROM lineitem JOIN part ON l_partkey=p_partkey, (VALUES ('revenue'),('qty')) k(key) WHERE year(l_shipdate) BETWEEN 1995 AND 2000 GROUP BY 1,3")
+@query("SELECT left(p_brand,length(p_brand)-1) AS sheet, 4 AS row, k.key, count(DISTINCT year(l_shipdate)) AS columns FROM lineitem JOIN part ON l_partkey=p_partkey, (VALUES ('revenue'),('qty')) k(key) GROUP BY 1,3")
 def b19_repeated_keys(t: Tables) -> DataFrame:
     """Measures repeat in the second header row, once per year, and are told apart by the years above."""
     full = settle(grid.filled(grid.unmerge(cells(t))))

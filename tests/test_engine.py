@@ -48,13 +48,6 @@ def test_schedules_end_where_they_must(spark):
     assert lease.filter("k = 12").first().closing == pytest.approx(0, abs=1e-9)
 
 
-def test_revolver_balances(spark):
-    p = spark.createDataFrame([("m", 1, -800.0, 0.01, 1000.0), ("m", 2, -500.0, 0.01, 1000.0), ("m", 3, 2000.0, 0.01, 1000.0)], "model string, k int, flow double, rate double, cash0 double")
-    r = {x.k: x for x in fin.revolver(p, 500.0, 1e6).collect()}
-    assert r[1].cash == pytest.approx(500) and r[2].cash == pytest.approx(500) and r[3].balance == 0
-    assert r[1].interest == pytest.approx(0.01 * r[1].balance / 2)
-
-
 def test_effects_add_up(spark):
     e = fin.lmdi(F.col("r0"), F.col("v0"), F.col("r1"), F.col("v1"))
     for r in spark.createDataFrame([(2.0, 10.0, 3.0, 12.0), (0.0, 5.0, 1.0, 5.0), (-1.0, 4.0, 2.0, 4.0)], "r0 double, v0 double, r1 double, v1 double").select("*", e.alias("e")).collect():
