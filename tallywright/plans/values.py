@@ -166,7 +166,7 @@ def b1_unmerge(t: Tables) -> DataFrame:
 def sheets(t: Tables) -> DataFrame:
     """A sheet per supplier, whatever their number, with all traits at once: a band of headings over a gap, a repeated heading, a
     loss in red, a unit in a cell, an error, and a total; a sheet of contents besides that must be left out."""
-    s = t.supplier.select(F.concat(F.lit("s"), "s_suppkey").alias("sheet"), F.round(F.abs("s_acctbal")).cast("long").alias("v"))
+    s = t.supplier.select(F.concat(F.lit("s"), "s_suppkey").alias("sheet"), (F.round(F.abs("s_acctbal")).cast("long") + 20_000).alias("v"))
     cell = lambda r, c, x, rgb=None: F.struct(F.lit(r).alias("row"), F.lit(c).alias("col"), (x if isinstance(x, Column) else F.lit(x)).cast("string").alias("value_str"), F.lit(rgb).cast("string").alias("font_rgb"))
     v = C("v")
     rows = [
@@ -183,7 +183,7 @@ def sheets(t: Tables) -> DataFrame:
     return body.unionByName(toc).withColumns(none)
 
 
-@query("""WITH s AS (SELECT 's'||s_suppkey AS sheet, CAST(round(abs(s_acctbal)) AS BIGINT) AS v FROM supplier)
+@query("""WITH s AS (SELECT 's'||s_suppkey AS sheet, CAST(round(abs(s_acctbal)) AS BIGINT)+20000 AS v FROM supplier)
 SELECT s.sheet, x.entity, x.period, x.value, x.flag FROM s, LATERAL (VALUES ('alpha','2023년',CAST(v AS DOUBLE),''),('alpha','2024년',v+1,''),('alpha','2025년',v+2,''),('loss','2023년',-(v+3),'SIGN_FROM_COLOR'),('loss','2024년',(v+4)*1000,'CELL_SCALE'),('loss','2025년',NULL,'ERROR_CELL'),('beta','2023년',v+5,''),('beta','2024년',v+6,''),('beta','2025년',v+7,''),('gamma','2023년',v+8,''),('gamma','2024년',v+9,''),('gamma','2025년',v+10,'')) x(entity, period, value, flag)""")
 def b3_ingest_traits(t: Tables) -> DataFrame:
     """The whole way from cells to facts over a sheet per supplier."""
