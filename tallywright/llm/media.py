@@ -21,9 +21,10 @@ from pyspark.sql import DataFrame
 
 from tallywright.llm.common import append
 
-RATE, UP, DOWN, TAPS = 16000, 1, 2, 16
+RATE, UP, DOWN, TAPS = 16000, 2, 3, 16
 FRAME, HOP, MELS, TENSOR = 256, 128, 32, 64
-BLOCK = 1 << 18
+#: Samples that are resampled at once, a multiple of DOWN so that a block starts at an output.
+BLOCK = DOWN << 16
 
 
 def pad(data: bytes, to: int = 64) -> bytes:
@@ -67,15 +68,14 @@ _PHASES, _BANK, _WINDOW = _filter(), _mel_bank(RATE * UP / DOWN), np.hanning(FRA
 
 
 def resample(x: np.ndarray) -> np.ndarray:
-    """Output m is phase (m * DOWN) % UP of the filter at input (m * DOWN) // UP."""
+    """Output m is phase (m * DOWN) % UP of the filter at input (m * DOWN) // UP; outputs of one phase lie UP apart."""
     taps = _PHASES.shape[1]
     padded = np.r_[np.zeros(taps // 2, np.float32), x, np.zeros(taps, np.float32)]
     view = np.lib.stride_tricks.sliding_window_view(padded, taps)
-    m = np.arange(-(-len(x) * UP // DOWN))
-    out = np.empty(len(m), np.float32)
-    for p in range(UP):
-        mine = (m * DOWN) % UP == p
-        out[mine] = view[(m[mine] * DOWN) // UP] @ _PHASES[p] if UP > 1 else view[::DOWN][: len(m)] @ _PHASES[0]
+    out = np.empty(-(-len(x) * UP // DOWN), np.float32)
+    for first in range(UP):
+        mine = out[first::UP]
+        mine[:] = view[first * DOWN // UP :: DOWN][: len(mine)] @ _PHASES[first * DOWN % UP]
     return out
 
 
