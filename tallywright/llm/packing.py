@@ -1,9 +1,9 @@
 """Best-fit packing of token sequences by exact-complement hashing.
 
 Only the number of pieces of each length (1 to `size`) matters for a plan, so tasks tokenize and cut, Spark counts the
-lengths, and the plan is made from that histogram, whose size is fixed: from the longest length down, hash indexes of
-single, pair and triple length sums find combinations that exactly fill the gap, taken as often as the counts allow;
-where none does, the closest from below is the best fit, and its gap is filled on. The plan lists ranges of pieces per length, and a range join gives
+lengths, and the plan is made from that histogram, whose size is fixed: from the longest length down, indexes of
+single, pair and triple length sums, kept under the counts that are left, find combinations that exactly fill the gap,
+taken as often as the counts allow; where none does, the closest sum from below is the best fit, and its gap is filled on. The plan lists ranges of pieces per length, and a range join gives
 each piece its sequence. Full pieces need no partner.
 
 A document's ids are its text's ids and the end id. Documents longer than `size` are cut from the end, so only the first
@@ -20,6 +20,7 @@ import os
 import re
 import struct
 import zlib
+from collections import Counter
 from collections.abc import Callable
 
 import numpy as np
@@ -102,27 +103,70 @@ def pieces(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id
     return append(docs.select(doc_id, text), [text], f"{made} array<struct<{kind}>>", fn, [doc_id]).select(doc_id, F.posexplode(made).alias("piece", made)).select(doc_id, "piece", f"{made}.*")
 
 
-def _filling(left: np.ndarray, gap: int, most: int, tries: int = 8) -> tuple[int, ...]:
-    """At most `most` (up to three) lengths that are left and whose sum is closest to the gap from below; exact ones if there are any."""
-    there = np.flatnonzero(left[: gap + 1])[::-1].tolist()
-    if not there:
-        return ()
-    index = set(there)
-    for k, target in enumerate(range(gap, 0, -1)):
-        if target in index:
-            return (target,)
-        for a in there if most > 1 else ():
-            r = target - a
-            if 0 < r <= a and r in index and (r < a or left[a] > 1):
-                return (a, r)
-        if k >= tries or most < 3:
-            continue
-        for a in there:
-            for b in there:
-                r = target - a - b
-                if b <= a and 0 < r <= b and r in index and left[a] >= 1 + (b == a) + (r == a) and left[b] >= 1 + (b == a) + (r == b):
-                    return (a, b, r)
-    return ()
+class Sums:
+    """By sum, how many combinations of one, two and three pieces there are among the pieces left of each length."""
+
+    def __init__(self, counts: dict[int, int], size: int):
+        self.left = [0] * (size + 1)
+        self.of = np.zeros((4, size + 1), np.int64)
+        for length, n in counts.items():
+            self.change(length, n)
+
+    def change(self, x: int, n: int) -> None:
+        """n more pieces (or fewer) of length x; only combinations with one, two or three of them come or go."""
+        before, self.left[x] = self.left[x], self.left[x] + n
+        for k in (1, 2, 3):
+            if before < k <= self.left[x]:
+                self._count(x, k, 1)
+        for k in (3, 2, 1):
+            if self.left[x] < k <= before:
+                self._count(x, k, -1)
+
+    def _count(self, x: int, k: int, sign: int) -> None:
+        """Combinations with exactly k pieces of length x come (1) or go (-1); those with more aren't counted just now."""
+        _, one, two, three = self.of
+        top = len(one) - x * k
+        if top <= 0:
+            return
+        others = one.copy()
+        others[x] = 0
+        if k == 1:
+            if sign < 0:
+                two[x:] -= others[:top]
+            three[x:] += sign * two[:top]
+            if sign > 0:
+                two[x:] += others[:top]
+            one[x] += sign
+        elif k == 2:
+            two[2 * x] += sign
+            three[2 * x :] += sign * others[:top]
+        else:
+            three[3 * x] += sign
+
+    def _pair(self, total: int) -> tuple[int, int] | None:
+        for a in np.flatnonzero(self.of[1, (total + 1) // 2 : total])[::-1] + (total + 1) // 2:
+            if self.left[total - a] > (2 * a == total):
+                return int(a), int(total - a)
+        return None
+
+    def closest(self, gap: int, most: int) -> tuple[int, ...]:
+        """At most `most` (up to three) of the lengths left, with the largest sum that isn't over the gap."""
+        sums = np.flatnonzero(self.of[1 : most + 1, : gap + 1].any(axis=0))
+        if not len(sums):
+            return ()
+        total = int(sums[-1])
+        if self.of[1, total]:
+            return (total,)
+        if self.of[2, total]:
+            return self._pair(total)
+        for a in np.flatnonzero(self.of[1, :total])[::-1].tolist():
+            if self.of[2, total - a]:
+                self.change(a, -1)
+                pair = self._pair(total - a)
+                self.change(a, 1)
+                if pair:
+                    return (a, *pair)
+        raise AssertionError("a sum without a combination")
 
 
 def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[tuple[int, ...], int]]:
@@ -137,23 +181,20 @@ def _plan(counts: dict[int, int], size: int, most: int) -> list[tuple[tuple[int,
     allow it, else as closely as they can, and so on with the gap that remains; the combination is then taken as often
     as the counts last.
     """
-    left = np.zeros(size + 1, np.int64)
-    for length, n in counts.items():
-        left[length] = n
-    out: list[tuple[tuple[int, ...], int]] = []
+    sums, out = Sums(counts, size), []
     for length in range(size, 0, -1):
-        while left[length]:
-            rest = left.copy()
-            rest[length] -= 1
+        while sums.left[length]:
+            sums.change(length, -1)
             combination, gap = [length], size - length
-            while gap and (more := _filling(rest, gap, most)):
+            while gap and (more := sums.closest(gap, most)):
                 for x in more:
-                    rest[x] -= 1
+                    sums.change(x, -1)
                 combination += more
                 gap -= sum(more)
-            lengths, uses = np.unique(combination, return_counts=True)
-            n = int((left[lengths] // uses).min())
-            left[lengths] -= n * uses
+            uses = Counter(combination)
+            n = 1 + min(sums.left[x] // k for x, k in uses.items())
+            for x, k in uses.items():
+                sums.change(x, -k * (n - 1))
             out.append((tuple(combination), n))
     return out
 
