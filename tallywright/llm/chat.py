@@ -11,7 +11,7 @@ the order of sequence, role and text; an empty table gives an empty one.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
@@ -29,7 +29,6 @@ def fold(events: DataFrame) -> DataFrame:
     """conv_id, turn, messages (role, text) from conv_id, turn, seq, kind, role, text."""
     event = F.struct("seq", F.coalesce("kind", F.lit("message")).alias("kind"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     log = events.groupBy("conv_id", "turn").agg(F.sort_array(F.collect_list(event)).alias("log"))
-    plain = F.forall("log", lambda e: e["kind"] == "message")
     starts = F.filter(F.sequence(F.lit(1), F.size("log")), lambda i: (i == 1) | (F.element_at("log", i)["kind"] == "message"))
 
     def message(first: Column, k: Column) -> Column:
@@ -39,9 +38,25 @@ def fold(events: DataFrame) -> DataFrame:
         said = F.slice(own, F.array_max(resets), F.size(own))
         return F.struct(F.element_at(own, 1)["role"].alias("role"), F.array_join(F.transform(said, lambda e: e["text"]), "").alias("text"))
 
-    as_is = F.transform("log", lambda e: F.struct(e["role"].alias("role"), e["text"].alias("text")))
-    with_starts = log.withColumn("starts", F.when(~plain, starts))
-    return with_starts.select("conv_id", "turn", F.when(plain, as_is).otherwise(F.transform("starts", message)).alias("messages"))
+    return log.withColumn("starts", starts).select("conv_id", "turn", F.transform("starts", message).alias("messages"))
+
+
+def as_events(rows: DataFrame) -> DataFrame:
+    """The event log in which rows (conv_id, turn, role, text) were written: other roles than the assistant's open with the
+    first half of their text and are edited to the whole; the assistant streams the first half, regenerates and streams
+    both halves. Rows of one turn stand in the order of role and text."""
+    text = F.coalesce("text", F.lit(""))
+    half = F.floor(F.length(text) / 2)
+    first, second = F.substring(text, F.lit(1), half), F.substring(text, half + 1, F.length(text))
+    at = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy(F.coalesce("role", F.lit("")), text)).cast("long") * 8
+
+    def log(*events: tuple[str, Column]) -> Column:
+        return F.array(*(F.struct((F.col("at") + k).alias("seq"), F.lit(kind).alias("kind"), said.alias("text")) for k, (kind, said) in enumerate(events)))
+
+    streamed = log(("message", F.lit("")), ("delta", first), ("regenerate", F.lit("")), ("delta", first), ("delta", second))
+    edited = log(("message", first), ("edit", text))
+    both = rows.withColumn("at", at).withColumn("e", F.explode(F.when(F.col("role") == "assistant", streamed).otherwise(edited)))
+    return both.select("conv_id", "turn", "e.seq", "e.kind", "role", "e.text")
 
 
 def render(folded: DataFrame) -> DataFrame:
