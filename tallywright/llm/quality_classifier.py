@@ -91,9 +91,12 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, cost: float = 0.1, epochs: i
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "quality", sample: int = SAMPLE) -> tuple[np.ndarray, float] | None:
-    """Fit on at most `sample` labelled rows outside the held-out fold, in one task."""
-    chosen = labels.filter(~held_out(F.col(doc_id)) & F.col(label).isin(0, 1)).select(F.col(doc_id).cast("long").alias("id"), F.col(label).cast("int").alias("y")).distinct().orderBy(F.xxhash64("id"), "y").limit(sample)
-    near = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id")
+    """Fit on at most `sample` labelled rows outside the held-out fold, in one task; of rows with one id the least text counts."""
+    kind = "string" if "string" in (docs.schema[doc_id].dataType.typeName(), labels.schema[doc_id].dataType.typeName()) else "long"
+    named = F.col(doc_id).cast(kind).alias("id")
+    told = labels.filter(~held_out(F.col(doc_id)) & F.col(label).isin(0, 1)).select(named, F.col(label).cast("int").alias("y")).distinct()
+    chosen = told.orderBy(F.xxhash64("id"), "y").limit(sample)
+    near = docs.select(named, F.col(text).alias("text")).join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min("text").alias("text"))
     made = append(near, ["text"], "slots array<int>", lambda x: [[indicators(v or "").astype(np.int32) for v in x.to_pylist()]], ["id", "y"])
 
     def run(batches):

@@ -221,15 +221,17 @@ def repeated_starts(keyed: DataFrame, length: int = 400, windows: tuple[int, ...
     return out
 
 
-def _key(doc_id: Column, text: Column) -> tuple[Column, Column]:
-    return F.coalesce(doc_id.cast("long"), F.lit(-(1 << 62))), F.xxhash64(text)
+def _key(docs: DataFrame, doc_id: str, text: str) -> tuple[Column, Column]:
+    """Two numbers that name a row: its id (a digest of it, if ids aren't numbers) and a digest of its text."""
+    number = F.xxhash64(doc_id) if docs.schema[doc_id].dataType.typeName() == "string" else F.col(doc_id).cast("long")
+    return F.coalesce(number, F.lit(-(1 << 62))), F.xxhash64(text)
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, text: str = "text", doc_id: str = "doc_id", windows: tuple[int, ...] | None = None, unit: str = BYTES) -> DataFrame:
     """docs with n_bytes, n_removed, n_spans, the removed ranges, the remaining bytes `kept` and
     their text, without characters that a range's end cuts in two; other columns stay."""
     id_, check, spans = fresh(docs, "id", "check", "spans")
-    a, b = _key(F.col(doc_id), F.col(text))
+    a, b = _key(docs, doc_id, text)
     covered = repeated_starts(docs.select(a.alias("id"), b.alias("check"), F.col(text).alias("text")), length, windows, unit)
     listed = settle(covered.groupBy("id", "check").agg(F.collect_set(F.struct("start", "end")).alias("spans")))
     likely, keyed = Likely(listed), docs.withColumns({id_: a, check: b})
