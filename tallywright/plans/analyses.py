@@ -173,21 +173,25 @@ def f2_irr(t: Tables) -> DataFrame:
     return f.join(r, "project").groupBy("project").agg(F.round(F.max("irr"), 8).alias("irr"), (F.round(fin.npv(C("irr")) / 1000, 2) + 0.0).alias("npv_at_irr"))
 
 
-@query("""SELECT p_partkey AS asset, CAST(k AS INT) AS k, round(p_retailprice-(p_retailprice*0.9)/p_size*(k-1),6) AS opening, round(CASE WHEN k<p_size THEN p_retailprice*0.9/p_size ELSE p_retailprice*0.9-p_retailprice*0.9/p_size*(p_size-1) END,6) AS dep, round(CASE WHEN k<p_size THEN p_retailprice-p_retailprice*0.9/p_size*k ELSE p_retailprice*0.1 END,6) AS closing FROM part, range(1,51) x(k) WHERE k<=p_size""")
+@query("""SELECT p_partkey AS asset, CAST(k AS INT) AS k, CAST(round(CAST(p_retailprice-(p_retailprice*0.9)/p_size*(k-1) AS DECIMAL(38,9)),6) AS DOUBLE) AS opening,
+CAST(round(CAST(CASE WHEN k<p_size THEN p_retailprice*0.9/p_size ELSE p_retailprice*0.9-p_retailprice*0.9/p_size*(p_size-1) END AS DECIMAL(38,9)),6) AS DOUBLE) AS dep,
+CAST(round(CAST(CASE WHEN k<p_size THEN p_retailprice-p_retailprice*0.9/p_size*k ELSE p_retailprice*0.1 END AS DECIMAL(38,9)),6) AS DOUBLE) AS closing FROM part, range(1,51) x(k) WHERE k<=p_size""")
 def k14_depreciation_schedule(t: Tables) -> DataFrame:
     """Straight-line schedule of every asset and month."""
     a = t.part.select(C("p_partkey").alias("asset"), "p_size", C("p_retailprice").alias("cost"), (C("p_retailprice") * 0.1).alias("salvage"))
-    return rounded(fin.depreciation(a, "cost", "salvage", "p_size"), "opening", "dep", "closing", places=6).select("asset", "k", "opening", "dep", "closing")
+    return rounded(fin.depreciation(a, "cost", "salvage", "p_size"), "opening", "dep", "closing", places=6, ties=True).select("asset", "k", "opening", "dep", "closing")
 
 
 @query("""WITH a AS (SELECT p_partkey AS asset, p_retailprice AS cost, p_retailprice*0.9 AS base, p_size AS life, CASE WHEN p_partkey%3=0 THEN ceil(p_size*0.7) END AS dk, CASE WHEN p_partkey%4=0 THEN ceil(p_size*0.4) END AS ik FROM part),
 i AS (SELECT *, CASE WHEN ik IS NOT NULL AND (dk IS NULL OR ik<=dk) THEN cost*0.7-CASE WHEN ik>=life THEN base ELSE base/life*(ik-0.5) END ELSE 0 END AS imp, CASE WHEN dk IS NOT NULL THEN 0 WHEN ik=life THEN cost*0.3 ELSE cost*0.1 END AS closing,
 CASE WHEN dk IS NULL THEN 0 WHEN ik<=dk THEN cost*0.3-CASE WHEN life>ik THEN cost*0.2*(dk-ik)/(life-ik) ELSE 0 END ELSE cost-CASE WHEN dk>=life THEN base ELSE base/life*(dk-0.5) END END AS left_ FROM a)
-SELECT asset, round(cost-imp-closing-left_,2) AS dep, round(imp,2) AS impairment, round(closing,2) AS closing FROM i""")
+SELECT asset, CAST(round(CAST(cost-imp-closing-left_ AS DECIMAL(38,9)),2) AS DOUBLE) AS dep, CAST(round(CAST(imp AS DECIMAL(38,9)),2) AS DOUBLE) AS impairment,
+CAST(round(CAST(closing AS DECIMAL(38,9)),2) AS DOUBLE) AS closing FROM i""")
 def f11_depreciation_events(t: Tables) -> DataFrame:
     """Schedules with a part first month, impairments and disposals; cost = sum of dep, impairment and book at disposal."""
     a = t.part.select(C("p_partkey").alias("asset"), C("p_retailprice").alias("cost"), (C("p_retailprice") * 0.1).alias("salvage"), C("p_size").alias("life"), F.lit(0.5).alias("first_factor"), F.when(C("p_partkey") % 3 == 0, F.ceil(C("p_size") * 0.7).cast("int")).alias("dispose_k"), F.when(C("p_partkey") % 4 == 0, F.ceil(C("p_size") * 0.4).cast("int")).alias("impair_k"), (C("p_retailprice") * 0.3).alias("impair_to"))
-    return rounded(fin.depreciation_ext(a).groupBy("asset").agg(F.sum("dep").alias("dep"), F.sum("impairment").alias("impairment"), F.max_by("closing", "k").alias("closing")), "dep", "impairment", "closing")
+    sums = fin.depreciation_ext(a).groupBy("asset").agg(F.sum("dep").alias("dep"), F.sum("impairment").alias("impairment"), F.max_by("closing", "k").alias("closing"))
+    return rounded(sums, "dep", "impairment", "closing", ties=True)
 
 
 @query(f"""WITH {BY}, f AS (SELECT a.brand AS factor, b.revenue-a.revenue AS amount, CASE WHEN b.revenue>a.revenue*1.1 THEN 'permanent' WHEN b.revenue>a.revenue*0.9 THEN 'timing' ELSE 'residual' END AS kind FROM by_ a JOIN by_ b USING (brand) WHERE a.y=1998 AND b.y=1999)

@@ -39,5 +39,7 @@ BY = "by_ AS (SELECT p_brand AS brand, year(l_shipdate) AS y, sum(l_extendedpric
 NY = "ny AS (SELECT c_nationkey AS nation, year(o_orderdate) AS y, sum(o_totalprice) AS value, count(*) AS n, sum(CASE WHEN o_orderstatus='O' THEN o_totalprice ELSE 0 END) AS open, sum(CASE WHEN o_orderstatus='F' THEN o_totalprice ELSE 0 END) AS closed FROM orders JOIN customer ON o_custkey=c_custkey GROUP BY 1,2)"
 
 
-def rounded(df: DataFrame, *names: str, places: int = 2) -> DataFrame:
-    return df.withColumns({n: F.round(C(n), places) for n in names})
+def rounded(df: DataFrame, *names: str, places: int = 2, ties: bool = False) -> DataFrame:
+    """ties: values that are exact halves go by nine decimals, so that their last binary digits don't decide."""
+    exact = (lambda n: C(n).cast("decimal(38,9)")) if ties else C
+    return df.withColumns({n: F.round(exact(n), places).cast("double") if ties else F.round(exact(n), places) for n in names})
