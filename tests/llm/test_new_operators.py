@@ -211,7 +211,7 @@ def spelled(rnd):
                 w = typo(w) or w
             words.append(w)
         docs.append((i, rnd.choice([" ", "\n", "1", "_"]).join(words)))
-    return docs + [(5, docs[5][1]), (None, "abcdef " * 9), (700, None), (701, ""), (702, "É" * 50_000)]
+    return docs + [(5, docs[5][1]), (None, "abcdef " * 9), (700, None), (701, ""), (702, "É" * 50_000), (703, "planta " * 200 + "plantb " * 30 + "plamtb " * 6)]
 
 
 def test_variants_against_brute_force_by_every_way(spark):
