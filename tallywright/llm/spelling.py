@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tallywright.llm.common import settle
 
-GROUPS, CELL = 12, 20_000
+GROUPS, CELL = 12, 50_000
 LEAST_LENGTH, LEAST_COUNT, TIMES, DROP = 6, 5, 5, 199
 #: Distinct words that a task counts before it hands them on.
 GATHER = 200_000
@@ -74,14 +74,37 @@ def vector(word: str) -> bytes:
     return bytes(min(c, 255) for c in counts)
 
 
-def near(a: str, b: str) -> bool:
-    """Whether the words differ by exactly one inserted, deleted or replaced letter."""
-    if len(a) > len(b):
-        a, b = b, a
-    if len(b) - len(a) > 1 or a == b:
-        return False
-    k = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), len(a))
-    return a[k + (len(a) == len(b)) :] == b[k + 1 :]
+class Leaf:
+    """The words of one vector, found again by what is left of them without one letter. Words are (word, n)."""
+
+    def __init__(self, words: list[tuple]):
+        self.whole, self.lengths = {w: (w, n) for w, n in words}, {len(w) for w, _ in words}
+        self.rests: dict[str, list] = {}
+        for x in words:
+            for at, rest in enumerate(rests_of(x[0])):
+                self.rests.setdefault(rest, []).append((at, x))
+
+    def near(self, word: str, rests: list[str]) -> Iterator[tuple]:
+        """The words that differ from this one by exactly one inserted, deleted or replaced letter, some more than once.
+
+        rests: what is left of the word without each of its letters."""
+        n = len(word)
+        if n in self.lengths:
+            for at, rest in enumerate(rests):
+                for place, x in self.rests.get(rest, ()):
+                    if place == at and x[0] != word and len(x[0]) == n:
+                        yield x
+        if n - 1 in self.lengths:
+            for rest in rests:
+                if rest in self.whole:
+                    yield self.whole[rest]
+        if n + 1 in self.lengths:
+            for _, x in self.rests.get(word, ()):
+                yield x
+
+
+def rests_of(word: str) -> list[str]:
+    return [word[:at] + word[at + 1 :] for at in range(len(word))]
 
 
 def reached(counts: bytes) -> list[bytes]:
@@ -109,31 +132,36 @@ def trie(vectors: Iterator[bytes]) -> dict:
     return root
 
 
-def search(root: dict, counts: bytes) -> Iterator[bytes]:
-    """The vectors of the trie within a surplus and a deficit of one of `counts`."""
+def search(root: dict, leaves: dict, counts: bytes) -> Iterator[bytes]:
+    """The leaves' vectors within a surplus and a deficit of one of `counts`; with both spent the rest of the way is known."""
     waiting = [(root, b"", 1, 1)]
     while waiting:
         node, way, surplus, deficit = waiting.pop()
-        if len(way) == len(counts):
-            yield way
+        if not surplus and not deficit or len(way) == len(counts):
+            whole = way + counts[len(way) :]
+            if whole in leaves:
+                yield whole
             continue
         want = counts[len(way)]
-        for c, more, less in ((want, 0, 0), (want + 1, 1, 0), (want - 1, 0, 1)):
-            if more <= surplus and less <= deficit and c in node:
-                waiting.append((node[c], way + bytes([c]), surplus - more, deficit - less))
+        if want in node:
+            waiting.append((node[want], way + counts[len(way) : len(way) + 1], surplus, deficit))
+        if surplus and want + 1 in node:
+            waiting.append((node[want + 1], way + bytes([want + 1]), 0, deficit))
+        if deficit and want - 1 in node:
+            waiting.append((node[want - 1], way + bytes([want - 1]), surplus, 0))
 
 
 def pairs_within(own: dict[bytes, list], visiting: dict[bytes, list]) -> Iterator[tuple]:
     """Near pairs of the words of a cell, and of its words and visiting ones; words are (word, n), by vector."""
-    root = trie(own)
+    root, leaves = trie(own), {v: Leaf(words) for v, words in own.items()}
     for queries, inside in ((own, True), (visiting, False)):
         for v, asked in queries.items():
-            for leaf in search(root, v):
-                if inside and leaf < v:
-                    continue
-                for k, a in enumerate(asked):
-                    for b in own[leaf][k + 1 :] if inside and leaf == v else own[leaf]:
-                        if near(a[0], b[0]):
+            found = [leaf for leaf in search(root, leaves, v) if not inside or leaf >= v]
+            for a in asked:
+                rests = rests_of(a[0])
+                for leaf in found:
+                    for b in set(leaves[leaf].near(a[0], rests)):
+                        if not (inside and leaf == v and b < a):
                             yield *a, *b
 
 
