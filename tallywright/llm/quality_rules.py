@@ -5,9 +5,9 @@ language: words are joined by one space, so n-grams cross the ends of words; thr
 end mark behind it. Tasks count the 4-grams of their texts and Spark sums the counts; lower orders (continuation
 counts), discounts and interpolation weights are joins and aggregations over all of them, whatever their number.
 
-Texts are scored with arrays of sorted hashes: a 4-gram's hash has `BITS` bits, so that what is sent to the executors is
-bounded by 2 ** BITS entries whatever the corpus. 4-grams that share a hash share their mean log-probability, weighted
-by count. There is one way of scoring for every size.
+Texts are scored with arrays of sorted 64-bit hashes of 4-grams. The commonest ones, `SENT` at most, are sent to all tasks;
+texts name the others that they have, which meet the model by an equi-join on the hash. Every 4-gram has its own
+log-probability so, whatever the size of the corpus, and what is sent is bounded.
 
 Bands: per language, the median of the texts' mean negative log-probability, and the median distance from it, both from
 histograms; a text outside median +- `width` distances (`LEAST` at least) is rejected. Only texts of at least `MIN_WORDS`
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from tallywright.llm.common import append, fresh, memo, settle, small
 
-MIN_WORDS, WIDTH, LEAST, STEP, BITS = 50, 8.0, 0.05, 0.001, 23
+MIN_WORDS, WIDTH, LEAST, STEP, SENT = 50, 8.0, 0.05, 0.001, 1 << 21
 #: Marks beyond the last code point, and the bits of a symbol in a packed context.
 START, END, WIDE = 0x110000, 0x110001, 21
 SPACE = "\t\n\x0b\x0c\r "
@@ -84,11 +84,11 @@ def _packed(points: np.ndarray, place: np.ndarray, start: int, wide: int, back:
     return out
 
 
-def slots(context: np.ndarray, symbol: np.ndarray, lang: str) -> np.ndarray:
-    """The hash of BITS bits of each 4-gram of a language."""
+def hashes(context: np.ndarray, symbol: np.ndarray, lang: str) -> np.ndarray:
+    """The 64-bit hash of each 4-gram of a language."""
     x = context * np.uint64(0x9E3779B97F4A7C15) + symbol.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(xxhash.xxh64_intdigest(lang))
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return ((x ^ (x >> np.uint64(32))) >> np.uint64(64 - BITS)).astype(np.int64)
+    return x ^ (x >> np.uint64(32))
 
 
 def tally(points: np.ndarray, place: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -112,12 +112,12 @@ def tally(points: np.ndarray, place: np.ndarray, lo: int, hi: int) -> tuple[np.n
 
 
 def count_grams(docs: DataFrame, text: str, lang: Column) -> DataFrame:
-    """lang, context, symbol, slot, c: the 4-grams of the corpus and their counts."""
+    """lang, context, symbol, key, c: the 4-grams of the corpus, their hashes and their counts."""
 
     def flush(name: str, texts: list[str]) -> pa.RecordBatch:
         points, place, _ = symbols(texts)
         context, symbol, c = tally(points, place, 0, len(points))
-        columns = {"lang": pa.array([name]).take(pa.array(np.zeros(len(c), np.int32))), "context": context.view(np.int64), "symbol": symbol.astype(np.int32), "slot": slots(context, symbol, name).astype(np.int32), "c": c}
+        columns = {"lang": pa.array([name]).take(pa.array(np.zeros(len(c), np.int32))), "context": context.view(np.int64), "symbol": symbol.astype(np.int32), "key": hashes(context, symbol, name).view(np.int64), "c": c}
         return pa.RecordBatch.from_pydict(columns)
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,8 +133,8 @@ def count_grams(docs: DataFrame, text: str, lang: Column) -> DataFrame:
                         seen, many = {}, 0
         yield from (flush(*kept) for kept in seen.items())
 
-    made = docs.select(lang.alias("lang"), text).mapInArrow(fn, "lang string, context long, symbol int, slot int, c long")
-    return made.groupBy("lang", "context", "symbol").agg(F.min("slot").alias("slot"), F.sum("c").alias("c"))
+    made = docs.select(lang.alias("lang"), text).mapInArrow(fn, "lang string, context long, symbol int, key long, c long")
+    return made.groupBy("lang", "context", "symbol").agg(F.min("key").alias("key"), F.sum("c").alias("c"))
 
 
 def kneser_ney(counts: DataFrame) -> DataFrame:
@@ -158,22 +158,51 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
     return lower
 
 
-def send(counts: DataFrame, model: DataFrame) -> Broadcast:
-    """Sorted hashes and the log-probabilities behind them; 2 ** BITS at most."""
-    both = counts.join(model, ["lang", "context", "symbol"])
-    rows = both.groupBy("slot").agg((F.sum(F.col("c") * F.log("p")) / F.sum("c")).cast("float").alias("logp")).toArrow().combine_chunks()
-    order = np.argsort(rows["slot"].to_numpy(), kind="stable")
-    return model.sparkSession.sparkContext.broadcast((rows["slot"].to_numpy()[order], rows["logp"].to_numpy()[order]))
-
-
-def mean_surprise(texts: list[str], langs: list[str], sent: Broadcast, key: str) -> np.ndarray:
-    """The mean negative log-probability of a symbol of each running text; 0 for an empty one."""
-    kept = memo(key)
-    if "table" not in kept:
-        hashes, logp = sent.value
-        kept["table"] = np.full(1 << BITS, logp.min() if len(logp) else 0, np.float32)
-        kept["table"][hashes] = logp
-    out, table = np.zeros(len(texts)), kept["table"]
+class Scores:
+    """Log-probabilities behind sorted hashes. A hash's leading bits say where its like begin."""
+
+    def __init__(self, keys: np.ndarray, logp: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.logp = np.append(keys[order], np.uint64(2**64 - 1)), np.append(logp[order], np.nan)
+        bits = max(1, len(keys).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.first = np.searchsorted(self.keys, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        """The log-probability of each hash; not a number where it isn't there."""
+        at = self.first[keys >> self.shift]
+        there = self.keys[at]
+        out = np.where(there == keys, self.logp[at], np.nan)
+        todo = np.flatnonzero(there < keys)
+        at = at[todo]
+        while len(todo):
+            at, want = at + 1, keys[todo]
+            there = self.keys[at]
+            out[todo] = np.where(there == want, self.logp[at], np.nan)
+            further = there < want
+            todo, at = todo[further], at[further]
+        return out
+
+
+class Sent:
+    """What tasks need to score texts, and the table (key, logp) of what isn't sent to them, or none."""
+
+    def __init__(self, counts: DataFrame, model: DataFrame, most: int = SENT):
+        both = settle(counts.join(model, ["lang", "context", "symbol"]).select("key", "c", F.log("p").alias("logp")))
+        levels = range(48)
+        *many, least = both.agg(*(F.count_if(F.col("c") >= 1 << k) for k in levels), F.coalesce(F.min("logp"), F.lit(0.0))).first()
+        rarest = next((1 << k for k in levels if many[k] <= most), 1 << 48)
+        rows = both.filter(F.col("c") >= rarest).select("key", "logp").toArrow().combine_chunks()
+        arrays = rows["key"].to_numpy().view(np.uint64), rows["logp"].to_numpy()
+        self.arrays: Broadcast = model.sparkSession.sparkContext.broadcast(arrays)
+        self.others = both.filter(F.col("c") < rarest).select("key", "logp") if rarest > 1 else None
+        self.least, self.name = least, uuid.uuid4().hex
+
+
+def log_likelihood(texts: list[str], langs: list[str], scores: Scores, least: float | None) -> tuple[np.ndarray, np.ndarray, list[list]]:
+    """Each running text's sum of log-probabilities, number of symbols, and the hashes that aren't there with their counts;
+    with `least` given, those count as that and none is named."""
+    sums, many, others = np.zeros(len(texts)), np.zeros(len(texts), np.int64), [[] for _ in texts]
     for name in set(langs):
         todo, size = [], 0
         mine = [i for i, x in enumerate(langs) if x == name and texts[i]]
@@ -182,10 +211,18 @@ def mean_surprise(texts: list[str], langs: list[str], sent: Broadcast, key: str)
             size += len(texts[i])
             if size > GATHER // 2 or k == len(mine) - 1:
                 points, place, n = symbols([texts[j] for j in todo])
-                p = table[slots(_packed(points, place, START, WIDE, 3), points, name)].astype(np.float64)
-                out[todo] = -np.add.reduceat(p, np.cumsum(n) - n) / n
+                keys = hashes(_packed(points, place, START, WIDE, 3), points, name)
+                p, starts = scores.of(keys), np.cumsum(n) - n
+                missing = np.flatnonzero(np.isnan(p))
+                p[missing] = least or 0.0
+                sums[todo], many[todo] = np.add.reduceat(p, starts), n
+                if least is None and len(missing):
+                    owner = np.searchsorted(starts, missing, side="right") - 1
+                    for j in np.unique(owner).tolist():
+                        found = np.unique(keys[missing[owner == j]].view(np.int64), return_counts=True)
+                        others[todo[j]] = [{"key": key, "n": c} for key, c in zip(*(x.tolist() for x in found), strict=True)]
                 todo, size = [], 0
-    return out
+    return sums, many, others
 
 
 def bands(surprise: DataFrame, width: float = WIDTH) -> DataFrame:
@@ -204,60 +241,80 @@ def bands(surprise: DataFrame, width: float = WIDTH) -> DataFrame:
 
 
 class Rules:
-    """The model and the bands of a corpus. Its texts are read three times: to count, to place the bands and to judge."""
+    """The model of a corpus."""
 
-    def __init__(self, docs: DataFrame, text: str = "text", lang: str = "lang", width: float = WIDTH):
+    def __init__(self, docs: DataFrame, text: str = "text", lang: str = "lang", sent: int = SENT):
         self.text, self.lang = text, lang
-        keyed = docs.select(self._lang().alias("lang"), F.col(text).alias("text"))
-        counts = settle(count_grams(keyed, "text", F.col("lang")))
-        self.sent, self.key = send(counts, kneser_ney(counts)), uuid.uuid4().hex
-        sent, key = self.sent, self.key
-
-        def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seen: Counter = Counter()
-            for b in batches:
-                texts, langs = [running(x) for x in b.column(1).to_pylist()], b.column(0).to_pylist()
-                for name, x, v in zip(langs, texts, mean_surprise(texts, langs, sent, key), strict=True):
-                    if x.count(" ") + 1 >= MIN_WORDS:
-                        seen[name, int(v // STEP)] += 1
-            rows = [(*k, n) for k, n in seen.items()]
-            yield pa.RecordBatch.from_pylist([dict(zip(("lang", "bin", "n"), r, strict=True)) for r in rows], pa.schema({"lang": pa.string(), "bin": pa.int64(), "n": pa.int64()}))
-
-        self.bands = bands(keyed.mapInArrow(histogram, "lang string, bin long, n long"), width)
+        counts = settle(count_grams(docs.select(self._lang().alias("lang"), F.col(text).alias("text")), "text", F.col("lang")))
+        self.model = kneser_ney(counts)
+        self.sent = Sent(counts, self.model, sent)
 
     def _lang(self) -> Column:
         return F.coalesce(F.col(self.lang).cast("string"), F.lit(""))
 
     def measure(self, docs: DataFrame, names: list[str], keep: list[str]) -> DataFrame:
-        """The columns `keep` and eight more, by the given names: the five statistics, base_failed, the surprise and kept."""
-        sent, key = self.sent, self.key
-        lang, other, low, high = fresh(docs, "lang_", "other_", "low_", "high_")
+        """The columns `keep` and seven more, by the given names: the five statistics, base_failed and the surprise, which is
+        the mean negative log-probability of a symbol of the running text (0 for an empty one)."""
+        arrays, name, least = self.sent.arrays, self.sent.name, self.sent.least if self.sent.others is None else None
+        lang, total, many, others = fresh(docs, "lang_", "total_", "many_", "others_")
 
         def fn(x: pa.Array, langs: pa.Array) -> list:
+            kept = memo(name)
+            if "scores" not in kept:
+                kept["scores"] = Scores(*arrays.value)
             texts = _texts(x)
             stats = list(zip(*map(base_statistics, texts), strict=True))
             n, repeated = np.array(stats[0]), np.array(stats[4])
-            surprise = mean_surprise(list(map(running, texts)), langs.to_pylist(), sent, key)
-            return [*map(list, stats), (n < MIN_WORDS) | (100 * repeated > 50 * n), surprise]
+            return [*map(list, stats), (n < MIN_WORDS) | (100 * repeated > 50 * n), *log_likelihood(list(map(running, texts)), langs.to_pylist(), kept["scores"], least)]
+
+        kinds = ["long"] * 5 + ["boolean", "double", "long", "array<struct<key: long, n: long>>"]
+        out = append(docs.withColumn(lang, self._lang()), [self.text, lang], ", ".join(f"{a} {b}" for a, b in zip([*names[:6], total, many, others], kinds, strict=True)), fn, keep)
+        if self.sent.others is not None:
+            out = self._with_others(out, total, others)
+        return out.select(*keep, *names[:6], F.when(F.col(many) == 0, 0.0).otherwise(-F.col(total) / F.col(many)).alias(names[6]))
+
+    def _with_others(self, out: DataFrame, total: str, others: str) -> DataFrame:
+        """Adds to `total` the log-probabilities of the 4-grams that texts name. Only texts that name some are shuffled."""
+        row, key = fresh(out, "row_", "key_")
+        plain, naming = out.filter(F.size(others) == 0), settle(out.filter(F.size(others) > 0).withColumn(row, F.monotonically_increasing_id()))
+        named = naming.select(row, F.explode(others).alias("named")).select(row, F.col("named.key").alias(key), F.col("named.n").alias("n"))
+        logp = self.sent.others.select(F.col("key").alias(key), "logp")
+        found = named.join(logp, key, "left").groupBy(row).agg(F.sum(F.col("n") * F.coalesce("logp", F.lit(self.sent.least))).alias("more"))
+        added = naming.join(found.select(F.col(row).alias(key), "more"), F.col(row) == F.col(key)).withColumn(total, F.col(total) + F.col("more"))
+        return plain.unionByName(added.select(out.columns))
+
+
+def judged(measured: DataFrame, of: DataFrame, names: list[str], lang: str) -> DataFrame:
+    """measured with a last column by the name names[7]: whether no rule rejects the row. of: bands."""
+    other, low, high = fresh(measured, "other_", "low_", "high_")
+    own = of.select(F.col("lang").alias(other), F.col("low").alias(low), F.col("high").alias(high))
+    out = measured.join(own, F.coalesce(F.col(lang).cast("string"), F.lit("")) == F.col(other), "left")
+    inside = F.coalesce(F.col(names[6]).between(F.col(low), F.col(high)), F.lit(True))
+    return out.withColumn(names[7], ~F.col(names[5]) & inside).drop(other, low, high)
+
 
-        kinds = ["long"] * 5 + ["boolean", "double"]
-        out = append(docs.withColumn(lang, self._lang()), [self.text, lang], ", ".join(f"{a} {b}" for a, b in zip(names, kinds, strict=False)), fn, [*keep, lang])
-        out = out.join(self.bands.select(F.col("lang").alias(other), F.col("low").alias(low), F.col("high").alias(high)), F.col(lang) == F.col(other), "left")
-        inside = F.coalesce(F.col(names[6]).between(F.col(low), F.col(high)), F.lit(True))
-        return out.withColumn(names[7], ~F.col(names[5]) & inside).select(*keep, *names)
+def bands_of(measured: DataFrame, names: list[str], lang: str, width: float) -> DataFrame:
+    """The bands from measured rows of at least MIN_WORDS words."""
+    shaping = measured.filter(F.col(names[0]) >= MIN_WORDS)
+    return bands(shaping.select(F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"), F.floor(F.col(names[6]) / STEP).alias("bin"), F.lit(1).alias("n")), width)
 
 
 NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "surprise", "kept"]
 
 
-def judge(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", width: float = WIDTH) -> DataFrame:
-    """A row for each row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, perplexity and kept."""
+def judge(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", width: float = WIDTH, sent: int = SENT) -> DataFrame:
+    """A row for each row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, perplexity and kept.
+    Texts are read twice: to count, and to measure; the bands come from what was measured."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    out = Rules(docs, width=width).measure(docs, NAMES, ["doc_id"])
+    measured = settle(Rules(docs, sent=sent).measure(docs, NAMES, ["doc_id", "lang"]))
+    out = judged(measured, bands_of(measured, NAMES, "lang", width), NAMES, "lang")
     return out.select("doc_id", *NAMES[:6], F.exp("surprise").alias("perplexity"), "kept")
 
 
-def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang", width: float = WIDTH) -> DataFrame:
-    """The rows of docs that no rule rejects, with docs' own columns."""
+def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang", width: float = WIDTH, sent: int = SENT) -> DataFrame:
+    """The rows of docs that no rule rejects, with docs' own columns. Texts are measured once for the bands and again to
+    judge, so that they needn't be written beside what was measured."""
     names = fresh(docs, *NAMES)
-    return Rules(docs, text, lang, width).measure(docs, names, docs.columns).filter(F.col(names[7])).select(docs.columns)
+    rules = Rules(docs, text, lang, sent)
+    of = bands_of(rules.measure(docs, names, [lang]), names, lang, width)
+    return judged(rules.measure(docs, names, docs.columns), of, names, lang).filter(F.col(names[7])).select(docs.columns)

@@ -195,10 +195,36 @@ def test_op4_model_equals_a_plain_one(spark):
 
 def test_op4_surprise_counts_the_order_of_words(spark):
     docs = docs_of(spark, [*((k, f"the cat sat on mat {k % 3}") for k in range(30)), (99, "mat on sat cat the 1")])
-    counts = quality_rules.count_grams(docs, "text", F.col("lang"))
-    sent = quality_rules.send(counts, quality_rules.kneser_ney(counts))
-    a, b = quality_rules.mean_surprise(["the cat sat on mat 1", "mat on sat cat the 1"], ["en", "en"], sent, "test")
-    assert b > a + 0.1
+    other = docs_of(spark, [(0, "the cat sat on mat 1"), (1, "mat on sat cat the 1"), (2, "Ω never seen")])
+    a, b, c = (r.surprise for r in quality_rules.Rules(docs).measure(other, quality_rules.NAMES, ["doc_id"]).orderBy("doc_id").collect())
+    assert c > b > a + 0.1
+
+
+@pytest.mark.parametrize("sent", [1 << 21, 40, 0])
+def test_op4_perplexity_of_whole_texts_equals_a_plain_one(spark, texts, sent):
+    """Also where few of the 4-grams are sent to the tasks, or none."""
+    some = [t or "" for _, t in sorted(texts.items())[:60]] + ["", " \n", "a", "aa aa", "ünï ©ode 😀 " * 9, "aa aa"]
+    docs = docs_of(spark, list(enumerate(some)))
+    _, p = plain_kneser_ney(some)
+    for r in quality_rules.judge(docs, sent=sent).collect():
+        w = " ".join(x.decode() for x in some[r.doc_id].encode().split())
+        s = ["<"] * 3 + list(w) + [">"] if w else []
+        logs = [math.log(p[tuple(s[k - 3 : k + 1])]) for k in range(3, len(s))]
+        want = math.exp(-sum(logs) / len(logs)) if logs else 1.0
+        assert abs(r.perplexity - want) < 1e-9 * want, r.doc_id
+    kept = {r.doc_id for r in quality_rules.judge(docs, sent=sent).filter("kept").collect()}
+    assert kept == {r.doc_id for r in quality_rules.keep_good(docs, sent=sent).collect()}
+
+
+def test_op4_sorted_hashes():
+    rnd = np.random.default_rng(4)
+    keys = np.unique(np.concatenate([rnd.integers(0, 2**64 - 2, 3000, np.uint64), np.arange(200, dtype=np.uint64), np.uint64(2**63) + np.arange(300, dtype=np.uint64)]))
+    rnd.shuffle(keys)
+    scores = quality_rules.Scores(keys, np.arange(len(keys), dtype=float))
+    assert (scores.of(keys) == np.arange(len(keys))).all()
+    other = np.setdiff1d(keys + np.uint64(1), keys)
+    assert np.isnan(scores.of(other)).all() and len(scores.of(other[:0])) == 0
+    assert np.isnan(quality_rules.Scores(keys[:0], np.zeros(0)).of(keys)).all()
 
 
 def test_op4_stretches_with_many_symbols(monkeypatch):
