@@ -10,7 +10,7 @@ REVOLVER = "revolver"
 
 
 def _pick(of: Column, k: Column) -> Column:
-    return F.element_at(of, k)
+    return F.try_element_at(of, k)
 
 
 def solve(periods: DataFrame, facilities: DataFrame, tranches: DataFrame) -> DataFrame:
@@ -19,6 +19,8 @@ def solve(periods: DataFrame, facilities: DataFrame, tranches: DataFrame) -> Dat
     periods: model, k, flow (before interest and financing). facilities: model, cash0, floor, top (the revolver's limit),
     sweep (whether surplus cash repays). tranches: model, name, opening, rate, rank (null: never repaid by a sweep).
 
+    A model without a tranche of that name has no revolver and draws nothing; one without tranches has cash alone.
+
     Interest falls on the average of opening and closing debt, which depends on what is drawn or repaid. Drawing d adds
     rate * d / 2 and repaying x saves rate * x / 2, so each period has its fixed point in closed form and nothing iterates.
     """
@@ -26,16 +28,18 @@ def solve(periods: DataFrame, facilities: DataFrame, tranches: DataFrame) -> Dat
     last = F.coalesce(C("rank"), F.lit(1 << 30))
     kind = F.struct(last.alias("order"), "name", C("opening").cast("double").alias("opening"), C("rate").cast("double").alias("rate"), "rank")
     t = tranches.groupBy("model").agg(F.sort_array(F.collect_list(kind)).alias("t"))
-    j = s.join(facilities, "model").join(t, "model")
-    j = j.withColumn("n", F.sequence(F.lit(1), F.size("t"))).withColumn("at", F.array_position(F.transform("t", lambda x: x["name"]), REVOLVER).cast("int"))
+    j = s.join(facilities, "model").join(t, "model", "left")
+    j = j.withColumn("t", F.coalesce("t", F.array().cast(t.schema["t"].dataType)))
+    j = j.withColumn("n", F.when(F.size("t") > 0, F.sequence(F.lit(1), F.size("t"))).otherwise(F.array().cast("array<int>"))).withColumn("at", F.array_position(F.transform("t", lambda x: x["name"]), REVOLVER).cast("int"))
+    at, has = F.greatest(C("at"), F.lit(1)), C("at") > 0
     share = lambda i: 1 - _pick(C("t"), i)["rate"] / 2
     sum_ = lambda of: F.aggregate(of, F.lit(0.0), lambda a, x: a + x)
 
     def period(a: Column, x: Column) -> Column:
         standing = sum_(F.zip_with(a["debts"], C("t"), lambda d, y: d * y["rate"]))
         need = C("floor") - a["cash"] - x["flow"] + standing
-        room = F.greatest(C("top") - _pick(a["debts"], C("at")), F.lit(0.0))
-        draw = F.when(need > 0, F.least(need / share(C("at")), room)).otherwise(0.0)
+        room = F.greatest(C("top") - _pick(a["debts"], at), F.lit(0.0))
+        draw = F.when(has & (need > 0), F.least(need / share(at), room)).otherwise(0.0)
 
         def repay(b: Column, i: Column) -> Column:
             most = F.greatest(_pick(a["debts"], i), F.lit(0.0))
@@ -49,7 +53,7 @@ def solve(periods: DataFrame, facilities: DataFrame, tranches: DataFrame) -> Dat
         interest = sum_(F.zip_with(F.zip_with(a["debts"], after, lambda d, e: (d + e) / 2), C("t"), lambda d, y: d * y["rate"]))
         cash = a["cash"] + x["flow"] - interest + draw - sum_(paid)
         row = F.struct(
-            x["k"].alias("k"), draw.alias("draw"), sum_(paid).alias("repay"), _pick(after, C("at")).alias("revolver"), sum_(after).alias("debt"),
+            x["k"].alias("k"), draw.alias("draw"), sum_(paid).alias("repay"), F.when(has, _pick(after, at)).otherwise(0.0).alias("revolver"), sum_(after).alias("debt"),
             interest.alias("interest"), cash.alias("cash"), after.alias("balances"),
         )
         return F.struct(after.alias("debts"), cash.alias("cash"), F.concat(a["rows"], F.array(row)).alias("rows"))

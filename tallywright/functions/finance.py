@@ -13,22 +13,54 @@ def npv(rate: Column, t: str = "t", cash: str = "cash") -> Column:
     return F.sum(C(cash) / F.pow(1 + rate, C(t)))
 
 
-def irr(flows: DataFrame, key: str, t: str = "t", cash: str = "cash", low: float = -0.9999, high: float = 10.0, steps: int = 80) -> DataFrame:
-    """key and irr by bisection on the flows in order of t; null without a change of sign between low and high.
-
-    Each step halves the bracket: 80 of them leave less than a double can tell apart."""
-    series = flows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(t, cash))).alias("s"))
+def irr(
+    flows: DataFrame, key: str, t: str = "t", cash: str = "cash", low: float = -0.9999, high: float = 10.0, guess: float = 0.1, tol: float = 1e-7, steps: int = 200
+) -> DataFrame:
+    """key, irr and status, from the flows in order of t.
+
+    Newton's method goes from `guess` until the value or the step is below `tol` (status newton). Where it breaks off, for
+    want of a slope, at a rate of -100 % or after `steps`, bisection between low and high takes over (status bisection).
+    Null, with status none, without flows of both signs or a change of sign between low and high.
+    """
+    series = flows.groupBy(key).agg(
+        F.sort_array(F.collect_list(F.struct(C(t).cast("double").alias("t"), C(cash).cast("double").alias("c")))).alias("s"), (F.min(cash) < 0).alias("out"), (F.max(cash) > 0).alias("in")
+    )
 
     def value(rate: Column) -> Column:
-        return F.aggregate("s", F.lit(0.0), lambda a, x: a + x[cash] / F.pow(1 + rate, x[t]))
-
-    halve = F.aggregate(
-        F.sequence(F.lit(1), F.lit(steps)),
-        F.struct(F.lit(low).alias("lo"), F.lit(high).alias("hi")),
-        lambda a, _: F.when(F.signum(value((a["lo"] + a["hi"]) / 2)) == C("_side"), F.struct(((a["lo"] + a["hi"]) / 2).alias("lo"), a["hi"].alias("hi"))).otherwise(F.struct(a["lo"].alias("lo"), ((a["lo"] + a["hi"]) / 2).alias("hi"))),
-    )
-    crosses = C("_side") * F.signum(value(F.lit(high))) < 0
-    return series.withColumn("_side", F.signum(value(F.lit(low)))).select(key, F.when(crosses, (halve["lo"] + halve["hi"]) / 2).alias("irr"))
+        return F.aggregate("s", F.lit(0.0), lambda a, x: a + x["c"] / F.pow(1 + rate, x["t"]))
+
+    def slope(rate: Column) -> Column:
+        return F.aggregate("s", F.lit(0.0), lambda a, x: a - x["t"] * x["c"] / F.pow(1 + rate, x["t"] + 1))
+
+    state = lambda rate, ended: F.struct(rate.alias("rate"), F.lit(ended).alias("ended"))
+
+    def newton(a: Column) -> Column:
+        # An array of one holds what is used more than once.
+        held = F.array(F.struct(value(a["rate"]).alias("f"), slope(a["rate"]).alias("d")))
+
+        def move(x: Column) -> Column:
+            new = a["rate"] - F.try_divide(x["f"], x["d"])
+            broken = new.isNull() | F.isnan(new) | (new <= -0.999999)
+            return F.when(F.abs(x["f"]) < tol, state(a["rate"], 1)).when(broken, state(a["rate"], 2)).when(F.abs(new - a["rate"]) < tol, state(new, 1)).otherwise(state(new, 0))
+
+        return F.when(a["ended"] > 0, a).otherwise(F.element_at(F.transform(held, move), 1))
+
+    def halve(a: Column) -> Column:
+        mid = (a["lo"] + a["hi"]) / 2
+        up = F.signum(value(mid)) == C("side")
+        return F.struct(F.when(up, mid).otherwise(a["lo"]).alias("lo"), F.when(up, a["hi"]).otherwise(mid).alias("hi"))
+
+    both = C("out") & C("in")
+    tried = series.withColumn("n", F.when(both, F.aggregate(F.sequence(F.lit(1), F.lit(steps)), state(F.lit(guess), 0), lambda a, _: newton(a))))
+    open_ = both & (C("n.ended") != 1)
+    sided = tried.withColumn("side", F.when(open_, F.signum(value(F.lit(low)))))
+    crosses = open_ & (C("side") * F.signum(value(F.lit(high))) < 0)
+    # 80 halvings of the bracket leave less than a double can tell apart.
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(80)), F.struct(F.lit(low).alias("lo"), F.lit(high).alias("hi")), lambda a, _: halve(a))
+    halved = sided.withColumn("b", F.when(crosses, (found["lo"] + found["hi"]) / 2))
+    rate = F.when(C("n.ended") == 1, C("n.rate")).otherwise(C("b"))
+    status = F.when(C("n.ended") == 1, "newton").when(C("b").isNotNull(), "bisection").otherwise("none")
+    return halved.select(key, rate.alias("irr"), status.alias("status"))
 
 
 def mirr(finance: Column, reinvest: Column, t: str = "t", cash: str = "cash") -> Column:

@@ -45,16 +45,28 @@ def split_scale(x: Column) -> Column:
     return F.struct(F.when(unit == "", x).otherwise(body).alias("body"), F.when(unit == "", F.lit(1)).otherwise(unit_scale(unit)).cast("long").alias("scale"))
 
 
+#: A number as it may stand: brackets only as a pair around the whole, one sign, no blanks between digits.
+_DIGITS = r"(?:[\d,]*\.?\d+(?:e[+-]?\d+)?|[\d,]*\d\.)"
+NUMBER = rf"^(?:\(\s*[△▲−-]?\s*[₩$€£]?\s*{_DIGITS}\s*%?\s*\)|[△▲−+-]?\s*[₩$€£]?\s*{_DIGITS}\s*(?:\(-\))?)\s*%?$"
+
+
 def number(x: Column) -> Column:
-    """Value, scale and whether a mark made it negative, from text; signs, brackets, commas, per cent and units."""
+    """Value, scale and whether a mark made it negative, from text; signs, brackets, commas, per cent and units.
+    A bracket without its fellow, or a blank between digits, makes it text."""
+
+    def read(s: Column) -> Column:
+        t = s["body"]
+        negative = t.rlike(r"^\(.*\)$") | t.rlike(r"^[△▲−-]") | t.rlike(r"\(-\)$")
+        percent = t.contains("%")
+        bare = F.regexp_replace(t, r"\(-\)\s*%?$|[(),△▲−%\s₩$€£+]|^-", "")
+        value = F.when(s["there"] & ~is_identifier(t) & t.rlike(NUMBER), F.regexp_replace(bare, "^-", "")).try_cast("double")
+        scale, parts = F.when(percent, F.lit(1)).otherwise(s["scale"]), F.when(percent, F.lit(100)).otherwise(F.lit(1))
+        return F.struct((value * scale * F.when(negative, -1).otherwise(1) / parts).alias("value"), scale.alias("scale"), negative.alias("negative"))
+
     split = split_scale(F.trim(ascii_digits(x)))
-    t = split["body"]
-    negative = t.rlike(r"^\(.*\)$") | t.rlike(r"^[△▲−-]") | t.rlike(r"\(-\)$")
-    percent = t.contains("%")
-    bare = F.regexp_replace(t, r"\(-\)$|[(),△▲−%\s₩$€£]|^-", "")
-    value = F.when(is_identifier(t) | sentinel(x).isNotNull(), F.lit(None)).otherwise(F.when(bare.rlike(r"^\d*\.?\d+(e[+-]?\d+)?$|^\d+\.$"), bare).try_cast("double"))
-    value = F.when(percent, value / 100).otherwise(value * split["scale"])
-    return F.struct(F.when(negative, -value).otherwise(value).alias("value"), F.when(percent, F.lit(1)).otherwise(split["scale"]).alias("scale"), negative.alias("negative"))
+    # An array of one holds what is used more than once.
+    held = F.array(F.struct(split["body"].alias("body"), split["scale"].alias("scale"), sentinel(x).isNull().alias("there")))
+    return F.element_at(F.transform(held, read), 1)
 
 
 def format_scale(number_format: Column) -> Column:
@@ -138,5 +150,7 @@ def lenient(x: Column) -> Column:
 
 
 def is_period(x: Column) -> Column:
-    """Year, month, quarter or half."""
-    return F.trim(x).rlike(r"^(19|20)\d{2}(년)?$|^(19|20)\d{2}\s*[-./년]\s*\d{1,2}(월)?$|^(19|20)\d{2}\s*-?\s*[QqHh][1-4]$|^[1-4]/4$|^\d{1,2}월$")
+    """Year, month, quarter or half, with or without its year, in English and Korean forms."""
+    year, of_year = r"(19|20)\d{2}", r"((19|20)\d{2}\s*[-./년]?\s*)?"
+    forms = [rf"{year}(년)?", rf"{year}\s*[-./년]\s*\d{{1,2}}(월)?", rf"{year}\s*-?\s*[QqHh][1-4]", rf"{of_year}[1-4]\s*/\s*4", rf"{of_year}[1-4]\s*[Qq]", rf"{of_year}[1-4]\s*분기", rf"{of_year}[상하]반기", r"\d{1,2}월"]
+    return F.trim(x).rlike("^(" + "|".join(forms) + ")$")

@@ -6,25 +6,51 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallywright.functions.normalize import ERRORS, number
+from tallywright.operators.grid import within
 from tallywright.operators.lineage import small
 
 C = F.col
 BENIGN = ["0", "1", "2", "4", "12", "100", "365", "1000"]
 
 
+#: What a formula is made of: texts, quoted and plain sheet names with their mark, files, words (functions, names and
+#: references), numbers, and other characters.
+TOKEN = r"""("(?:[^"]|"")*"|'(?:[^']|'')*'!?|\[[^\]]*\]|[\p{L}_$\\][\p{L}\p{N}_.$]*!?|\d+(?:\.\d+)?(?:[eE][+-]?\d+)?|.)"""
+REFERENCE = r"^\$?[A-Za-z]{1,3}\$?\d+$"
+
+
+def tokens(formula: Column) -> Column:
+    """The tokens of a formula in order; what stands within quotes is one of them."""
+    return F.regexp_extract_all(formula, F.lit(TOKEN), 1)
+
+
+def sheets_in(parts: Column) -> Column:
+    """The names of the sheets that tokens refer to, without their quotes, each once."""
+    named = F.filter(parts, lambda x: x.endswith("!") & (F.length(x) > 1))
+    bare = lambda x: F.substring(x, F.lit(1), F.length(x) - 1)
+    return F.array_distinct(F.transform(named, lambda x: F.regexp_replace(F.regexp_replace(bare(x), "^'|'$", ""), "''", "'")))
+
+
+def functions_in(parts: Column) -> Column:
+    """The functions that tokens call, upper-cased: words before an opening bracket."""
+    called = F.transform(parts, lambda x, k: F.when(x.rlike(r"^[\p{L}_][\p{L}\p{N}_.]*$") & (F.get(parts, k + 1) == "("), F.upper(x)))
+    return F.array_compact(called)
+
+
 def formula_depth(f: Column) -> Column:
-    """The deepest nesting of brackets."""
+    """The deepest nesting of brackets outside texts."""
     step = lambda a, c: F.struct((a["d"] + F.when(c == "(", 1).when(c == ")", -1).otherwise(0)).alias("d"), F.greatest(a["m"], a["d"] + F.when(c == "(", 1).otherwise(0)).alias("m"))
-    return F.aggregate(F.split(f, ""), F.struct(F.lit(0).alias("d"), F.lit(0).alias("m")), step)["m"]
+    return F.aggregate(F.filter(tokens(f), lambda x: x.isin("(", ")")), F.struct(F.lit(0).alias("d"), F.lit(0).alias("m")), step)["m"]
 
 
 def formula_smells(cells: DataFrame) -> DataFrame:
     """External files, deep nesting, many sheets, constants that aren't benign, unguarded division."""
-    f = C("formula")
-    numbers = F.array_except(F.regexp_extract_all(F.regexp_replace(f, r"\$?[A-Z]{1,3}\$?\d+", ""), F.lit(r"(\d+(?:\.\d+)?)"), 1), F.array(*map(F.lit, BENIGN)))
+    f, parts = C("formula"), tokens(C("formula"))
+    outside = F.array_join(F.filter(parts, lambda x: ~x.startswith('"')), "")
+    numbers = F.array_except(F.filter(parts, lambda x: x.rlike(r"^\d")), F.array(*map(F.lit, BENIGN)))
     kinds = F.array_compact(F.array(
-        F.when(f.rlike(r"\[[^\]]+\.xls"), "EXTERNAL"), F.when(formula_depth(f) > 4, "NESTED"), F.when(F.size(F.array_distinct(F.regexp_extract_all(f, F.lit(r"(\w+)!"), 1))) > 3, "MANY_SHEETS"),
-        F.when(F.size(numbers) > 0, "CONSTANT"), F.when(f.contains("/") & ~f.rlike("(?i)IFERROR|IF\\("), "UNGUARDED_DIVISION"),
+        F.when(outside.rlike(r"\[[^\]]+\.xls"), "EXTERNAL"), F.when(formula_depth(f) > 4, "NESTED"), F.when(F.size(sheets_in(parts)) > 3, "MANY_SHEETS"),
+        F.when(F.size(numbers) > 0, "CONSTANT"), F.when(F.array_contains(parts, "/") & ~outside.rlike("(?i)IFERROR|IF\\("), "UNGUARDED_DIVISION"),
     ))
     return cells.filter("formula is not null").withColumn("kind", F.explode(kinds))
 
@@ -35,15 +61,16 @@ def error_cells(cells: DataFrame, value: str = "value_str") -> DataFrame:
 
 
 def relative_form(formula: Column, row: Column, col: Column) -> Column:
-    """References as offsets, so that a filled-down formula has one form."""
-    parts = F.regexp_extract_all(formula, F.lit(r"(\$?[A-Z]{1,3}\$?\d+|[^A-Z$]+|[A-Z$]+)"), 1)
-    index = lambda s: F.aggregate(F.split(s, ""), F.lit(0), lambda a, c: a * 26 + F.ascii(c) - 64)
+    """References as offsets, so that a filled-down formula has one form; texts and absolute references stay."""
+    letter = lambda s, k: F.ascii(F.substring(s, k, 1)) - 64
 
-    def one(p: Column) -> Column:
-        letters, digits = F.regexp_extract(p, r"^([A-Z]{1,3})\d+$", 1), F.regexp_extract(p, r"^[A-Z]{1,3}(\d+)$", 1)
-        return F.when(p.rlike(r"^[A-Z]{1,3}\d+$"), F.concat(F.lit("R["), (digits.try_cast("int") - row).cast("string"), F.lit("]C["), (index(letters) - col).cast("string"), F.lit("]"))).otherwise(p)
+    def one(x: Column) -> Column:
+        name = F.regexp_extract(x, r"^[A-Z]{1,3}", 0)
+        place, long = F.substring(x, F.length(name) + 1, F.length(x)).try_cast("int"), F.length(name)
+        index = F.when(long == 1, letter(name, 1)).when(long == 2, letter(name, 1) * 26 + letter(name, 2)).otherwise((letter(name, 1) * 26 + letter(name, 2)) * 26 + letter(name, 3))
+        return F.when(x.rlike(r"^[A-Z]{1,3}\d+$"), F.concat(F.lit("R["), place - row, F.lit("]C["), index - col, F.lit("]"))).otherwise(x)
 
-    return F.array_join(F.transform(parts, one), "")
+    return F.array_join(F.transform(tokens(formula), one), "")
 
 
 def minority(cells: DataFrame, keys: list[str], what: str, at_least: int = 3) -> DataFrame:
@@ -91,7 +118,9 @@ def claims(texts: DataFrame, key: str, text: Column, facts: DataFrame, fact: str
     """
     found = texts.select(key, F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?<![\w.])(\d[\d,]*(?:\.\d+)?)(?![\w])"), 1))).alias("raw")).withColumn("x", F.regexp_replace("raw", ",", "").try_cast("double"))
     found = found.filter("x >= 10 and not (x between 1900 and 2100 and x = floor(x))")
-    bucket = lambda v: F.floor(F.ln(v) / 0.1)
+    # Below `turn` the tolerance is `least`, above it a share of the value: buckets are as wide as it is, at each place.
+    turn = least / rel
+    bucket = lambda v: F.when(v < turn, F.floor(v / least)).otherwise(F.floor(turn / least + F.ln(v / turn) / rel))
     known = facts.select(C(fact).alias("v")).filter("v > 0").distinct().withColumn("_b", bucket(C("v")))
     near = found.withColumn("_b", F.explode(F.array(bucket(C("x")) - 1, bucket(C("x")), bucket(C("x")) + 1)))
     hit = near.join(known, "_b").filter(F.abs(C("x") - C("v")) <= F.greatest(rel * C("v"), F.lit(least))).select(key, "raw").distinct().withColumn("verified", F.lit(True))
@@ -99,10 +128,12 @@ def claims(texts: DataFrame, key: str, text: Column, facts: DataFrame, fact: str
 
 
 def sheet_references(cells: DataFrame) -> DataFrame:
-    """From, to, n: formulas of a sheet that refer to another sheet that exists."""
-    ref = cells.select(C("sheet").cast("string").alias("from"), F.explode(F.array_distinct(F.regexp_extract_all("formula", F.lit(r"(\w+)'?!"), 1))).alias("to"))
-    edges = ref.filter(C("from") != C("to")).groupBy("from", "to").agg(F.count("*").alias("n"))
-    return edges.join(cells.select(C("sheet").cast("string").alias("to")).distinct(), "to", "left_semi").select("from", "to", "n")
+    """From, to, n (and workbook, where cells have one): formulas of a sheet that refer to another sheet that exists in
+    the same workbook. cells: sheet, formula. A name within a text is no reference; quoted names may hold blanks."""
+    book = [c for c in ("workbook",) if c in cells.columns]
+    ref = cells.select(*book, C("sheet").cast("string").alias("from"), F.explode(sheets_in(tokens(C("formula")))).alias("to"))
+    edges = ref.filter(C("from") != C("to")).groupBy(*book, "from", "to").agg(F.count("*").alias("n"))
+    return edges.join(cells.select(*book, C("sheet").cast("string").alias("to")).distinct(), [*book, "to"], "left_semi").select(*book, "from", "to", "n")
 
 
 def formula_rules(cells: DataFrame, rules: DataFrame) -> DataFrame:
@@ -127,7 +158,7 @@ def disallowed_formats(cells: DataFrame, allowed: list[str], of: str = "number_f
 
 def content_regions(cells: DataFrame, regions: DataFrame, kind: str) -> DataFrame:
     """Cells whose kind differs from what their region wants. regions: sheet, r0, r1, c0, c1, wants."""
-    return cells.join(regions, "sheet").filter("row between r0 and r1 and col between c0 and c1").filter(~C(kind).eqNullSafe(C("wants")))
+    return within(cells, regions, ["sheet"]).filter(~C(kind).eqNullSafe(C("wants")))
 
 
 def cell_contract(cells: DataFrame, rules: DataFrame, tol: float = 0.01, decades: float = 3.0) -> DataFrame:

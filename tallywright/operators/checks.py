@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallywright.operators.lineage import settle
+
 C = F.col
 
 
@@ -81,18 +83,40 @@ def field_contract(value: Column, nullable: bool = True, accepted: list | None =
     return F.when(value.isNull(), "NO_DATA" if nullable else "VIOLATION").when(reduce(Column.__or__, tests), "VIOLATION").otherwise("OK")
 
 
-def rollup_tree(nodes: DataFrame, node: str = "node", parent: str = "parent", value: str = "value", depth: int = 64) -> DataFrame:
-    """Node, total of its own value and all below. One join per level; a tree deeper than `depth` raises."""
-    up = nodes.select(C(node).alias("node"), C(parent).alias("up"), C(value).alias("v"))
-    links, out = up.select("node", "up"), up.select("node", "v")
-    step = up.select("up", "v")
-    for _ in range(depth):
-        step = step.filter("up is not null").groupBy("up").agg(F.sum("v").alias("v"))
-        if step.isEmpty():
-            return out.groupBy("node").agg(F.sum("v").alias("total"))
-        out = out.unionByName(step.withColumnRenamed("up", "node").join(links.select("node"), "node", "left_semi"))
-        step = step.withColumnRenamed("up", "node").join(links, "node").select("up", "v")
-    raise ValueError("the hierarchy is deeper than allowed, or has a cycle")
+def rollup_tree(nodes: DataFrame, node: str = "node", parent: str = "parent", value: str = "value") -> DataFrame:
+    """Node, total of its own value and all below, and whether it is in a cycle (its total is null then).
+
+    Pointers double: after k rounds a node has the sum of what is less than 2 ** k levels below it and its ancestor 2 ** k
+    levels up, whose next sum takes this one. A chain of n nodes takes log2(n) rounds. Pointers that never end lead into
+    cycles, and land on all their nodes. Repeated nodes add up; a parent that isn't there is none.
+    """
+    own = nodes.groupBy(C(node).alias("node")).agg(F.sum(value).alias("total"), F.min(parent).alias("up"))
+    there = own.select(C("node").alias("up"), F.lit(True).alias("there"))
+    state = settle(own.join(there, "up", "left").select("node", "total", F.when(C("there"), C("up")).alias("up")))
+    many, reach = state.count(), 1
+    while reach <= many and not state.filter("up is not null").isEmpty():
+        below = state.filter("up is not null").groupBy(C("up").alias("node")).agg(F.sum("total").alias("more"))
+        further = state.select(C("node").alias("up"), C("up").alias("next"))
+        moved = state.join(below, "node", "left").join(further, "up", "left")
+        state = settle(moved.select("node", F.when(C("more").isNull(), C("total")).otherwise(C("total") + C("more")).alias("total"), C("next").alias("up")))
+        reach *= 2
+    cycle = state.filter("up is not null").select(C("up").alias("node")).distinct().withColumn("in_cycle", F.lit(True))
+    out = state.join(cycle, "node", "left").withColumn("in_cycle", F.coalesce("in_cycle", F.lit(False)))
+    return out.select("node", F.when(~C("in_cycle"), C("total")).alias("total"), "in_cycle")
+
+
+def hierarchy_ties(nodes: DataFrame, tol: float = 0.01, node: str = "node", parent: str = "parent", value: str = "value") -> DataFrame:
+    """Q11, one row: the sum of all values, whether the totals of the nodes without a parent tie to it, and how many nodes
+    name a parent that isn't there or are in a cycle. What hangs below those is missing from the totals."""
+    rolled = rollup_tree(nodes, node, parent, value)
+    roots = nodes.filter(C(parent).isNull()).select(C(node).alias("node")).distinct()
+    top = rolled.join(roots, "node", "left_semi").agg(F.coalesce(F.sum("total"), F.lit(0.0)).alias("top"))
+    known = nodes.select(C(node).alias("_p")).distinct()
+    orphans = nodes.filter(C(parent).isNotNull()).join(known, C(parent) == C("_p"), "left_anti").agg(F.count("*").alias("orphans"))
+    cycles = rolled.agg(F.count_if("in_cycle").alias("in_cycle"))
+    # Each side is one row.
+    one = nodes.agg(F.coalesce(F.sum(value), F.lit(0.0)).alias("leaf_sum")).crossJoin(top).crossJoin(orphans).crossJoin(cycles)
+    return one.select("leaf_sum", tie_out(C("leaf_sum"), C("top"), tol).alias("ok"), "orphans", "in_cycle")
 
 
 def leaves(nodes: DataFrame, node: str = "node", parent: str = "parent") -> DataFrame:

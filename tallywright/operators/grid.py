@@ -18,7 +18,11 @@ C = F.col
 SHEET = ["workbook", "sheet"]
 # Font colours that mark a loss, and words that mark subtotals and totals.
 RED = ["FF0000", "C00000"]
-SUBTOTALS = ["소계", "합계", "총계", "누계", "계", "subtotal", "total", "sub-total", "grand total", "sum", "소 계", "합 계"]
+SUBTOTALS = ["합계", "합 계", "소계", "소 계", "총계", "총 계", "누계", "계", "total", "subtotal", "grand total", "sum"]
+#: An own addition.
+MORE_SUBTOTALS = ["sub-total"]
+#: Rows of a tile, by which cells and rectangles meet.
+TILE = 64
 
 
 def filled(cells: DataFrame) -> DataFrame:
@@ -52,7 +56,8 @@ def row_runs(cells: DataFrame) -> DataFrame:
 
 
 def blocks(cells: DataFrame) -> DataFrame:
-    """B2: bounding boxes of connected cells (eight neighbours) of at least two columns, three rows and enough density.
+    """B2: bounding boxes of connected cells (eight neighbours) of at least two columns, three rows and enough density: 55 % of
+    the cells filled, or nine rows of ten with a column that half the rows fill.
 
     Runs that start in one column of consecutive rows touch and are one strip; touching strips are edges, and their
     components are found in rounds until nothing changes.
@@ -64,14 +69,34 @@ def blocks(cells: DataFrame) -> DataFrame:
     edge = runs.join(up, [*SHEET, "row"]).filter("u0 <= c1 + 1 and u1 >= c0 - 1 and id <> up").select(C("id").alias("a"), C("up").alias("b"))
     root = components(edge).select(C("node").alias("id"), "root")
     label = runs.select("id").distinct().join(root, "id", "left").select("id", F.coalesce("root", "id").alias("label"))
-    box = runs.join(label, "id").groupBy(*SHEET, C("label").alias("block_id")).agg(F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("c0").alias("c0"), F.max("c1").alias("c1"), F.sum("n").alias("n"), F.countDistinct("row").alias("rows"))
+    placed = runs.join(label, "id")
+    column = placed.select(*SHEET, C("label").alias("block_id"), F.explode(F.sequence("c0", "c1")).alias("col")).groupBy(*SHEET, "block_id", "col").agg(F.count("*").alias("k"))
+    fullest = column.groupBy(*SHEET, "block_id").agg(F.max("k").alias("fullest"))
+    box = placed.groupBy(*SHEET, C("label").alias("block_id")).agg(F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("c0").alias("c0"), F.max("c1").alias("c1"), F.sum("n").alias("n"), F.countDistinct("row").alias("rows"))
+    box = box.join(fullest, [*SHEET, "block_id"])
+    tall = C("r1") - C("r0") + 1
     area = (C("r1") - C("r0") + 1) * (C("c1") - C("c0") + 1)
-    return box.filter((C("c1") > C("c0")) & (C("r1") - C("r0") >= 2) & ((C("n") / area >= 0.55) | (C("rows") / (C("r1") - C("r0") + 1) >= 0.9))).drop("n", "rows")
+    return box.filter((C("c1") > C("c0")) & (C("r1") - C("r0") >= 2) & ((C("n") / area >= 0.55) | (C("rows") / tall >= 0.9) & (C("fullest") >= 0.5 * tall))).drop("n", "rows", "fullest")
 
 
 def in_blocks(cells: DataFrame, found: DataFrame) -> DataFrame:
     """Cells with their block."""
-    return cells.join(found, SHEET).filter("row between r0 and r1 and col between c0 and c1")
+    return within(cells, found, SHEET)
+
+
+def tiles(rectangles: DataFrame, tile: int = TILE) -> DataFrame:
+    """rectangles (r0, r1) with a row for each tile of rows that they reach into."""
+    return rectangles.withColumn("_tile", F.explode(F.sequence(F.floor(C("r0") / tile), F.floor(C("r1") / tile))))
+
+
+def within(cells: DataFrame, rectangles: DataFrame, keys: list[str], tile: int = TILE) -> DataFrame:
+    """Cells with the rectangles (r0, r1, c0, c1) of their keys that they lie in.
+
+    Both sides are cut into tiles of rows and meet by an equi-join on keys and tile, so that a cell meets the rectangles
+    near it and not all of its sheet. A tile doesn't hold more cells than its rows and columns, so no key is hot.
+    """
+    dealt = cells.withColumn("_tile", F.floor(C("row") / tile))
+    return dealt.join(tiles(rectangles, tile), [*keys, "_tile"]).filter("row between r0 and r1 and col between c0 and c1").drop("_tile")
 
 
 def value_like(x: Column) -> Column:
@@ -112,19 +137,21 @@ def unpivot(body: DataFrame) -> DataFrame:
     grid = data.select(*key, "col").distinct().join(heads.select(*key, "hr").distinct(), key).join(heads, [*key, "hr", "col"], "left")
     w = Window.partitionBy(*key, "hr").orderBy("col")
     col_hdrs = grid.withColumn("h", F.last("h", True).over(w)).groupBy(*key, "col").agg(F.transform(F.sort_array(F.collect_list(F.struct("hr", "h"))), lambda x: n.strip_footnote(x["h"])).alias("col_hdrs"))
-    labels = body.filter("row > header_end and col <= label_end").select(*key, "row", C("col").alias("lc"), C("value_str").alias("l"))
+    bold = F.coalesce(C("bold"), F.lit(False)) if "bold" in body.columns else F.lit(False)
+    labels = body.filter("row > header_end and col <= label_end").select(*key, "row", C("col").alias("lc"), C("value_str").alias("l"), bold.alias("lb"))
     all_rows = data.select(*key, "row").distinct().join(labels.select(*key, "lc").distinct(), key).join(labels, [*key, "row", "lc"], "left")
     w = Window.partitionBy(*key, "lc").orderBy("row")
-    row_hdrs = all_rows.withColumn("l", F.last("l", True).over(w)).groupBy(*key, "row").agg(F.transform(F.sort_array(F.collect_list(F.struct("lc", "l"))), lambda x: n.strip_footnote(F.trim(x["l"]))).alias("row_hdrs"), F.min_by(n.indent_level(C("l")), "lc").alias("level"))
+    row_hdrs = all_rows.withColumn("l", F.last("l", True).over(w)).groupBy(*key, "row").agg(F.transform(F.sort_array(F.collect_list(F.struct("lc", "l"))), lambda x: n.strip_footnote(F.trim(x["l"]))).alias("row_hdrs"), F.min_by(n.indent_level(C("l")), "lc").alias("level"), F.coalesce(F.max("lb"), F.lit(False)).alias("label_bold"))
     none = F.array().cast("array<string>")
     long = data.join(col_hdrs, [*key, "col"], "left").join(row_hdrs, [*key, "row"], "left")
-    return long.withColumns({"col_hdrs": F.coalesce("col_hdrs", none), "row_hdrs": F.coalesce("row_hdrs", none), "level": F.coalesce("level", F.lit(0))})
+    return long.withColumns({"col_hdrs": F.coalesce("col_hdrs", none), "row_hdrs": F.coalesce("row_hdrs", none), "level": F.coalesce("level", F.lit(0)), "label_bold": F.coalesce("label_bold", F.lit(False))})
 
 
 def is_subtotal(label: Column) -> Column:
-    """A whole word of the list, blanks removed."""
-    bare = F.lower(F.regexp_replace(label, r"\s+", ""))
-    return bare.isin([w.replace(" ", "") for w in SUBTOTALS])
+    """A word of the list as a whole word of the label, or as the label with its blanks removed."""
+    low, listed = F.lower(label), [*SUBTOTALS, *MORE_SUBTOTALS]
+    bare = F.regexp_replace(low, r"\s+", "").isin([w.replace(" ", "") for w in listed])
+    return bare | F.exists(F.split(low, r"[\s()\[\]:,/>]+"), lambda w: w.isin(listed))
 
 
 def is_red(rgb: Column) -> Column:
@@ -159,8 +186,9 @@ def tidy(long: DataFrame) -> DataFrame:
     return long.select(
         "workbook", "sheet", "block_id", rest(C("row_hdrs")).alias("entity"), period.alias("period"), rest(C("col_hdrs")).alias("metric"),
         F.when(~error, num["value"] * scale * F.when(red, -1).otherwise(1)).alias("value"), F.when(num["value"].isNull(), C("value_str")).alias("value_text"), "unit",
-        F.when(is_subtotal(F.try_element_at("row_hdrs", F.lit(-1))), "subtotal").otherwise("data").alias("row_role"), "level", C("row").alias("src_row"), C("col").alias("src_col"),
+        F.when(F.exists(F.concat("row_hdrs", "col_hdrs"), lambda x: F.coalesce(is_subtotal(x), F.lit(False))), "subtotal").otherwise("data").alias("row_role"), "level", C("row").alias("src_row"), C("col").alias("src_col"),
         scale.alias("scale_applied"), C("value_str").alias("raw_value"), F.array_compact(F.array(F.when(error, "ERROR_CELL"), F.when(num["scale"] != 1, "CELL_SCALE"), F.when(red, "SIGN_FROM_COLOR"))).alias("flags"),
+        "label_bold",
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallywright.functions import normalize as n
-from tallywright.operators.grid import SHEET, cell_type, filled
+from tallywright.operators.grid import SHEET, TILE, cell_type, filled, tiles
 
 C = F.col
 BLOCK = [*SHEET, "block_id"]
@@ -23,10 +23,12 @@ def absorb_bands(cells: DataFrame, found: DataFrame, gap: int = 4, most: int = 6
     numeric = cell_type(C("value_str")).isin("numeric", "date").cast("int")
     c = filled(cells).select(*SHEET, "row", "col", numeric.alias("_v"))
     inside = C("col").between(C("c0"), C("c1"))
-    near = c.join(found, SHEET).filter((C("row") < C("r0")) & (C("row") >= C("r0") - reach))
+    above = tiles(found.select(*BLOCK, "c0", "c1", (C("r0") - reach).alias("r0"), (C("r0") - 1).alias("r1")))
+    near = c.withColumn("_tile", F.floor(C("row") / TILE)).join(above, [*SHEET, "_tile"]).filter("row between r0 and r1").withColumn("r0", C("r1") + 1).drop("_tile", "r1")
     rows = near.groupBy(*BLOCK, "r0", "c0", "c1", "row").agg(F.count_if(inside).alias("_k"), F.sum(F.when(inside, C("_v")).otherwise(0)).alias("_n"))
     owner = found.select(*SHEET, C("block_id").alias("_owner"), C("r0").alias("_o0"), C("r1").alias("_o1"))
-    owned = rows.join(owner, SHEET).filter((C("row").between(C("_o0"), C("_o1"))) & (C("_owner") != C("block_id")))
+    owner = tiles(owner.withColumnsRenamed({"_o0": "r0", "_o1": "r1"})).withColumnsRenamed({"r0": "_o0", "r1": "_o1"})
+    owned = rows.withColumn("_tile", F.floor(C("row") / TILE)).join(owner, [*SHEET, "_tile"]).filter((C("row").between(C("_o0"), C("_o1"))) & (C("_owner") != C("block_id")))
     rows = rows.join(owned.groupBy(*BLOCK, "row").agg(F.min("_owner").alias("_owner")), [*BLOCK, "row"], "left")
     up = Window.partitionBy(*BLOCK).orderBy(F.desc("row"))
     blank = F.coalesce(F.lag("row").over(up), C("r0")) - C("row") - 1

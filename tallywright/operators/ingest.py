@@ -10,10 +10,11 @@ from tallywright.operators.lineage import settle
 
 C = F.col
 # Whole names of sheets that hold no data.
-META = (
-    "introduction intro content contents toc note notes information info correction corrections cover about index metadata meta foreword preface "
-    "readme legend definition definitions glossary source sources 목차 안내 일러두기 표지 개요 유의사항 주석 설명 범례 용어"
-).split() + ["table of contents"]
+META = [
+    "introduction", "intro", "content", "contents", "table of contents", "toc", "note", "notes", "information", "info", "correction", "corrections",
+    "cover", "about", "index", "metadata", "meta", "foreword", "preface", "readme", "legend", "definition", "definitions", "glossary", "source",
+    "sources", "목차", "안내", "일러두기", "표지", "개요", "유의사항", "주석", "설명", "범례", "용어",
+]
 
 
 def with_data(cells: DataFrame) -> DataFrame:
@@ -38,7 +39,7 @@ def ingest(cells: DataFrame) -> DataFrame:
     found = settle(headers.absorb_bands(full, settle(grid.blocks(full))))
     body = settle(grid.classify(settle(grid.strip_titles(settle(grid.in_blocks(full, found))))))
     rows = settle(grid.tidy(grid.unpivot(settle(headers.drop_repeated(share_headers(body))))))
-    labelled = rows.withColumns({"label": F.coalesce("entity", F.lit("")), "bold": F.lit(False), "_p": F.coalesce("period", F.lit("")), "_m": F.coalesce("metric", F.lit(""))})
+    labelled = rows.withColumns({"label": F.coalesce("entity", F.lit("")), "bold": C("label_bold"), "_p": F.coalesce("period", F.lit("")), "_m": F.coalesce("metric", F.lit(""))})
     scored = settle(totals.score_subtotals(labelled, [*headers.BLOCK, "_p", "_m"]).drop("label", "bold", "score"))
     wrong = totals.subtotal_mismatches(scored, [*headers.BLOCK, "_p", "_m"]).select(*headers.BLOCK, "src_row", "src_col", F.lit(True).alias("_w"))
     marked = scored.join(wrong, [*headers.BLOCK, "src_row", "src_col"], "left")

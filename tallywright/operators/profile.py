@@ -40,10 +40,11 @@ def recommend(roles_: DataFrame) -> DataFrame:
 def workbook_verdict(sheets: DataFrame, edges: DataFrame) -> DataFrame:
     """Workbook and kind: linked if any sheet's formulas refer to another, else none, single or multi by its sheets with data.
 
-    sheets: workbook, sheet, output (null: no data). edges: workbook, from, to.
+    sheets: workbook, sheet, output (null: no data). edges: workbook, from, to; one from a
+    sheet to itself links nothing.
     """
     g = sheets.groupBy("workbook").agg(F.count("output").alias("with_data"))
-    linked = edges.groupBy("workbook").agg(F.count("*").alias("links"))
+    linked = edges.filter(C("from") != C("to")).groupBy("workbook").agg(F.count("*").alias("links"))
     kind = F.when(C("with_data") == 0, "none").when(C("links") > 0, "linked").when(C("with_data") == 1, "single").otherwise("multi")
     return g.join(linked, "workbook", "left").fillna(0, ["links"]).withColumn("kind", kind)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallywright.analyses import allocation
 from tallywright.functions import finance as fin
 from tallywright.operators import checks as q
 from tallywright.plans.facts import BY, NM, NY, brand_years, month, nation_months, nation_years, rounded
@@ -144,17 +145,17 @@ def k12_listing(t: Tables) -> DataFrame:
 
 
 def flows(t: Tables) -> DataFrame:
-    """project, t, cash: an outlay of six average years and then a nation's yearly values."""
-    ny = nation_years(t).filter("y between 1995 and 2000").select(C("nation").alias("project"), (C("y") - 1994).alias("t"), C("value").alias("cash"))
+    """project, t, cash: an outlay of three average years and then a nation's yearly values."""
+    ny = nation_years(t).select(C("nation").alias("project"), (C("y") - 1994).alias("t"), C("value").alias("cash"))
     return ny.unionByName(ny.groupBy("project").agg(F.lit(0).alias("t"), (-3 * F.avg("cash")).alias("cash")))
 
 
-FLOWS = f"{NY}, fl AS (SELECT nation AS project, y-1994 AS t, value AS cash FROM ny WHERE y BETWEEN 1995 AND 2000 UNION ALL SELECT nation, 0, -3*avg(value) FROM ny WHERE y BETWEEN 1995 AND 2000 GROUP BY nation)"
+FLOWS = f"{NY}, fl AS (SELECT nation AS project, y-1994 AS t, value AS cash FROM ny UNION ALL SELECT nation, 0, -3*avg(value) FROM ny GROUP BY nation)"
 
 
 @query(f"""WITH {FLOWS}, r AS (SELECT *, 0.05+project/1000 AS rate FROM fl), d AS (SELECT *, sum(cash/pow(1+rate,t)) OVER w AS cum, cash/pow(1+rate,t) AS dcf FROM r WINDOW w AS (PARTITION BY project ORDER BY t)), p AS (SELECT *, lag(cum) OVER (PARTITION BY project ORDER BY t) AS prev FROM d)
 SELECT project, round(sum(dcf),2) AS npv, round(min(CASE WHEN cum>=0 AND prev<0 THEN t-1+(-prev)/dcf END),4) AS payback,
-round(pow(sum(CASE WHEN cash>0 THEN cash*pow(1.06, 6-t) END)/-sum(CASE WHEN cash<0 THEN cash/pow(1.05,t) END),1/6.0)-1,6) AS mirr FROM p GROUP BY project""")
+round(pow(sum(CASE WHEN cash>0 THEN cash*pow(1.06, -t) END)*pow(1.06, max(t))/-sum(CASE WHEN cash<0 THEN cash/pow(1.05,t) END),1.0/max(t))-1,6) AS mirr FROM p GROUP BY project""")
 def k13_investment_appraisal(t: Tables) -> DataFrame:
     """Net present value, discounted payback and modified rate of return per project."""
     f = flows(t).withColumn("rate", 0.05 + C("project") / 1000)
@@ -162,15 +163,32 @@ def k13_investment_appraisal(t: Tables) -> DataFrame:
     return a.join(fin.payback(f, "project", C("rate")), "project").withColumn("payback", F.round("payback", 4)).select("project", "npv", "payback", "mirr")
 
 
-@query(f"""WITH RECURSIVE {FLOWS}, s AS (SELECT project, list(struct_pack(t := t, c := cash)) AS l FROM fl GROUP BY project),
-b(project, l, lo, hi, i) AS (SELECT project, l, CAST(-0.9999 AS DOUBLE), CAST(10.0 AS DOUBLE), 0 FROM s UNION ALL
-SELECT project, l, CASE WHEN v>0 THEN lo ELSE m END, CASE WHEN v>0 THEN m ELSE hi END, i+1 FROM (SELECT *, (lo+hi)/2 AS m, -list_sum([x.c/pow(1+(lo+hi)/2, x.t) FOR x IN l]) AS v FROM b) WHERE i<80)
-SELECT project, round((lo+hi)/2,8) AS irr, 0.0 AS npv_at_irr FROM b WHERE i=80""")
+PLANTED = [(100, 0, -100.0), (100, 1, 230.0), (100, 2, -132.0), (200, 0, -100.0), (200, 5, 1.0), (300, 0, 1.0), (300, 1, 2.0)]
+
+
+@query(f"""WITH RECURSIVE {FLOWS}, mean AS (SELECT nation, avg(value) AS m FROM ny GROUP BY nation),
+every AS (FROM fl UNION ALL SELECT nation+p, t, m*f FROM mean, (VALUES {str(PLANTED)[1:-1]}) x(p, t, f)),
+s AS (SELECT project, list(struct_pack(t := t, c := cash)) AS l, min(cash)<0 AND max(cash)>0 AS two FROM every GROUP BY project),
+nw(project, l, rate, state, i) AS (SELECT project, l, CAST(0.1 AS DOUBLE), 0, 0 FROM s WHERE two UNION ALL
+  SELECT project, l, CASE WHEN abs(f)<1e-7 OR new IS NULL OR new<=-0.999999 THEN rate ELSE new END,
+  CASE WHEN abs(f)<1e-7 THEN 1 WHEN new IS NULL OR new<=-0.999999 THEN 2 WHEN abs(new-rate)<1e-7 THEN 1 ELSE 0 END, i+1
+  FROM (SELECT *, rate-f/nullif(d,0) AS new FROM (SELECT *, list_sum([x.c/pow(1+rate,x.t) FOR x IN l]) AS f,
+    list_sum([-x.t*x.c/pow(1+rate,x.t+1) FOR x IN l]) AS d FROM nw WHERE state=0 AND i<200))),
+done AS (SELECT project, rate FROM nw WHERE state=1),
+b(project, l, side, lo, hi, i) AS (SELECT project, l, sign(list_sum([x.c/pow(1-0.9999,x.t) FOR x IN l])), CAST(-0.9999 AS DOUBLE), CAST(10.0 AS DOUBLE), 0
+  FROM s WHERE two AND project NOT IN (SELECT project FROM done) AND sign(list_sum([x.c/pow(1-0.9999,x.t) FOR x IN l]))*sign(list_sum([x.c/pow(11,x.t) FOR x IN l]))<0
+  UNION ALL SELECT project, l, side, CASE WHEN v=side THEN m ELSE lo END, CASE WHEN v=side THEN hi ELSE m END, i+1
+  FROM (SELECT *, (lo+hi)/2 AS m, sign(list_sum([x.c/pow(1+(lo+hi)/2, x.t) FOR x IN l])) AS v FROM b) WHERE i<80)
+SELECT s.project, round(coalesce(done.rate, (lo+hi)/2),6) AS irr,
+CASE WHEN done.rate IS NOT NULL THEN 'newton' WHEN lo IS NOT NULL THEN 'bisection' ELSE 'none' END AS status
+FROM s LEFT JOIN done USING (project) LEFT JOIN (SELECT * FROM b WHERE i=80) b USING (project)""")
 def f2_irr(t: Tables) -> DataFrame:
-    """Internal rate of return per project and the net present value at it, in thousands."""
-    f = flows(t)
-    r = fin.irr(f, "project")
-    return f.join(r, "project").groupBy("project").agg(F.round(F.max("irr"), 8).alias("irr"), (F.round(fin.npv(C("irr")) / 1000, 2) + 0.0).alias("npv_at_irr"))
+    """Internal rate of return and its status: nations' flows, and planted ones with two rates, with a rate that Newton's
+    method misses, and without a change of sign."""
+    mean = nation_years(t).groupBy("nation").agg(F.avg("value").alias("m"))
+    rows = F.array(*(F.struct(F.lit(p).alias("p"), F.lit(k).alias("t"), F.lit(f).alias("f")) for p, k, f in PLANTED))
+    planted = mean.select("nation", "m", F.inline(rows)).select((C("nation") + C("p")).alias("project"), "t", (C("m") * C("f")).alias("cash"))
+    return rounded(fin.irr(flows(t).unionByName(planted), "project"), "irr", places=6)
 
 
 @query("""SELECT p_partkey AS asset, CAST(k AS INT) AS k, CAST(round(CAST(p_retailprice-(p_retailprice*0.9)/p_size*(k-1) AS DECIMAL(38,9)),6) AS DOUBLE) AS opening,
@@ -287,18 +305,29 @@ def k23_lease_ifrs16(t: Tables) -> DataFrame:
     return rounded(fin.lease_schedule(l), "opening", "interest", "closing", "rou_dep", places=4).select("lease", "k", "opening", "interest", "closing", "rou_dep")
 
 
-@query("""WITH d0 AS (SELECT c_nationkey AS dept, n_regionkey AS region, count(*) AS w, sum(abs(c_acctbal)) AS cost FROM customer JOIN nation ON c_nationkey=n_nationkey GROUP BY 1,2),
-d1 AS (SELECT dept, region, w, CASE WHEN region=0 THEN 0 ELSE cost+(SELECT coalesce(sum(cost),0) FROM d0 WHERE region=0)*w/(SELECT sum(w) FROM d0 WHERE region>0) END AS cost FROM d0)
-SELECT dept, region, round(CASE WHEN region=1 THEN 0 WHEN region>1 THEN cost+(SELECT coalesce(sum(cost),0) FROM d1 WHERE region=1)*w/(SELECT sum(w) FROM d1 WHERE region>1) ELSE cost END,2) AS cost FROM d1""")
+SERVICES = [(1, 2), (2, 0), (3, 1)]  # rank and nation
+
+
+@query("""WITH d AS (SELECT c_mktsegment AS entity, c_nationkey AS dept, count(*) AS n, sum(abs(c_acctbal)) AS cost FROM customer GROUP BY 1,2),
+own AS (SELECT entity, coalesce(sum(cost) FILTER (dept=2),0) AS c2 FROM d GROUP BY 1),
+one AS (SELECT d.entity, dept, n, CASE WHEN dept=2 THEN 0 ELSE cost+c2*(n*(1+dept%3))/(SELECT sum(x.n*(1+x.dept%3)) FROM d x WHERE x.entity=d.entity AND x.dept<>2) END AS cost FROM d JOIN own USING (entity)),
+own0 AS (SELECT entity, coalesce(sum(cost) FILTER (dept=0),0) AS c0 FROM one GROUP BY 1),
+two AS (SELECT one.entity, dept, n, CASE WHEN dept=0 THEN 0 WHEN dept>2 THEN cost+c0/(SELECT count(*) FROM d x WHERE x.entity=one.entity AND x.dept>2) ELSE cost END AS cost FROM one JOIN own0 USING (entity)),
+own1 AS (SELECT entity, coalesce(sum(cost) FILTER (dept=1),0) AS c1 FROM two GROUP BY 1)
+SELECT two.entity, dept, CASE WHEN dept<3 THEN 'service' ELSE 'production' END AS kind, round(CASE WHEN dept=1 THEN 0 WHEN dept>2 THEN
+cost+c1*n/(SELECT sum(x.n) FROM d x WHERE x.entity=two.entity AND x.dept>2) ELSE cost END,2) AS cost FROM two JOIN own1 USING (entity)""")
 def k24_step_down_allocation(t: Tables) -> DataFrame:
-    """Service regions 0 and 1 pass their nations' cost down in order; what is left stands in the others. Cost is kept."""
-    w = t.customer.groupBy(C("c_nationkey").alias("dept")).agg(F.count("*").alias("weight"), F.sum(F.abs("c_acctbal")).alias("cost"))
-    d = w.join(t.nation.select(C("n_nationkey").alias("dept"), C("n_regionkey").alias("region")), "dept")
-    for service in (0, 1):
-        pool = d.filter(C("region") == service).agg(F.coalesce(F.sum("cost"), F.lit(0.0)).alias("pool"))
-        open_ = d.filter(C("region") > service).agg(F.sum("weight").alias("total"))
-        d = d.crossJoin(F.broadcast(pool)).crossJoin(F.broadcast(open_)).withColumn("cost", F.when(C("region") == service, 0.0).when(C("region") > service, C("cost") + C("pool") * C("weight") / C("total")).otherwise(C("cost"))).drop("pool", "total")
-    return rounded(d.select("dept", "region", "cost"), "cost")
+    """Segments as entities, nations as departments. Nation 2 passes on to all by weights; nation 0's only driver is nation 2,
+    which is closed, so its cost goes evenly to production; nation 1's drivers are all, of which three are closed."""
+    d = t.customer.groupBy(C("c_mktsegment").alias("entity"), C("c_nationkey").alias("dept")).agg(F.count("*").alias("n"), F.sum(F.abs("c_acctbal")).alias("cost"))
+    costs = d.select("entity", "dept", F.when(C("dept") < 3, "service").otherwise("production").alias("kind"), "cost")
+    to = d.select("entity", C("dept").alias("target"), "n")
+    drivers = to.select("entity", F.lit(2).alias("source"), "target", (C("n") * (1 + C("target") % 3)).alias("weight")).unionByName(
+        to.filter("target = 2").select("entity", F.lit(0).alias("source"), "target", C("n").alias("weight"))
+    ).unionByName(to.select("entity", F.lit(1).alias("source"), "target", C("n").alias("weight")))
+    order = d.select("entity").distinct().select("entity", F.inline(F.array(*(F.struct(F.lit(r).alias("rank"), F.lit(s).alias("source")) for r, s in SERVICES))))
+    kind = d.schema["dept"].dataType
+    return rounded(allocation.step_down(costs, drivers.withColumn("source", C("source").cast(kind)), order.withColumn("source", C("source").cast(kind))), "cost")
 
 
 @query(f"""WITH {BY}, p AS (SELECT a.brand AS product, a.revenue/a.qty AS p0, a.qty AS q0, b.revenue/b.qty AS p1, b.qty AS q1 FROM by_ a JOIN by_ b USING (brand) WHERE a.y=1996 AND b.y=1997), s AS (SELECT *, sum(q0) OVER () AS t0, sum(q1) OVER () AS t1, sum(p0*q0) OVER ()/sum(q0) OVER () AS avg0 FROM p)

@@ -49,7 +49,7 @@ TREE = "tr AS (SELECT 's'||s_suppkey AS node, 'n'||s_nationkey AS parent, s_acct
 
 @query(f"WITH RECURSIVE {TREE}, cl AS (SELECT node AS top, node FROM tr UNION ALL SELECT cl.top, tr.node FROM cl JOIN tr ON tr.parent=cl.node) SELECT top AS node, round(sum(value),2) AS total FROM cl JOIN tr ON tr.node=cl.node GROUP BY top")
 def d5_rollup(t: Tables) -> DataFrame:
-    return rounded(q.rollup_tree(tree(t)), "total")
+    return rounded(q.rollup_tree(tree(t)).select("node", "total"), "total")
 
 
 @query(f"WITH {TREE} SELECT node FROM tr WHERE node NOT IN (SELECT parent FROM tr WHERE parent IS NOT NULL)")
@@ -57,13 +57,20 @@ def d6_leaves(t: Tables) -> DataFrame:
     return q.leaves(tree(t)).select("node")
 
 
-@query(f"WITH {TREE} SELECT round(sum(value),2) AS leaf_sum, true AS ok, count(*) FILTER (parent IS NOT NULL AND parent NOT IN (SELECT node FROM tr)) AS orphans FROM tr")
+@query(f"""WITH RECURSIVE {TREE}, two AS (SELECT 'whole' AS tree, * FROM tr UNION ALL SELECT 'damaged', * FROM tr WHERE node<>'n3'
+  UNION ALL VALUES ('damaged', 'c1', 'c2', 5.0), ('damaged', 'c2', 'c1', 7.0), ('damaged', 'c3', 'c1', 9.0)),
+reached AS (SELECT tree, node, value FROM two WHERE parent IS NULL UNION ALL SELECT b.tree, b.node, b.value FROM two b JOIN reached r ON b.tree=r.tree AND b.parent=r.node),
+top AS (SELECT tree, sum(value) AS top FROM reached GROUP BY tree)
+SELECT tree, round(sum(value),2) AS leaf_sum, abs(sum(value)-any_value(top))<=0.01 AS ok,
+count(*) FILTER (parent IS NOT NULL AND NOT EXISTS (SELECT 1 FROM two p WHERE p.tree=b.tree AND p.node=b.parent)) AS orphans,
+count(*) FILTER (node IN ('c1','c2')) AS in_cycle FROM two b JOIN top USING (tree) GROUP BY tree""")
 def q11_hierarchy_ties(t: Tables) -> DataFrame:
-    """Roots' totals against the sum of all, and nodes without their parent."""
-    nodes = tree(t)
-    roots = q.rollup_tree(nodes).join(nodes.filter("parent is null").select("node"), "node").agg(F.sum("total").alias("top"))
-    orphans = nodes.filter("parent is not null").join(nodes.select(C("node").alias("parent")), "parent", "left_anti").agg(F.count("*").alias("orphans"))
-    return nodes.agg(F.sum("value").alias("leaf")).crossJoin(roots).crossJoin(orphans).select(F.round("leaf", 2).alias("leaf_sum"), q.tie_out(C("leaf"), C("top"), 0.01).alias("ok"), "orphans")
+    """Roots' totals against the sum of all, for the whole tree and for one without a nation and with a cycle."""
+    whole = tree(t)
+    more = t.spark.createDataFrame([("c1", "c2", 5.0), ("c2", "c1", 7.0), ("c3", "c1", 9.0)], "node string, parent string, value double")
+    damaged = whole.filter("node <> 'n3'").unionByName(more)
+    said = lambda name, nodes: q.hierarchy_ties(nodes).select(F.lit(name).alias("tree"), F.round("leaf_sum", 2).alias("leaf_sum"), "ok", "orphans", "in_cycle")
+    return said("whole", whole).unionByName(said("damaged", damaged))
 
 
 @query("SELECT l_partkey, l_suppkey, count(*) AS n, 'DUPLICATE' AS reason FROM lineitem GROUP BY 1,2 HAVING count(*)>1")
@@ -131,14 +138,35 @@ def q10_scenario_aligned(t: Tables) -> DataFrame:
     return nm.groupBy("ym").agg(F.count("*").alias("nations")).crossJoin(F.broadcast(nm.agg(F.countDistinct("nation").alias("all")))).filter("nations < all").select("ym", "nations")
 
 
-@query("SELECT l_linenumber AS line, round(sum(l_extendedprice),2) AS parsed FROM lineitem GROUP BY 1")
+@query("""SELECT l_linenumber AS line, round(sum(l_extendedprice) FILTER (NOT (l_orderkey%7=5 OR l_orderkey%7=6 AND l_extendedprice>=1000)),2) AS parsed,
+count(*) FILTER (l_orderkey%7=5 OR l_orderkey%7=6 AND l_extendedprice>=1000) AS texts FROM lineitem GROUP BY 1""")
 def n6_text_numbers(t: Tables) -> DataFrame:
-    """Prices written as brackets, triangles, full-width digits, per cents and thousands, read back."""
-    x, k = C("l_extendedprice"), C("l_orderkey") % 5
+    """Prices written as brackets, triangles, full-width digits, per cents and thousands, read back; a bracket without its
+    fellow and thousands apart by blanks are texts."""
+    x, k = C("l_extendedprice"), C("l_orderkey") % 7
     plain = F.format_number(x, 2)
-    text = F.when(k == 0, F.concat(F.lit("("), plain, F.lit(")"))).when(k == 1, F.concat(F.lit("△"), plain)).when(k == 2, F.translate(plain, n.ASCII[:94], n.FULL[:94])).when(k == 3, F.concat(F.format_string("%.2f", x * 100), F.lit("%"))).otherwise(F.concat(F.format_string("%.5f", x / 1000), F.lit("천원")))
+    text = (
+        F.when(k == 0, F.concat(F.lit("("), plain, F.lit(")"))).when(k == 1, F.concat(F.lit("△"), plain)).when(k == 2, F.translate(plain, n.ASCII[:94], n.FULL[:94]))
+        .when(k == 3, F.concat(F.format_string("%.2f", x * 100), F.lit("%"))).when(k == 4, F.concat(F.format_string("%.5f", x / 1000), F.lit("천원")))
+        .when(k == 5, F.concat(F.lit("("), plain)).otherwise(F.translate(plain, ",", " "))
+    )
     v = n.number(text)
-    return t.lineitem.select(C("l_linenumber").alias("line"), F.when(v["negative"], -v["value"]).otherwise(v["value"]).alias("v")).groupBy("line").agg(F.round(F.sum("v"), 2).alias("parsed"))
+    read = t.lineitem.select(C("l_linenumber").alias("line"), F.when(v["negative"], -v["value"]).otherwise(v["value"]).alias("v"))
+    return read.groupBy("line").agg(F.round(F.sum("v"), 2).alias("parsed"), F.count_if(C("v").isNull()).alias("texts"))
+
+
+@query("""SELECT o_orderkey%10 AS form, o_orderkey%10<8 AS period, count(*) AS n FROM orders GROUP BY 1,2""")
+def n14_periods(t: Tables) -> DataFrame:
+    """Order dates as quarters, halves, months and years in the forms that headers have, and two that are none."""
+    d, k = C("o_orderdate"), C("o_orderkey") % 10
+    y, quarter, month_ = F.year(d).cast("string"), F.quarter(d).cast("string"), F.month(d).cast("string")
+    half = F.when(F.month(d) <= 6, "상반기").otherwise("하반기")
+    forms = [
+        F.concat(quarter, F.lit("분기")), F.concat(y, F.lit("년 "), quarter, F.lit("분기")), half, F.concat(y, F.lit("년 "), half), F.concat(quarter, F.lit("Q")), F.concat(y, F.lit("."), month_),
+        F.concat(y, F.lit("Q"), quarter), F.concat(month_, F.lit("월")), F.concat(quarter, F.lit("번")), C("o_orderpriority"),
+    ]
+    text = F.element_at(F.array(*forms), (k + 1).cast("int"))
+    return t.orders.groupBy(k.alias("form"), F.coalesce(n.is_period(text), F.lit(False)).alias("period")).agg(F.count("*").alias("n"))
 
 
 def cells(t: Tables) -> DataFrame:
@@ -166,10 +194,14 @@ def t13_reconcile(t: Tables) -> DataFrame:
     return grid.reconcile(c, grid.ingest(c)).groupBy("status").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {BY} SELECT brand, round(max(revenue) FILTER (y=1996),2) AS y1996, round(max(revenue) FILTER (y=1997),2) AS y1997 FROM by_ GROUP BY brand")
+YEARS = range(1995, 2002)
+
+
+@query(f"WITH {BY} SELECT brand, " + ", ".join(f"round(max(revenue) FILTER (y={y}),2) AS y{y}" for y in YEARS) + " FROM by_ GROUP BY brand")
 def t15_to_mart(t: Tables) -> DataFrame:
     rows = brand_years(t).select("brand", F.concat(F.lit("y"), "y").alias("metric"), C("revenue").alias("value"), F.lit("data").alias("row_role"), F.lit(1).alias("src_row"))
-    return rounded(grid.to_mart(rows, ["brand"], ["y1996", "y1997"]), "y1996", "y1997")
+    names = [f"y{y}" for y in YEARS]
+    return rounded(grid.to_mart(rows, ["brand"], names), *names)
 
 
 @query(f"WITH {NM} SELECT nation, CAST(ym//12 AS BIGINT) AS year, round(sum(value),2) AS subtotal, true AS ok FROM nm GROUP BY 1,2")
@@ -184,9 +216,9 @@ def t14_subtotal_islands(t: Tables) -> DataFrame:
 
 
 def formulas(t: Tables) -> DataFrame:
-    """A formula cell per order line: mostly filled down, some with smells."""
+    """A formula cell per order line: mostly filled down, some with smells, some with a text that only looks like one."""
     r, k = C("l_orderkey").cast("int"), C("l_orderkey") % 97
-    f = F.when(k == 0, F.format_string("=C%d/D%d", r, r)).when(k == 1, F.format_string("=[ext.xlsx]S!A%d+B%d", r, r)).when(k == 2, F.format_string("=A%d*1.37", r)).when(k == 3, F.format_string("=IF(IF(IF(IF(IF(A%d))))))", r)).otherwise(F.format_string("=A%d*B%d", r, r))
+    f = F.when(k == 0, F.format_string("=C%d/D%d", r, r)).when(k == 1, F.format_string("=[ext.xlsx]S!A%d+B%d", r, r)).when(k == 2, F.format_string("=A%d*1.37", r)).when(k == 3, F.format_string("=IF(IF(IF(IF(IF(A%d))))))", r)).when(k == 4, F.format_string('="IF(1/9.99,[x.xls]a!b)"&A%d', r)).otherwise(F.format_string("=A%d*B%d", r, r))
     return t.lineitem.select(C("l_linenumber").alias("sheet"), r.alias("row"), F.lit(3).alias("col"), f.alias("formula"))
 
 
@@ -195,7 +227,7 @@ def x1_formula_smells(t: Tables) -> DataFrame:
     return audit.formula_smells(formulas(t)).groupBy("sheet", "kind").agg(F.count("*").alias("n"))
 
 
-@query("SELECT l_linenumber AS sheet, count(*) AS n FROM lineitem WHERE l_orderkey%97<4 GROUP BY 1")
+@query("SELECT l_linenumber AS sheet, count(*) AS n FROM lineitem WHERE l_orderkey%97<5 GROUP BY 1")
 def x6_formula_consistency(t: Tables) -> DataFrame:
     """Formulas whose relative form differs from the column's."""
     f = formulas(t).withColumn("form", audit.relative_form(C("formula"), C("row"), C("col")))
@@ -204,7 +236,7 @@ def x6_formula_consistency(t: Tables) -> DataFrame:
 
 @query("SELECT l_linenumber AS sheet, fn, count(*) AS n FROM (SELECT l_linenumber, 'IF' AS fn FROM lineitem, range(5) WHERE l_orderkey%97=3) GROUP BY 1,2")
 def x20_function_counts(t: Tables) -> DataFrame:
-    return formulas(t).select("sheet", F.explode(F.regexp_extract_all("formula", F.lit(r"([A-Z]+)\("), 1)).alias("fn")).groupBy("sheet", "fn").agg(F.count("*").alias("n"))
+    return formulas(t).select("sheet", F.explode(audit.functions_in(audit.tokens(C("formula")))).alias("fn")).groupBy("sheet", "fn").agg(F.count("*").alias("n"))
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey%1000=7")

@@ -16,11 +16,11 @@ from tallywright.sources import records
 C = F.col
 
 
-@query("""SELECT c_custkey AS code, CASE WHEN c_custkey%3=0 THEN c_mktsegment ELSE coalesce('S'||s_nationkey, p_brand) END AS fs_line FROM customer LEFT JOIN (SELECT * FROM supplier WHERE s_suppkey%3=1) ON s_suppkey=c_custkey LEFT JOIN part ON p_partkey=c_custkey""")
+@query("""SELECT c_custkey AS code, CASE WHEN c_custkey%3=0 THEN c_mktsegment ELSE coalesce('S'||s_nationkey, p_brand) END AS fs_line FROM customer LEFT JOIN (SELECT s_suppkey, CASE WHEN s_suppkey%3=1 THEN s_nationkey END AS s_nationkey FROM supplier) ON s_suppkey=c_custkey LEFT JOIN part ON p_partkey=c_custkey""")
 def d7_account_lines(t: Tables) -> DataFrame:
     """Customers as accounts: an own line, else one by supplier number, else one by part number, else null."""
     accounts = t.customer.select(C("c_custkey").alias("code"), F.when(C("c_custkey") % 3 == 0, C("c_mktsegment")).alias("fs_line"))
-    fallback = t.supplier.filter("s_suppkey % 3 = 1").select(C("s_suppkey").alias("code"), F.concat(F.lit("S"), "s_nationkey").alias("fs_line"))
+    fallback = t.supplier.select(C("s_suppkey").alias("code"), F.when(C("s_suppkey") % 3 == 1, F.concat(F.lit("S"), "s_nationkey")).alias("fs_line"))
     return dimensions.map_accounts(accounts, fallback, t.part.select(C("p_partkey").alias("code"), C("p_brand").alias("fs_line"), C("p_size").alias("ord")))
 
 
@@ -120,13 +120,13 @@ def q16_recurrence(t: Tables) -> DataFrame:
 
 
 def totalled(t: Tables) -> DataFrame:
-    """Nations by year as tidy rows with a total row for each year."""
+    """Nations by year as tidy rows with a total row for each year: by its label in even years, in bold type in odd ones."""
     rows = nation_years(t).select(F.lit("w").alias("workbook"), C("y").cast("string").alias("period"), F.concat(F.lit("N"), "nation").alias("label"), "value", F.lit(False).alias("bold"), F.lit("data").alias("row_role"))
-    sums = rows.groupBy("workbook", "period").agg(F.sum("value").alias("value")).select("workbook", "period", F.lit("합계").alias("label"), "value", F.lit(False).alias("bold"), F.lit("data").alias("row_role"))
+    sums = rows.groupBy("workbook", "period").agg(F.sum("value").alias("value")).select("workbook", "period", F.when(C("period") % 2 == 0, "합계").otherwise("All regions").alias("label"), "value", (C("period") % 2 == 1).alias("bold"), F.lit("data").alias("row_role"))
     return rows.unionByName(sums)
 
 
-@query(f"WITH {NY} SELECT CAST(y AS VARCHAR) AS period, '합계' AS label, round(sum(value),2) AS value, 2 AS score FROM ny GROUP BY y")
+@query(f"WITH {NY} SELECT CAST(y AS VARCHAR) AS period, CASE WHEN y%2=0 THEN '합계' ELSE 'All regions' END AS label, round(sum(value),2) AS value, 2 AS score FROM ny GROUP BY y")
 def t6_subtotals(t: Tables) -> DataFrame:
     """Rows that label and arithmetic show to be totals."""
     s = totals.score_subtotals(totalled(t), ["workbook", "period"])
@@ -181,14 +181,20 @@ def t17_accuracy(t: Tables) -> DataFrame:
     return totals.accuracy(nm, nm.select("nation", "ym", (C("value") + F.when(C("nation") % 7 == 0, 1.0).otherwise(0.0)).alias("want")), ["nation", "ym"])
 
 
-@query("SELECT 'S'||l_linenumber AS \"from\", 'S'||(l_linenumber+1) AS \"to\", count(*) AS n FROM lineitem WHERE l_linenumber+1 IN (SELECT l_linenumber FROM lineitem) GROUP BY 1,2")
+@query("""WITH c AS (SELECT 'w'||(l_orderkey%2) AS workbook, l_linenumber AS line, l_orderkey%3 AS k FROM lineitem)
+SELECT workbook, 'S '||line AS "from", 'S '||(line+1) AS "to", count(*) AS n FROM c WHERE k=0 AND EXISTS (SELECT 1 FROM c d WHERE d.workbook=c.workbook AND d.line=c.line+1) GROUP BY workbook, line
+UNION ALL SELECT workbook, 'S '||line, '매출', count(*) FROM c WHERE k=2 AND workbook='w0' GROUP BY workbook, line""")
 def x3_sheet_references(t: Tables) -> DataFrame:
-    """Every sheet's formulas point at the next sheet; the last one's sheet isn't there."""
-    f = t.lineitem.select(F.concat(F.lit("S"), "l_linenumber").alias("sheet"), F.format_string("=S%d!A%d*S%d!B%d", C("l_linenumber") + 1, "l_orderkey", C("l_linenumber"), "l_orderkey").alias("formula"))
-    return audit.sheet_references(f)
+    """Two workbooks with sheets of the same names, which hold blanks. A third of the formulas point at the next sheet, a third
+    name it within a text only, and a third point at a sheet that only one workbook has."""
+    k, s = C("l_orderkey") % 3, C("l_linenumber")
+    f = F.when(k == 0, F.format_string("='S %d'!A%d*'S %d'!B1", s + 1, "l_orderkey", s)).when(k == 1, F.format_string("=\"see 'S %d'!A1\"&A%d", s + 1, "l_orderkey")).otherwise(F.format_string("=매출!B%d", "l_orderkey"))
+    rows = t.lineitem.select(F.concat(F.lit("w"), C("l_orderkey") % 2).alias("workbook"), F.concat(F.lit("S "), s).alias("sheet"), f.alias("formula"))
+    only = t.region.limit(1).select(F.lit("w0").alias("workbook"), F.lit("매출").alias("sheet"), F.lit(None).cast("string").alias("formula"))
+    return audit.sheet_references(rows.unionByName(only))
 
 
-@query("SELECT l_linenumber AS sheet, count(*) AS n FROM lineitem WHERE l_orderkey%97<4 AND l_orderkey BETWEEN 1 AND 1000000000 GROUP BY 1")
+@query("SELECT l_linenumber AS sheet, count(*) AS n FROM lineitem WHERE l_orderkey%97<5 AND l_orderkey BETWEEN 1 AND 1000000000 GROUP BY 1")
 def x4_formula_rules(t: Tables) -> DataFrame:
     """Column C of every sheet must be A times B of its row."""
     rules = t.lineitem.select(C("l_linenumber").alias("sheet")).distinct().select("sheet", F.lit(3).alias("col"), F.lit(1).alias("r0"), F.lit(1_000_000_000).alias("r1"), F.lit("A").alias("left"), F.lit("*").alias("op"), F.lit("B").alias("right"))
@@ -268,14 +274,20 @@ def s6_findings_report(t: Tables) -> DataFrame:
     return records.findings_report(t.lineitem.select(C("l_returnflag").alias("kind"), "l_orderkey", "l_linenumber"), "kind", ["l_orderkey", "l_linenumber"])
 
 
-@query(f"""WITH {NY}, x AS (SELECT n_regionkey AS region, nation, y, value FROM ny JOIN nation ON n_nationkey=nation WHERE y<1998 OR nation%2=0), k AS (SELECT region, nation, max(CASE WHEN y=1997 THEN CAST(CAST(round(value) AS BIGINT) AS VARCHAR) END) AS a, max(CASE WHEN y=1998 THEN CAST(CAST(round(value) AS BIGINT) AS VARCHAR) END) AS b FROM x GROUP BY 1,2)
-SELECT CASE WHEN lag(region) OVER (ORDER BY region, nation)=region THEN '' ELSE CAST(region AS VARCHAR) END AS region_label, nation, coalesce(a,'-') AS v1997, coalesce(b,'-') AS v1998, 'won' AS unit FROM k""")
+S9_YEARS = range(1995, 2002)
+_S9 = ", ".join(f"coalesce(max(CASE WHEN y={y} THEN CAST(CAST(round(value) AS BIGINT) AS VARCHAR) END),'-') AS v{y}" for y in S9_YEARS)
+
+
+@query(f"""WITH {NY}, x AS (SELECT n_regionkey AS region, nation, y, CASE WHEN y<1998 OR nation%2=0 THEN value END AS value FROM ny JOIN nation ON n_nationkey=nation),
+k AS (SELECT region, nation, {_S9} FROM x GROUP BY 1,2)
+SELECT CASE WHEN lag(region) OVER (ORDER BY region, nation)=region THEN '' ELSE CAST(region AS VARCHAR) END AS region_label, nation, {", ".join(f"v{y}" for y in S9_YEARS)}, 'won' AS unit FROM k""")
 def s9_wide_records(t: Tables) -> DataFrame:
-    """Records of nations within regions by year as a sheet; odd nations lack the last years."""
-    ny = nation_years(t).filter("y < 1998 or nation % 2 = 0").join(t.nation.select(C("n_nationkey").alias("nation"), C("n_regionkey").alias("region")), "nation")
-    rec = ny.select(F.lit("t").alias("table"), "region", "nation", C("y").cast("string").alias("period"), F.lit("sales").alias("item"), F.when(C("y") == 1996, "").otherwise("won").alias("unit"), F.round("value").cast("long").cast("string").alias("value"), (C("region") * 1_000_000 + C("nation") * 10_000 + C("y")).alias("ord"))
-    out = records.wide_records(rec, "table", ["region", "nation"], ["1997|sales", "1998|sales"])
-    return out.select("region_label", "nation", C("1997|sales").alias("v1997"), C("1998|sales").alias("v1998"), "unit")
+    """Records of nations within regions by year as a sheet; odd nations' later values are missing."""
+    ny = nation_years(t).join(t.nation.select(C("n_nationkey").alias("nation"), C("n_regionkey").alias("region")), "nation")
+    value = F.when((C("y") < 1998) | (C("nation") % 2 == 0), F.round("value").cast("long").cast("string"))
+    rec = ny.select(F.lit("t").alias("table"), "region", "nation", C("y").cast("string").alias("period"), F.lit("sales").alias("item"), F.when(C("y") == 1996, "").otherwise("won").alias("unit"), value.alias("value"), (C("region") * 1_000_000 + C("nation") * 10_000 + C("y")).alias("ord"))
+    out = records.wide_records(rec, "table", ["region", "nation"], [f"{y}|sales" for y in S9_YEARS])
+    return out.select("region_label", "nation", *(C(f"{y}|sales").alias(f"v{y}") for y in S9_YEARS), "unit")
 
 
 @query("SELECT left(p_brand,length(p_brand)-1) AS sheet, 4 AS row, k.key, count(DISTINCT year(l_shipdate)) AS columns FROM lineitem JOIN part ON l_partkey=p_partkey, (VALUES ('revenue'),('qty')) k(key) GROUP BY 1,3")

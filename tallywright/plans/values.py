@@ -183,6 +183,28 @@ def sheets(t: Tables) -> DataFrame:
     return body.unionByName(toc).withColumns(none)
 
 
+@query("SELECT 's'||s_suppkey AS sheet, 1 AS r0, 1+s_suppkey%4 AS c0, 9 AS r1, 3+s_suppkey%4 AS c1 FROM supplier WHERE s_suppkey%3>0")
+def b2_blocks(t: Tables) -> DataFrame:
+    """A sheet per supplier: cells on a diagonal, which are no block; a full block; and one with labels that aren't repeated
+    and a full last column, which is thin but has a column that fills its rows."""
+    k = C("s_suppkey")
+    at = t.supplier.select(k.alias("k"), F.explode(F.sequence(F.lit(1), F.lit(9))).alias("row"))
+    off = F.transform(F.sequence(F.lit(1), F.lit(3)), lambda c: c + C("k") % 4)
+    cols = F.when(C("k") % 3 == 0, F.array(C("row"))).when(C("k") % 3 == 1, off).otherwise(F.when(C("row") % 4 == 1, off).otherwise(F.slice(off, 3, 1)))
+    spread = F.when((C("k") % 3 == 2) & (C("row") % 4 != 1), F.array(3 + C("k") % 4)).otherwise(cols)
+    c = at.select(F.lit("w").alias("workbook"), F.concat(F.lit("s"), "k").alias("sheet"), C("row").cast("int").alias("row"), F.explode(F.transform(spread, lambda x: x.cast("int"))).alias("col"), F.lit("1.5").alias("value_str"))
+    return grid.blocks(c).select("sheet", "r0", "c0", "r1", "c1")
+
+
+@query("""SELECT s_suppkey%6 AS form, s_suppkey%6 IN (0,1,2) AS subtotal, count(*) AS n FROM supplier GROUP BY 1,2""")
+def b7_subtotal_labels(t: Tables) -> DataFrame:
+    """Suppliers' names with a subtotal's word before, behind or alone, within another word, or without one."""
+    name, k = C("s_name"), C("s_suppkey") % 6
+    forms = [F.concat(F.lit("Total "), name), F.concat(name, F.lit(" 합계")), F.lit("소 계"), F.concat(F.lit("Totally "), name), name, F.concat(name, F.lit(" 합계표"))]
+    label = F.element_at(F.array(*forms), (k + 1).cast("int"))
+    return t.supplier.groupBy(k.alias("form"), grid.is_subtotal(label).alias("subtotal")).agg(F.count("*").alias("n"))
+
+
 @query("""WITH s AS (SELECT 's'||s_suppkey AS sheet, CAST(round(abs(s_acctbal)) AS BIGINT)+20000 AS v FROM supplier)
 SELECT s.sheet, x.entity, x.period, x.value, x.flag FROM s, LATERAL (VALUES ('alpha','2023년',CAST(v AS DOUBLE),''),('alpha','2024년',v+1,''),('alpha','2025년',v+2,''),('loss','2023년',-(v+3),'SIGN_FROM_COLOR'),('loss','2024년',(v+4)*1000,'CELL_SCALE'),('loss','2025년',NULL,'ERROR_CELL'),('beta','2023년',v+5,''),('beta','2024년',v+6,''),('beta','2025년',v+7,''),('gamma','2023년',v+8,''),('gamma','2024년',v+9,''),('gamma','2025년',v+10,'')) x(entity, period, value, flag)""")
 def b3_ingest_traits(t: Tables) -> DataFrame:
@@ -224,10 +246,11 @@ def p3_recommended_outputs(t: Tables) -> DataFrame:
 
 @query("SELECT c_nationkey AS workbook, CASE WHEN c_nationkey%4=3 THEN 'none' WHEN c_nationkey%4=0 THEN 'linked' WHEN count(DISTINCT c_mktsegment)=1 OR c_nationkey%4=1 THEN 'single' ELSE 'multi' END AS kind FROM customer GROUP BY c_nationkey")
 def p4_workbook_verdicts(t: Tables) -> DataFrame:
-    """Nations as workbooks with a sheet per segment: some have no data, one sheet with data, or formulas across sheets."""
+    """Nations as workbooks with a sheet per segment: some have no data, one sheet with data, or formulas across sheets; formulas that
+    stay on their sheet link nothing."""
     s = t.customer.groupBy(C("c_nationkey").alias("workbook"), C("c_mktsegment").alias("sheet")).agg(F.count("*").alias("n"))
     first = F.row_number().over(Window.partitionBy("workbook").orderBy("sheet")) == 1
     k = C("workbook") % 4
     s = s.withColumn("output", F.when((k == 0) | (k == 2) | ((k == 1) & first), "listing"))
-    edges = s.filter("workbook % 4 = 0").select("workbook", C("sheet").alias("from"), C("sheet").alias("to"))
+    edges = s.filter("workbook % 4 in (0, 2)").select("workbook", C("sheet").alias("from"), F.when(k == 0, F.concat("sheet", F.lit(" 2"))).otherwise(C("sheet")).alias("to"))
     return profile.workbook_verdict(s, edges).select("workbook", "kind")

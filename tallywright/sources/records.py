@@ -2,16 +2,38 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 C = F.col
 
 
-def read_delimited(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """All columns as text, names trimmed; short rows end in empty texts and cells stay as written."""
-    df = spark.read.options(header=True, encoding=encoding, multiLine=False, mode="PERMISSIVE", nullValue="\x00", emptyValue="").csv(path)
-    return df.toDF(*(c.strip() for c in df.columns)).fillna("")
+def encodings(spark: SparkSession, path: str, other: str = "cp949") -> DataFrame:
+    """File and encoding: UTF-8, with or without a mark at its start, where all of its lines are valid; else the other."""
+    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.is_valid_utf8("value").alias("valid"))
+    return lines.groupBy("file").agg(F.when(F.bool_and("valid"), "UTF-8").otherwise(other).alias("encoding"))
+
+
+def read_delimited(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
+    """All columns as text, names trimmed; short rows end in empty texts and cells stay as written.
+
+    Without a declared encoding each file of the folder is read in its own; a mark of byte order at a file's start goes.
+    Files of both encodings have one header. The list of files goes through the driver, their contents don't.
+    """
+
+    def read(where: str | list[str], how: str) -> DataFrame:
+        df = spark.read.options(header=True, encoding=how, multiLine=False, mode="PERMISSIVE", nullValue="\x00", emptyValue="").csv(where)
+        return df.toDF(*(c.lstrip("\ufeff").strip() for c in df.columns)).fillna("")
+
+    if encoding:
+        return read(path, encoding)
+    files: dict[str, list[str]] = {}
+    for r in encodings(spark, path).collect():
+        files.setdefault(r.encoding, []).append(r.file)
+    parts = [read(sorted(names), how) for how, names in sorted(files.items())]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).fillna("") if parts else read(path, "UTF-8")
 
 
 def findings_report(findings: DataFrame, kind: str, order: list[str], most: int = 50) -> DataFrame:
