@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tallywright.operators.lineage import settle
@@ -141,12 +142,35 @@ def calendar_445(spark, anchor: str, years: int, pattern: tuple[int, int, int] =
     return grid.select((C("y") + 1).alias("fy"), "period", F.date_add(F.lit(anchor).cast("date"), C("y") * 364 + cut * 7 - 1).alias("cutoff"))
 
 
-def publish(table: DataFrame, checks: DataFrame, path: str, force: bool = False) -> bool:
-    """Write the table only if every check holds, or when forced; the checks are always written beside it."""
-    checks.write.mode("overwrite").parquet(f"{path}_checks")
-    if not force and not checks.filter("not ok").isEmpty():
+def publish(table: DataFrame, checks: dict[str, Column], path: str, filters: dict[str, Column] | None = None, force: bool = False) -> bool:
+    """Write the rows of the table to `path` only if every check holds for them, or when forced.
+
+    checks: aggregates over the table's rows that give true or false (null fails). filters: conditions by name; a row that
+    one of them excludes isn't written but counted. One pass writes the rows to a staging folder and observes checks and
+    counts on the very rows that it writes, so nothing can change between the two; the folder is then renamed, or removed.
+    What was observed goes to `<path>_checks` (check_name, ok, detail) either way; what stood in `path` before stays if a
+    check fails.
+    """
+    spark, filters = table.sparkSession, filters or {}
+    staged, seen, kept = f"{path}_staged_{uuid.uuid4().hex}", Observation(f"rows_{uuid.uuid4().hex}"), Observation(f"kept_{uuid.uuid4().hex}")
+    rows = table
+    if filters:
+        rows = rows.observe(seen, *(F.count_if(F.coalesce(c, F.lit(False))).alias(k) for k, c in filters.items()))
+        rows = rows.filter(~reduce(Column.__or__, (F.coalesce(c, F.lit(False)) for c in filters.values())))
+    rows = rows.observe(kept, F.count(F.lit(1)).alias("rows written"), *(F.coalesce(c, F.lit(False)).alias(k) for k, c in checks.items()))
+    rows.write.parquet(staged)
+    held, excluded = kept.get, seen.get if filters else {}
+    said = [("rows written", True, str(held["rows written"]))] + [(k, bool(held[k]), "") for k in checks] + [(f"excluded: {k}", True, str(n)) for k, n in excluded.items()]
+    spark.createDataFrame(said, "check_name string, ok boolean, detail string").coalesce(1).write.mode("overwrite").parquet(f"{path}_checks")
+    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    at, to = jvm(staged), jvm(path)
+    files, good = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), force or all(ok for _, ok, _ in said)
+    if not good:
+        files.delete(at, True)
         return False
-    table.write.mode("overwrite").parquet(path)
+    files.delete(to, True)
+    if not files.rename(at, to):
+        raise OSError(f"{staged} can't be renamed to {path}")
     return True
 
 

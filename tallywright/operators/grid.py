@@ -204,12 +204,37 @@ def validate(rows: DataFrame) -> DataFrame:
     return rows.withColumn("reasons", F.array_compact(F.array(F.when(F.coalesce(C("entity"), F.lit("")) == "", "NO_ENTITY"), F.when(C("period").isNull(), "NO_PERIOD"), F.when(C("value").isNull() & (F.size("flags") == 0), "NOT_NUMERIC"))))
 
 
-def reconcile(cells: DataFrame, rows: DataFrame) -> DataFrame:
-    """A status per coordinate of numbers in the cells and of tidy rows."""
-    truth = filled(cells).filter(value_like(C("value_str"))).select(*SHEET, "row", "col", C("value_str").alias("want"))
-    got = rows.groupBy(*SHEET, C("src_row").alias("row"), C("src_col").alias("col")).agg(F.count("*").alias("k"), F.max("raw_value").alias("raw"))
+def derived(text: Column) -> Column:
+    """What a cell's own text says, apart from how the ingest reads numbers: the digits that are left without marks,
+    times the sign, unit and per cent that its marks mean. Null where more than digits is left."""
+    t = F.trim(text)
+    unit = F.regexp_extract(t, "(" + "|".join(sorted(n.UNITS, key=len, reverse=True)) + r")\s*\)?$", 1)
+    bare = F.regexp_replace(F.regexp_replace(n.ascii_digits(t), "(" + "|".join(sorted(n.UNITS, key=len, reverse=True)) + r")\s*(\)?)$", "$2"), r"[,\s()△▲−+₩$€£%-]", "")
+    digits = F.when(bare.rlike(r"^(\d+\.?\d*|\.\d+)$") & ~bare.rlike(r"^0\d+$") & ~t.rlike(r"^(19|20)\d{2}$|\d\s+\d|\d-\d"), bare).try_cast("double")
+    sign = F.when(t.rlike(r"^\(.*\)$|^[△▲−-]|\(-\)$"), -1).otherwise(1)
+    factor = F.coalesce(*(F.when(unit == u, F.lit(float(k))) for u, k in n.UNITS.items()), F.lit(1.0))
+    return digits * sign * factor / F.when(t.contains("%"), 100).otherwise(1)
+
+
+def reconcile(cells: DataFrame, rows: DataFrame, tol: float = 1e-12) -> DataFrame:
+    """A status per coordinate of figures in the cells and of tidy rows.
+
+    covered: one row, whose value is the text's own (`derived`), or whose raw text is an error's or a date's. scaled: it is
+    the text's times the row's scale or with the sign of its colour, and the row says so. mismatch: it is neither. missing:
+    no row; duplicate: more than one; extra: a row without such a cell.
+    """
+    own = derived(C("value_str"))
+    other = C("value_str").isNotNull() & (F.trim("value_str").isin(n.ERRORS) | (n.value_kind(C("value_str")) == "DATE"))
+    truth = filled(cells).select(*SHEET, "row", "col", C("value_str").alias("want"), own.alias("own"), other.alias("other")).filter("own is not null or other")
+    got = rows.groupBy(*SHEET, C("src_row").alias("row"), C("src_col").alias("col")).agg(
+        F.count("*").alias("k"), F.max("raw_value").alias("raw"), F.max("value").alias("value"), F.max("scale_applied").alias("scale"), F.bool_or(F.array_contains("flags", "SIGN_FROM_COLOR")).alias("red")
+    )
     j = truth.join(got, [*SHEET, "row", "col"], "full")
-    return j.withColumn("status", F.when(C("k").isNull(), "missing").when(C("want").isNull(), "extra").when(C("k") > 1, "duplicate").when(C("raw") != C("want"), "mismatch").otherwise("covered"))
+    near = lambda x: F.coalesce(F.abs(C("value") - x) <= tol * (F.abs(x) + 1), F.lit(False))
+    same = F.when(C("own").isNull() | C("other"), C("raw") == C("want")).otherwise(near(C("own")))
+    told = near(C("own") * C("scale") * F.when(C("red"), -1).otherwise(1))
+    status = F.when(C("k").isNull(), "missing").when(C("want").isNull(), "extra").when(C("k") > 1, "duplicate").when(same, "covered").when(told, "scaled").otherwise("mismatch")
+    return j.select(*SHEET, "row", "col", "want", "own", "k", "raw", "value", status.alias("status"))
 
 
 def subtotal_islands(rows: DataFrame, keys: list[str], ord_: str, tol: float = 0.01) -> DataFrame:

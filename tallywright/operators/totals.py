@@ -42,7 +42,8 @@ def reject_alarm(judged: DataFrame, by: list[str], tried: int = 50, share: float
 def summary(judged: DataFrame, recon: DataFrame, by: list[str]) -> DataFrame:
     """Blocks, kept and rejected rows and covered and other coordinates of each workbook."""
     a = judged.groupBy(*by).agg(F.countDistinct("sheet", "block_id").alias("blocks"), F.count_if(F.size("reasons") == 0).alias("kept"), F.count_if(F.size("reasons") > 0).alias("rejected"))
-    b = recon.groupBy(*by).agg(F.count_if(C("status") == "covered").alias("covered"), F.count_if(C("status") != "covered").alias("uncovered"))
+    covered = C("status").isin("covered", "scaled")
+    b = recon.groupBy(*by).agg(F.count_if(covered).alias("covered"), F.count_if(~covered).alias("uncovered"))
     return a.join(b, by, "full").fillna(0)
 
 
@@ -54,7 +55,7 @@ def invariants(judged: DataFrame, recon: DataFrame) -> DataFrame:
     one = data.agg(bad("entity").alias("no_entity"), bad("period").alias("no_period"), F.count_if(C("metric").isNull()).alias("no_metric"), F.count_if(leak).alias("leaks"), F.count("*").alias("n"))
     single = data.groupBy("metric").agg(F.count("*").alias("k")).filter((C("k") == 1) & C("metric").rlike(r"^[-+]?[\d,.]+$")).agg(F.count("*").alias("single"))
     rejected = judged.agg(F.count_if(F.size("reasons") > 0).alias("rejected"))
-    recon_bad = recon.agg(F.count_if(~C("status").isin("covered", "extra")).alias("unreconciled"))
+    recon_bad = recon.agg(F.count_if(~C("status").isin("covered", "scaled", "extra")).alias("unreconciled"))
     out = one.crossJoin(single).crossJoin(rejected).crossJoin(recon_bad).withColumn("value_leak", C("single") > 0.5 * C("n"))
     zero = C("no_entity") + C("no_period") + C("no_metric") + C("leaks") + C("rejected") + C("unreconciled") == 0
     return out.withColumn("ok", zero & ~C("value_leak")).drop("single", "n")

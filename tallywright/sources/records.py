@@ -24,6 +24,8 @@ def read_delimited(spark: SparkSession, path: str, encoding: str | None = None)
     """
 
     def read(where: str | list[str], how: str) -> DataFrame:
+        if how.upper().replace("-", "") != "UTF8":
+            spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # encodings beyond Spark's own few
         df = spark.read.options(header=True, encoding=how, multiLine=False, mode="PERMISSIVE", nullValue="\x00", emptyValue="").csv(where)
         return df.toDF(*(c.lstrip("\ufeff").strip() for c in df.columns)).fillna("")
 

@@ -60,9 +60,16 @@ def test_checks_pass_and_fail(spark, tmp_path):
     assert [(r.k, r.p) for r in q.missing_periods(fact.filter("k is not null"), fact.select("p"), ["k"], "p").collect()] == [(2, 2)]
     a, b = spark.createDataFrame([(1, 1), (None, 2)], "k int, a int"), spark.createDataFrame([(None, 3), (4, 4)], "k int, b int")
     assert {(r.k, r.match_status) for r in q.full_outer(a, b, ["k"]).collect()} == {(1, "LEFT_ONLY"), (None, "MAPPED"), (4, "RIGHT_ONLY")}
-    bad = spark.createDataFrame([("tie", False, "x")], "check_name string, ok boolean, detail string")
-    assert not q.publish(fact, bad, str(tmp_path / "a")) and not (tmp_path / "a").exists()
-    assert q.publish(fact, bad.withColumn("ok", F.lit(True)), str(tmp_path / "a")) and (tmp_path / "a").exists()
+    small = {"few": F.count("*") < 9, "sum": F.sum("v") > 1e6}
+    assert not q.publish(fact, small, str(tmp_path / "a")) and not list(tmp_path.glob("a")) and not list(tmp_path.glob("a_staged*"))
+    said = {r.check_name: (r.ok, r.detail) for r in spark.read.parquet(str(tmp_path / "a_checks")).collect()}
+    assert said == {"rows written": (True, "5"), "few": (True, ""), "sum": (False, "")}
+    assert q.publish(fact, {"few": F.count("*") < 5}, str(tmp_path / "a"), filters={"no key": F.col("k").isNull(), "low": F.col("v") < 6}) and (tmp_path / "a").exists()
+    assert sorted(r.v for r in spark.read.parquet(str(tmp_path / "a")).collect()) == [6.0, 7.0, 8.0]
+    said = {r.check_name: r.detail for r in spark.read.parquet(str(tmp_path / "a_checks")).collect()}
+    assert said["excluded: no key"] == "1" and said["excluded: low"] == "2" and said["rows written"] == "3"
+    assert not q.publish(fact.limit(0), small, str(tmp_path / "a")) and spark.read.parquet(str(tmp_path / "a")).count() == 3
+    assert q.publish(fact, {"never": F.lit(False) & (F.count("*") > 0)}, str(tmp_path / "a"), force=True) and spark.read.parquet(str(tmp_path / "a")).count() == 5
     r = q.ratio(F.col("v"), F.lit(0.0))
     assert {x[0] for x in fact.select(r["reason"]).collect()} == {"ZERO_DENOM"}
 
