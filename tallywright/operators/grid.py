@@ -117,16 +117,89 @@ def strip_titles(placed: DataFrame) -> DataFrame:
     return placed.join(keep, [*key, "row"]).join(unit, key, "left")
 
 
+# Texts that stand for a missing figure and take its place in the grid.
+DATA_SENTINELS = ["-", "–", "—", "...", "…", "N/A", "n/a", "na", "X", "x", "."]
+
+
+def value_slots(body: DataFrame) -> DataFrame:
+    """Body with `_v`, whether a cell holds a figure or a figure's place, and `_main`, whether figures are more than
+    texts in its column.
+
+    Figures are numbers, per cents, dates, errors, lone missing marks and numbers in cells formatted as text. A whole number
+    from 1900 to 2099 is a figure too, if figures dominate its column and one stands above it or in its row; two or more such
+    in a row without a figure are a header of years, and in cells formatted as text they are labels.
+    """
+    key = [*SHEET, "block_id"]
+    t = F.trim("value_str")
+    as_text = F.coalesce(C("number_format") == "@", F.lit(False)) if "number_format" in body.columns else F.lit(False)
+    year = t.rlike(r"^(19|20)\d{2}$")
+    figure = value_like(C("value_str")) | as_text & ~year & t.rlike(r"^-?\d[\d,]*\.?\d*$")
+    marked = body.withColumns({"_f": F.coalesce(figure, F.lit(False)), "_y": F.coalesce(year & ~as_text, F.lit(False))})
+    marked = marked.withColumn("_s", C("_f") | F.coalesce(t.isin(DATA_SENTINELS), F.lit(False)))
+    main = marked.groupBy(*key, "col").agg((F.count_if("_s") > F.count_if(~C("_s") & ~C("_y"))).alias("_main"))
+    row = Window.partitionBy(*key, "row")
+    above = Window.partitionBy(*key, "col").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    seen = marked.withColumns({"_r": F.max("_f").over(row), "_a": F.coalesce(F.max("_f").over(above), F.lit(False))}).join(main, [*key, "col"])
+    return seen.withColumn("_v", C("_s") | C("_y") & C("_main") & C("_r") | C("_y") & C("_main") & C("_a") & (F.count_if("_y").over(row) < 2)).drop("_f", "_y", "_s", "_r", "_a")
+
+
 def classify(body: DataFrame) -> DataFrame:
-    """Adds header_end (last header row) and label_end (last label column) of each block."""
+    """Adds header_end (last header row) and label_end (last label column) of each block.
+
+    Rows are judged from the first column on that figures dominate, or from the second where none is, so that many label
+    columns don't outweigh few figures.
+    """
     key = [*SHEET, "block_id"]
-    v = value_like(C("value_str")).cast("int")
-    rows = body.groupBy(*key, "row").agg(F.avg(F.when(C("col") > C("c0"), v)).alias("f"), F.sum(v).alias("k"))
+    judged = value_slots(body)
+    v = C("_v").cast("int")
+    first = judged.groupBy(*key).agg(F.coalesce(F.min(F.when(C("_main") & (C("col") > C("c0")), C("col"))), F.min("c0") + 1).alias("_first"))
+    judged = settle(judged.join(first, key))
+    rows = judged.groupBy(*key, "row").agg(F.avg(F.when(C("col") >= C("_first"), v)).alias("f"))
     w = Window.partitionBy(*key).orderBy("row")
-    first = rows.withColumn("ok", (C("f") >= 0.5) & (F.coalesce(F.lead("f").over(w), C("f")) >= 0.5)).filter("ok").groupBy(*key).agg((F.min("row") - 1).alias("header_end"))
-    b = body.join(first, key)
+    start = rows.withColumn("ok", (C("f") >= 0.5) & (F.coalesce(F.lead("f").over(w), C("f")) >= 0.5)).filter("ok").groupBy(*key).agg((F.min("row") - 1).alias("header_end"))
+    b = judged.join(start, key)
     cols = b.filter("row > header_end").groupBy(*key, "col").agg(F.avg(v).alias("f")).filter("f >= 0.5").groupBy(*key).agg((F.min("col") - 1).alias("label_end"))
-    return b.join(cols, key)
+    return b.join(cols, key).drop("_v", "_main", "_first")
+
+
+def _corner(data: DataFrame, heads: DataFrame, keys: list[str], row: str, col: str) -> DataFrame:
+    """keys, row, col of data with `_hrow`, `_hcol`: of the headers at or left of the column and above the row, the rightmost
+    column's lowest. Two ordered passes: the last column along a row that has a header above it, then the last of its
+    headers down that column."""
+    at = data.select(*keys, C(row).alias("_r"), C(col).alias("_c")).distinct()
+    tops = heads.groupBy(*keys, C(col).alias("_c")).agg(F.min(row).alias("_top"))
+    begun = at.select(*keys, "_r").distinct().join(tops, keys).filter("_top < _r").select(*keys, "_r", "_c", C("_c").alias("_hcol"), F.lit(0).alias("_o"))
+    along = Window.partitionBy(*keys, "_r").orderBy("_c", "_o")
+    asked = at.select(*keys, "_r", "_c", F.lit(None).cast(heads.schema[col].dataType).alias("_hcol"), F.lit(1).alias("_o"))
+    found = begun.unionByName(asked).withColumn("_hcol", F.last("_hcol", True).over(along)).filter("_o = 1").drop("_o")
+    marks = heads.select(*keys, C(col).alias("_hcol"), C(row).alias("_r"), C(row).alias("_hrow")).distinct().withColumns({"_c": F.lit(None).cast(heads.schema[col].dataType), "_o": F.lit(1)})
+    down = Window.partitionBy(*keys, "_hcol").orderBy("_r", "_o")
+    asked = found.withColumns({"_hrow": F.lit(None).cast(heads.schema[row].dataType), "_o": F.lit(0)})
+    out = marks.unionByName(asked).withColumn("_hrow", F.last("_hrow", True).over(down)).filter("_o = 0")
+    return out.filter("_hrow is not null").select(*keys, C("_r").alias(row), C("_c").alias(col), "_hrow", "_hcol")
+
+
+def nearest_header(data: DataFrame, heads: DataFrame, direction: str, keys: list[str]) -> DataFrame:
+    """Data (keys, row, col) with hrow and hcol of the nearest header of heads (keys, row, col), or null.
+
+    up and left: the last in its own column or row. up-left: of those above, at or left of its column, the rightmost
+    column's lowest. left-up: of those left, at or above its row, the lowest row's rightmost. Work grows with the rows times
+    header columns of a block (left-up: columns times header rows), which its grid has cells for.
+    """
+    if direction == "up-left":
+        found = _corner(data, heads, keys, "row", "col").withColumnsRenamed({"_hrow": "hrow", "_hcol": "hcol"})
+    elif direction == "left-up":
+        found = _corner(data, heads, keys, "col", "row").withColumnsRenamed({"_hrow": "hcol", "_hcol": "hrow"})
+    elif direction in ("up", "left"):
+        line, along = ("col", "row") if direction == "up" else ("row", "col")
+        place = F.struct(C("row").alias("hrow"), C("col").alias("hcol"))
+        marks = heads.select(*keys, "row", "col").distinct().select(*keys, "row", "col", place.alias("h"), F.lit(1).alias("_o"))
+        asked = data.select(*keys, "row", "col").distinct().select(*keys, "row", "col", F.lit(None).cast(marks.schema["h"].dataType).alias("h"), F.lit(0).alias("_o"))
+        w = Window.partitionBy(*keys, line).orderBy(along, "_o")
+        found = marks.unionByName(asked).withColumn("h", F.last("h", True).over(w)).filter("_o = 0 and h is not null").select(*keys, "row", "col", "h.hrow", "h.hcol")
+    else:
+        raise ValueError(f"no such direction: {direction}")
+    return data.join(found, [*keys, "row", "col"], "left")
 
 
 def unpivot(body: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -196,6 +198,20 @@ def b2_blocks(t: Tables) -> DataFrame:
     return grid.blocks(c).select("sheet", "r0", "c0", "r1", "c1")
 
 
+@query("""WITH c AS (SELECT s_suppkey AS sheet, r AS row, c AS col, (s_suppkey*31+r*7+c*3)%4=0 AS head FROM supplier, range(1,8) x(r), range(1,6) y(c)),
+p AS (SELECT d.sheet, k.direction, d.row, d.col, max(CASE WHEN k.direction IN ('up','left-up') THEN h.row*100+h.col ELSE h.col*100+h.row END) AS best FROM c d
+  CROSS JOIN (VALUES ('up'),('left'),('up-left'),('left-up')) k(direction) LEFT JOIN c h ON h.head AND h.sheet=d.sheet AND CASE k.direction WHEN 'up' THEN h.col=d.col AND h.row<d.row
+  WHEN 'left' THEN h.row=d.row AND h.col<d.col WHEN 'up-left' THEN h.col<=d.col AND h.row<d.row ELSE h.row<=d.row AND h.col<d.col END WHERE NOT d.head GROUP BY ALL)
+SELECT sheet, direction, row, col, CAST(CASE WHEN direction IN ('up','left-up') THEN best//100 ELSE best%100 END AS INT) AS hrow,
+CAST(CASE WHEN direction IN ('up','left-up') THEN best%100 ELSE best//100 END AS INT) AS hcol FROM p""")
+def b15_nearest_headers(t: Tables) -> DataFrame:
+    """A sheet per supplier with headers strewn over it: each other cell's nearest in the four directions."""
+    at = t.supplier.select(C("s_suppkey").alias("sheet"), F.explode(F.sequence(F.lit(1), F.lit(7))).alias("row")).select("*", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("col"))
+    head = (C("sheet") * 31 + C("row") * 7 + C("col") * 3) % 4 == 0
+    made = [grid.nearest_header(at.filter(~head), at.filter(head), d, ["sheet"]).withColumn("direction", F.lit(d)) for d in ("up", "left", "up-left", "left-up")]
+    return reduce(DataFrame.unionByName, made).select("sheet", "direction", "row", "col", "hrow", "hcol")
+
+
 @query("""SELECT s_suppkey%6 AS form, s_suppkey%6 IN (0,1,2) AS subtotal, count(*) AS n FROM supplier GROUP BY 1,2""")
 def b7_subtotal_labels(t: Tables) -> DataFrame:
     """Suppliers' names with a subtotal's word before, behind or alone, within another word, or without one."""

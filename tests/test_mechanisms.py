@@ -144,3 +144,32 @@ def test_values_derived_from_raw_text(spark):
 def test_bold_alone_is_no_subtotal(spark):
     rows = spark.createDataFrame([("k", "A", 1.0, True, "data"), ("k", "B", 5.0, False, "data")], "k string, label string, value double, bold boolean, row_role string")
     assert {r.label: r.row_role for r in totals.score_subtotals(rows, ["k"]).collect()} == {"A": "data", "B": "data"}
+
+
+def test_nearest_headers_against_a_plain_search(spark):
+    rnd = random.Random(8)
+    cells = [(b, r, c, rnd.random() < 0.3) for b in range(4) for r in range(1, 9) for c in range(1, 8) if rnd.random() < 0.7]
+    data, heads = [x[:3] for x in cells if not x[3]], [x[:3] for x in cells if x[3]]
+    fits = {"up": lambda d, h: h[2] == d[2] and h[1] < d[1], "left": lambda d, h: h[1] == d[1] and h[2] < d[2], "up-left": lambda d, h: h[2] <= d[2] and h[1] < d[1], "left-up": lambda d, h: h[1] <= d[1] and h[2] < d[2]}
+    a, b = (spark.createDataFrame(x, "b int, row int, col int") for x in (data, heads))
+    for way, fit in fits.items():
+        rank = (lambda h: (h[1], h[2])) if way in ("up", "left-up") else (lambda h: (h[2], h[1]))
+        want = {d: max((h for h in heads if h[0] == d[0] and fit(d, h)), key=rank, default=(None, None, None))[1:] for d in data}
+        assert {(r.b, r.row, r.col): (r.hrow, r.hcol) for r in grid.nearest_header(a, b, way, ["b"]).collect()} == want
+
+
+def test_figures_and_their_places(spark):
+    """Years as headers and as figures, missing marks, numbers formatted as text, and many label columns."""
+    sheets = {
+        "years": [["item", "2024", "2025"], ["A", "1932", "512.5"], ["B", "-", "7.5"], ["C", "1950", "3.5"]],
+        "keys": [["a", "b", "c", "d", "value"], ["k", "l", "m", "n", "1.5"], ["k", "l", "m", "o", "2.5"], ["k", "l", "p", "o", "3.5"]],
+        "text": [["item", "2024"], ["A", "12"], ["B", "7"], ["C", "8"]],
+        "dashes": [["item", "2024", "2025"], ["A", "-", "-"], ["B", "4.5", "5.5"], ["C", "6.5", "7.5"]],
+    }
+    rows = [("w", s, 1 + i, 1 + j, v, False, None, None, "@" if s == "text" else "General") for s, x in sheets.items() for i, y in enumerate(x) for j, v in enumerate(y)]
+    cells = spark.createDataFrame(rows, CELLS + ", number_format string")
+    got = {(r.sheet, r.src_row, r.src_col): r for r in grid.ingest(cells).collect()}
+    assert got["years", 2, 2].value == 1932 and got["years", 2, 2].period == "2024" and got["years", 4, 2].value == 1950 and got["years", 2, 3].period == "2025"
+    assert got["keys", 2, 5].value == 1.5 and got["keys", 3, 5].entity == "k > l > m > o" and got["keys", 3, 5].metric == "value"
+    assert got["text", 2, 2].value == 12 and got["text", 2, 2].period == "2024"
+    assert got["dashes", 2, 2].value_text == "-" and got["dashes", 3, 3].value == 5.5 and got["dashes", 3, 3].period == "2025"
