@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+from tallywright.operators.lineage import settle, shared_folder, small
+
+__all__ = ["BATCH_BYTES", "BATCH_ROWS", "append", "fresh", "memo", "numbered", "settle", "shared_folder", "small", "table"]
+
 #: Rows and bytes of an Arrow batch: texts can be long, so batches stay small.
 BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
 
@@ -36,30 +40,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share for written tables: the cluster's, or one beside the warehouse if none is set."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
-    return sc.getCheckpointDir()
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Write a table once in the cluster's shared checkpoint folder and go on from there."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
-#: Rows up to which a side of a join is sent to all executors.
-SENT_ROWS = 20_000
-
-
-def small(df: DataFrame, most: int = SENT_ROWS) -> DataFrame:
-    """A written table that a join sends to all executors if its counted rows are few, else shuffles."""
-    df = settle(df)
-    return F.broadcast(df) if df.count() <= most else df
-
-
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names that the table doesn't have yet."""
     out = []

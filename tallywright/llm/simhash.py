@@ -115,7 +115,10 @@ def _links_by_variant(members: DataFrame, all_masks: list[int]) -> DataFrame:
 
 
 def near_links(fps: DataFrame, radius: int = RADIUS, direct: int = DIRECT) -> DataFrame:
-    """Links (a, b) between distinct fingerprints fp that keep every component of the pairs within the radius whole."""
+    """Links (a, b) between distinct fingerprints fp that keep every component of the pairs within the radius whole.
+    Large buckets are linked through variants that are made for radius 3, so another radius is refused, whatever the data."""
+    if radius != RADIUS:
+        raise ValueError(f"radius {RADIUS} only")
     every = masks(radius)
     keys = F.array(*(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(every)))
     dealt = fps.select("fp", F.explode(keys).alias("k")).select("fp", "k.t", "k.key")
@@ -125,8 +128,6 @@ def near_links(fps: DataFrame, radius: int = RADIUS, direct: int = DIRECT) -> Da
     links = _links_within(small, radius)
     large = met.filter(F.col("count") > direct).select("t", "fp")
     if not large.isEmpty():
-        if radius != 3:
-            raise ValueError("buckets over the direct size are linked through variants for radius 3 only")
         links = links.unionByName(_links_by_variant(large, every))
     return links
 
