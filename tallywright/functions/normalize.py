@@ -46,7 +46,7 @@ def split_scale(x: Column) -> Column:
 
 
 #: A number as it may stand: brackets only as a pair around the whole, one sign, no blanks between digits.
-_DIGITS = r"(?:[\d,]*\.?\d+(?:e[+-]?\d+)?|[\d,]*\d\.)"
+_DIGITS = r"(?:[\d,]*\.?\d+(?:[eE][+-]?\d+)?|[\d,]*\d\.)"
 NUMBER = rf"^(?:\(\s*[△▲−-]?\s*[₩$€£]?\s*{_DIGITS}\s*%?\s*\)|[△▲−+-]?\s*[₩$€£]?\s*{_DIGITS}\s*(?:\(-\))?)\s*%?$"
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallywright.functions.normalize import number, value_kind
+from tallywright.functions.normalize import lenient, number, value_kind
 
 C = F.col
 
@@ -94,14 +94,53 @@ def profile(table: DataFrame, columns: list[str]) -> DataFrame:
 
 def trend(table: DataFrame, period: Column, measures: list[str]) -> DataFrame:
     """Sums of the measures per period; what isn't a number counts as zero."""
-    return table.groupBy(period.alias("period")).agg(*(F.sum(F.coalesce(C(m).try_cast("double"), F.lit(0.0))).alias(m) for m in measures))
+    return table.groupBy(period.alias("period")).agg(*(F.sum(lenient(C(m).cast("string"))).alias(m) for m in measures))
 
 
-def trend_conserved(table: DataFrame, made: DataFrame, measures: list[str], tol: float = 0.5) -> DataFrame:
-    """Measure, source and output sums of a trend and whether they tie."""
-    total = lambda df: df.agg(*(F.sum(C(m).try_cast("double")).alias(m) for m in measures)).unpivot([], measures, "measure", "v")
+def listing(table: DataFrame, by: str | None, measures: list[str]) -> DataFrame:
+    """Number of rows and sums of the measures per group and in all; `is_total` marks the last."""
+    sums = [F.count("*").alias("n_rows"), *(F.sum(lenient(C(m).cast("string"))).alias(m) for m in measures)]
+    if by is None:
+        return table.agg(*sums).withColumns({"label": F.lit(None).cast("string"), "is_total": F.lit(True)})
+    named = table.select(C(by).cast("string").alias("label"), *measures)
+    return named.rollup("label").agg(*sums, (F.grouping("label") == 1).alias("is_total"))
+
+
+def variance(table: DataFrame, label: str | None, plan: str, actual: str) -> DataFrame:
+    """Plan, actual and their difference per label."""
+    of = C(label).cast("string") if label else F.lit("all")
+    g = table.groupBy(of.alias("label")).agg(*(F.sum(lenient(C(m).cast("string"))).alias(m) for m in (plan, actual)))
+    return g.withColumn("difference", C(actual) - C(plan))
+
+
+def bind(table: DataFrame, output: str | None = None) -> tuple[str, DataFrame, list[str]]:
+    """The output that the roles of an unknown table's columns suit (or the one named), made from it, and the measures
+    that it sums. Roles come from one pass over the table; only the names of its columns come to the driver.
+
+    A trend goes by the first time column; a listing by the first dimension; a variance takes the first two measures as plan
+    and actual by the first dimension or id. What can't be made as named is listed.
+    """
+    summed = recommend(roles(column_stats(table, table.columns))).first()
+    named = {r: [c for c in table.columns if c in summed[r]] for r in ("time", "measure", "dimension", "id")}
+    kind, measures = output or summed["output"], named["measure"]
+    if kind == "trend" and named["time"] and measures:
+        return kind, trend(table, C(named["time"][0]).cast("string"), measures), measures
+    if kind == "variance" and len(measures) >= 2:
+        return kind, variance(table, next(iter(named["dimension"] + named["id"]), None), *measures[:2]), measures[:2]
+    return "listing", listing(table, next(iter(named["dimension"]), None), measures), measures
+
+
+def sums_conserved(table: DataFrame, made: DataFrame, measures: list[str], tol: float = 0.5) -> DataFrame:
+    """Measure, source and output sums and whether they tie. A listing's total isn't added to its groups'."""
+    if "is_total" in made.columns:
+        alone = made.filter("not is_total")
+        made = alone if not alone.isEmpty() else made
+
+    def total(df: DataFrame) -> DataFrame:
+        return df.agg(*(F.coalesce(F.sum(lenient(C(m).cast("string"))), F.lit(0.0)).alias(m) for m in measures)).unpivot([], measures, "measure", "v")
+
     j = total(table).withColumnRenamed("v", "source").join(total(made).withColumnRenamed("v", "output"), "measure")
-    return j.withColumn("ok", F.coalesce(F.abs(C("source") - C("output")) <= tol, F.lit(False)))
+    return j.withColumn("ok", F.abs(C("source") - C("output")) <= tol)
 
 
 # Plausible bands of kinds of quantity.

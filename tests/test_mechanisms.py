@@ -25,7 +25,7 @@ def put(sheet, r0, rows, bold=()):
 
 def test_numbers_and_periods_as_they_stand(spark):
     assert one(spark, lambda x: n.number(x)["value"], "(1,234", "1,234)", "12 345", "(1,234)", "+7", "( 5 )", "$1,000", "(50백만)", "1.5.2", "-") == [None, None, None, -1234, 7, -5, 1000, -50_000_000, None, None]
-    assert one(spark, lambda x: n.number(x)["value"], "5%", "(5%)", "△3", "12(-)", "3.", ".5", "1e3") == [0.05, -0.05, -3, -12, 3, 0.5, 1000]
+    assert one(spark, lambda x: n.number(x)["value"], "5%", "(5%)", "△3", "12(-)", "3.", ".5", "1e3", "1.25E9") == [0.05, -0.05, -3, -12, 3, 0.5, 1000, 1.25e9]
     yes = ["1분기", "2024년 1분기", "상반기", "2024 하반기", "1Q", "2024", "2024년", "2024.3", "2024Q4", "3/4", "12월"]
     assert one(spark, n.is_period, *yes, "5분기", "분기", "1분", "매출 2024") == [True] * len(yes) + [False] * 4
 
@@ -173,3 +173,18 @@ def test_figures_and_their_places(spark):
     assert got["keys", 2, 5].value == 1.5 and got["keys", 3, 5].entity == "k > l > m > o" and got["keys", 3, 5].metric == "value"
     assert got["text", 2, 2].value == 12 and got["text", 2, 2].period == "2024"
     assert got["dashes", 2, 2].value_text == "-" and got["dashes", 3, 3].value == 5.5 and got["dashes", 3, 3].period == "2025"
+
+
+def test_outputs_bound_by_roles(spark):
+    rows = [(f"2024-{m:02d}-01", m * 7.5 + k, m * 11.25 - k, "ab"[k % 2], f"id{m}-{k}") for m in range(1, 13) for k in range(3)] + [(None, None, None, "a", "x")]
+    t = spark.createDataFrame(rows, "day string, plan double, actual double, kind string, code string")
+    kind, made, measures = profile.bind(t)
+    assert kind == "trend" and measures == ["plan", "actual"] and made.filter("period is null").count() == 1
+    for want, table in (("variance", t.drop("day")), ("listing", t.select("kind", "plan")), ("listing", t.select("kind", "code"))):
+        kind, made, measures = profile.bind(table)
+        assert kind == want and all(r.ok for r in profile.sums_conserved(table, made, measures).collect()) if measures else made.filter("is_total").first().n_rows == 37
+    kind, made, measures = profile.bind(t.drop("day"), output="variance")
+    assert {r.label: round(r.difference - (r.actual - r.plan), 9) for r in made.collect()} == {"a": 0.0, "b": 0.0}
+    lost = made.filter("label = 'a'")
+    assert not any(r.ok for r in profile.sums_conserved(t, lost, measures).collect())
+    assert profile.bind(t.drop("day"), output="trend")[0] == "listing" and profile.bind(t.limit(0))[0] == "listing"
