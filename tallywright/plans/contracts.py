@@ -216,12 +216,13 @@ def t15_to_mart(t: Tables) -> DataFrame:
     return rounded(grid.to_mart(rows, ["brand"], names), *names)
 
 
-@query(f"WITH {NM} SELECT nation, CAST(ym//12 AS BIGINT) AS year, round(sum(value),2) AS subtotal, true AS ok FROM nm GROUP BY 1,2")
+@query(f"WITH {NM} SELECT nation, CAST(ym//12 AS BIGINT) AS year, round(sum(value)+CASE WHEN (nation+ym//12)%6=1 THEN 10 ELSE 0 END,2) AS subtotal, (nation+ym//12)%6<>1 AS ok FROM nm GROUP BY nation, ym//12")
 def t14_subtotal_islands(t: Tables) -> DataFrame:
-    """Months with a yearly subtotal row behind each twelve; every island ties."""
+    """Months with a yearly subtotal row behind each twelve; every sixth subtotal is off by ten."""
     nm = nation_months(t).select("nation", C("ym").cast("long").alias("ym"), "value").withColumn("y", F.floor(C("ym") / 12))
     data = nm.select("nation", (C("ym") * 2).alias("o"), "value", F.lit("data").alias("row_role"))
-    subs = nm.groupBy("nation", "y").agg(F.sum("value").alias("value")).select("nation", ((C("y") * 12 + 11) * 2 + 1).alias("o"), "value", F.lit("subtotal").alias("row_role"))
+    wrong = F.when((C("nation") + C("y")) % 6 == 1, 10.0).otherwise(0.0)
+    subs = nm.groupBy("nation", "y").agg(F.sum("value").alias("value")).withColumn("value", C("value") + wrong).select("nation", ((C("y") * 12 + 11) * 2 + 1).alias("o"), "value", F.lit("subtotal").alias("row_role"))
     g = grid.subtotal_islands(data.unionByName(subs), ["nation"], "o")
     first = nm.groupBy("nation").agg(F.min("y").alias("y0"))
     return g.join(first, "nation").select("nation", (C("y0") + C("island")).alias("year"), F.round("subtotal", 2).alias("subtotal"), "ok")
@@ -258,11 +259,13 @@ def x9_text_in_numbers(t: Tables) -> DataFrame:
     return audit.text_in_numbers(v.withColumn("kind", n.value_kind(C("v"))), ["column"], "kind").select("o_orderkey")
 
 
-@query(f"WITH {NM} SELECT nation, CAST(ym//12 AS BIGINT) AS year, count(*) AS n_above, true AS ok FROM nm GROUP BY 1,2 HAVING count(*)>=2")
+@query(f"WITH {NM} SELECT nation, CAST(ym//12 AS BIGINT) AS year, count(*) AS n_above, (nation+ym//12)%7<>2 AS ok FROM nm GROUP BY nation, ym//12 HAVING count(*)>=2")
 def x12_crossfoot(t: Tables) -> DataFrame:
+    """Months and a total of each year; every seventh total is off by one."""
     nm = nation_months(t).withColumn("year", F.floor(C("ym") / 12).cast("long"))
     data = nm.select("nation", "year", F.row_number().over(Window.partitionBy("nation", "year").orderBy("ym")).cast("long").alias("row"), "value", F.lit(False).alias("total"))
-    tot = nm.groupBy("nation", "year").agg(F.count("*").alias("m"), F.sum("value").alias("value")).select("nation", "year", (C("m") + 1).alias("row"), "value", F.lit(True).alias("total"))
+    tot = nm.groupBy("nation", "year").agg(F.count("*").alias("m"), F.sum("value").alias("value"))
+    tot = tot.withColumn("value", C("value") + F.when((C("nation") + C("year")) % 7 == 2, 1.0).otherwise(0.0)).select("nation", "year", (C("m") + 1).alias("row"), "value", F.lit(True).alias("total"))
     return audit.crossfoot(data.unionByName(tot), ["nation", "year"], "row", "value", "total").select("nation", "year", "n_above", "ok")
 
 

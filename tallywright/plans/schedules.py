@@ -1,4 +1,4 @@
-"""Queries of schedules, cash, board figures, unit costs and cell contracts over the given tables, and the SQL of the same rows."""
+"""Queries of schedules, cash, board figures, unit costs, appraisals and contracts over the given tables, and the SQL of the same rows."""
 
 from __future__ import annotations
 
@@ -7,9 +7,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallywright.analyses import schedules
-from tallywright.operators import cell_rules
+from tallywright.analyses import appraisal, schedules
+from tallywright.operators import cell_rules, field_contracts, snapshots
 from tallywright.operators.lineage import settle
+from tallywright.plans.analyses import FLOWS as NATION_FLOWS
+from tallywright.plans.analyses import flows as nation_flows
 from tallywright.plans.facts import NM, nation_months, nation_years, rounded
 from tallywright.plans.registry import Tables, query
 
@@ -242,3 +244,117 @@ def x13_coverage(t: Tables) -> DataFrame:
     sheet = C("sheet").cast("int")
     told = ((C("kind") == "tie") & (sheet % 3 != 1)) | ((C("kind") == "guard") & (sheet % 5 == 2))
     return cell_rules.coverage(cells, _rules(t, s).filter(told)).withColumn("row", C("row").cast("long"))
+
+
+#: Projects, their effective flows and measures.
+PROJECTS = f"""{NATION_FLOWS}, pr AS (SELECT project, CASE WHEN project%2=0 AND project>0 THEN project*100/(project*100+500.0)*0.12+500/(project*100+500.0)*0.06*0.75
+  ELSE 0.05+project/1000.0 END AS rate, CASE WHEN project%5>0 THEN 1e5*project ELSE 0 END AS more FROM (SELECT DISTINCT project FROM fl)),
+ef AS (SELECT project, t, rate, cash+CASE WHEN t=max(t) OVER (PARTITION BY project) THEN more ELSE 0 END AS cash FROM fl JOIN pr USING (project) WHERE NOT (project%10=3 AND t=0)),
+dc AS (SELECT *, cash/pow(1+rate,t) AS d, sum(cash/pow(1+rate,t)) OVER (PARTITION BY project ORDER BY t) AS cum FROM ef), pv AS (SELECT *, lag(cum) OVER (PARTITION BY project ORDER BY t) AS prev FROM dc),
+ap AS (SELECT project, any_value(rate) AS rate, sum(d) AS npv, min(CASE WHEN cum>=0 AND prev<0 THEN t-1+(-prev)/d END) AS payback,
+  pow(sum(CASE WHEN cash>0 THEN cash*pow(1.06,-t) END)*pow(1.06,max(t))/-sum(CASE WHEN cash<0 THEN cash/pow(1.05,t) END),1.0/max(t))-1 AS mirr FROM pv GROUP BY project)"""
+
+
+def _projects(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Raw flows, projects and effective flows; every tenth project has no outlay, and project 0 no capital."""
+    raw = settle(nation_flows(t).filter("not (project % 10 = 3 and t = 0)"))
+    p = C("project")
+    projects = raw.select("project").distinct().select(
+        "project", (0.05 + p / 1000).alias("rate"), (p % 2 == 0).alias("use_wacc"), (p * 100.0).alias("equity"), F.when(p > 0, 500.0).otherwise(0.0).alias("debt"),
+        F.lit(0.12).alias("cost_equity"), F.lit(0.06).alias("cost_debt"), F.lit(0.25).alias("tax"), F.when(p % 5 > 0, p * 1e5).alias("terminal"),
+    )
+    return raw, projects, appraisal.effective(raw, projects)
+
+
+@query(f"WITH {PROJECTS} SELECT project, round(rate,6) AS rate, round(npv,2) AS npv, round(payback,4) AS payback, round(mirr,6) AS mirr FROM ap")
+def k13_effective_appraisal(t: Tables) -> DataFrame:
+    """Measures at the rate that counts, with terminal values."""
+    a = appraisal.appraise(_projects(t)[2], 0.05, 0.06)
+    return rounded(rounded(rounded(a, "rate", "mirr", places=6), "payback", places=4), "npv").select("project", "rate", "npv", "payback", "mirr")
+
+
+@query(f"""WITH {PROJECTS}, c AS (SELECT project, v, npv, CASE WHEN (project+v)%5=0 THEN npv*1.01 ELSE npv*(1-0.1*((project+v)%4)) END AS lo, CASE WHEN (project+v)%5=0 THEN npv*1.2 ELSE npv*(1+0.07*v) END AS hi
+  FROM ap, range(1,4) x(v))
+SELECT project, 'v'||v AS variable, round(abs(hi-lo),2) AS swing, CAST(row_number() OVER (PARTITION BY project ORDER BY abs(hi-lo) DESC, v) AS INT) AS rank,
+npv BETWEEN least(lo,hi) AND greatest(lo,hi) AS bracketed FROM c""")
+def k13_tornado(t: Tables) -> DataFrame:
+    """Three variables a project; some ends leave the project's own value outside."""
+    a = settle(appraisal.appraise(_projects(t)[2], 0.05, 0.06))
+    p, v, npv = C("project"), C("v"), C("npv")
+    off = (p + v) % 5 == 0
+    low, high = F.when(off, npv * 1.01).otherwise(npv * (1 - 0.1 * ((p + v) % 4))), F.when(off, npv * 1.2).otherwise(npv * (1 + 0.07 * v))
+    cases = a.withColumn("v", F.explode(F.array(*map(F.lit, (1, 2, 3))))).select("project", F.concat(F.lit("v"), v).alias("variable"), low.alias("npv_low"), high.alias("npv_high"))
+    return rounded(appraisal.tornado(cases, a), "swing")
+
+
+@query(f"""WITH {PROJECTS} SELECT project, k.name AS "check", CASE k.name WHEN 'ROOT' THEN project%7<>2 OR project%10=3 WHEN 'TERMINAL' THEN project%6<>1 ELSE project%10<>3 END AS ok
+FROM ap, (VALUES ('ROOT'),('TERMINAL'),('MIRR')) k(name)""")
+def k13_checks(t: Tables) -> DataFrame:
+    """Some rates of return moved by a hundredth, some raw flows changed after the fact."""
+    raw, projects, effective = _projects(t)
+    p = C("project")
+    a = appraisal.appraise(effective, 0.05, 0.06).withColumn("irr", C("irr") + F.when(p % 7 == 2, 0.01).otherwise(0.0))
+    changed = raw.withColumn("cash", C("cash") + F.when((p % 6 == 1) & (C("t") == 1), 5.0).otherwise(0.0))
+    return appraisal.check(effective, a, changed, projects)
+
+
+SPECS = [
+    ("l_quantity", "quantity", None, 1.0, 50.0, False, True, None), ("l_discount", "ratio", None, None, None, None, True, [0.0, 0.01, 0.02, 0.03, 0.04, 0.05]),
+    ("l_tax", "ratio", "any", 0.0, 0.05, True, True, None), ("l_extendedprice", "currency", None, None, 50_000.0, None, False, None), ("l_balance", "currency", None, None, None, None, None, None),
+]
+FIGURES = """v AS (SELECT 'l_quantity' AS field, l_quantity AS value FROM lineitem UNION ALL SELECT 'l_discount', l_discount FROM lineitem
+  UNION ALL SELECT 'l_tax', CASE WHEN l_orderkey%10>0 THEN l_tax END FROM lineitem UNION ALL SELECT 'l_extendedprice', CASE WHEN l_orderkey%100<>7 THEN l_extendedprice END FROM lineitem
+  UNION ALL SELECT 'l_balance', l_extendedprice-30000 FROM lineitem)"""
+
+
+def _figures(t: Tables) -> tuple[DataFrame, DataFrame]:
+    x = t.lineitem.select(
+        "l_quantity", "l_discount", F.when(C("l_orderkey") % 10 > 0, C("l_tax")).alias("l_tax"), F.when(C("l_orderkey") % 100 != 7, C("l_extendedprice")).alias("l_extendedprice"),
+        (C("l_extendedprice") - 30_000).alias("l_balance"),
+    )
+    declared = t.lineitem.agg(F.sum("l_quantity").alias("l_quantity"), (F.sum("l_discount") + 1).alias("l_discount")).unpivot([], ["l_quantity", "l_discount"], "field", "tie_total")
+    specs = t.spark.createDataFrame(SPECS, field_contracts.SPECS.rsplit(",", 1)[0]).join(declared, "field", "left")
+    return x.unpivot([], x.columns, "field", "value"), specs
+
+
+@query(f"""WITH {FIGURES}, j AS (SELECT field, CASE WHEN value IS NULL AND field='l_extendedprice' THEN 'NULL' WHEN field='l_discount' AND value NOT IN (0,0.01,0.02,0.03,0.04,0.05) THEN 'NOT_ACCEPTED'
+  WHEN field='l_balance' AND value<0 THEN 'SIGN' WHEN field='l_quantity' AND value<=1 THEN 'LOW' WHEN (field='l_quantity' AND value>=50) OR (field='l_tax' AND value>0.05) OR (field='l_extendedprice' AND value>50000) THEN 'HIGH' END AS reason, value FROM v)
+SELECT field, CASE WHEN reason IS NOT NULL THEN 'VIOLATION' WHEN value IS NULL THEN 'NO_DATA' ELSE 'OK' END AS status, reason, count(*) AS n FROM j GROUP BY 1,2,3""")
+def q20_field_contracts(t: Tables) -> DataFrame:
+    """Five contracts over every line's figures, by status and reason."""
+    return field_contracts.judge_fields(*_figures(t)).groupBy("field", "status", "reason").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT 'l_quantity' AS field, round(sum(l_quantity),2) AS total, round(sum(l_quantity),2) AS tie_total, abs(sum(l_quantity)-sum(l_quantity))<=0.5 AS ok FROM lineitem
+UNION ALL SELECT 'l_discount', round(sum(l_discount),2), round(sum(l_discount)+1,2), abs(sum(l_discount)-(sum(l_discount)+1))<=0.5 FROM lineitem""")
+def q20_field_totals(t: Tables) -> DataFrame:
+    """Declared totals: one holds, one is off by one."""
+    return rounded(field_contracts.field_totals(*_figures(t)), "total", "tie_total")
+
+
+@query("""WITH o AS (SELECT o_custkey%20 AS s, o_orderkey AS k FROM orders), f AS (
+  SELECT s, CASE WHEN k%11=0 THEN 'CELL_LOST' WHEN k%13=0 OR k%29=0 THEN 'CELL_CHANGED' END AS finding FROM o
+  UNION ALL SELECT s, CASE WHEN k%11<>0 AND k%13<>0 AND k%29=0 THEN 'ERROR_NEW' END FROM o
+  UNION ALL SELECT s, CASE WHEN k%17=0 THEN 'FORMULA_LOST' WHEN k%19=0 THEN 'FORMULA_CHANGED' WHEN k%23=0 THEN 'FORMULA_LOST' END FROM o
+  UNION ALL SELECT DISTINCT s, 'CELL_CHANGED' FROM o WHERE s=3 UNION ALL SELECT DISTINCT s, 'HEADER_CHANGED' FROM o WHERE s=3)
+SELECT CAST(s AS VARCHAR) AS sheet, finding, count(*) AS n FROM f WHERE s<>19 AND finding IS NOT NULL GROUP BY 1,2
+UNION ALL SELECT DISTINCT CAST(s AS VARCHAR), 'SHEET_LOST', 1 FROM o WHERE s=19""")
+def x16_workbook_diff(t: Tables) -> DataFrame:
+    """A sheet of prices and formulas for every twentieth customer, before and after: cells and formulas lost or changed, a lost
+    sheet, another header, new errors."""
+    o = t.orders.select((C("o_custkey") % 20).cast("string").alias("sheet"), C("o_orderkey").alias("k"), C("o_totalprice").cast("string").alias("price"))
+    k, row = C("k"), (C("k") + 2).cast("int")
+    formula = lambda times: F.concat(F.lit("=A"), row.cast("string"), F.lit(f"*{times}"))
+    none = F.lit(None).cast("string")
+
+    def cells(text: Column, f: Column, plain: Column, header: Column) -> DataFrame:
+        a, b = F.struct(F.lit(1).alias("col"), text.alias("text"), none.alias("formula")), F.struct(F.lit(2).alias("col"), plain.alias("text"), f.alias("formula"))
+        body = o.select("sheet", row.alias("row"), F.inline(F.array(a, b))).filter("text is not null or formula is not null")
+        heads = o.select("sheet").distinct().select("sheet", F.lit(1).alias("row"), F.lit(1).alias("col"), header.alias("text"), none.alias("formula"))
+        return body.unionByName(heads)
+
+    before = cells(C("price"), formula(2), none, F.lit("amount"))
+    text = F.when(k % 11 == 0, none).when(k % 13 == 0, F.concat("price", F.lit("1"))).when(k % 29 == 0, "#REF!").otherwise(C("price"))
+    after = cells(text, F.when(k % 17 == 0, none).when(k % 19 == 0, formula(3)).when(k % 23 == 0, none).otherwise(formula(2)), F.when((k % 17 > 0) & (k % 19 > 0) & (k % 23 == 0), "5"), F.when(C("sheet") == "3", "sum").otherwise("amount"))
+    found = snapshots.workbook_diff(before, after.filter("sheet <> '19'"), [])
+    return found.groupBy("sheet", "finding").agg(F.count("*").alias("n"))

@@ -5,8 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tallywright.analyses import schedules
-from tallywright.operators import cell_rules
+from tallywright.analyses import appraisal, schedules
+from tallywright.operators import cell_rules, field_contracts, snapshots
 
 ASSET = "asset long, cost double, salvage double, life int, in_service int, first_factor double, dispose int, impair int, impair_to double"
 
@@ -145,3 +145,45 @@ def test_coverage(spark):
     table = spark.createDataFrame(cells, "sheet string, row int, col int, value double, text string, formula string, bold boolean, top_border boolean")
     rules = spark.createDataFrame([("1", "tie", "t", 1, 1)], "rule string, kind string, sheet string, r0 long, c0 long")
     assert {(r.sheet, r.row, r.warning) for r in cell_rules.coverage(table, rules).collect()} == {("s", 1, "TOTAL_WITHOUT_TIE"), ("s", 3, "DIVISION_WITHOUT_RATIO")}
+
+
+PROJECT = "project long, rate double, use_wacc boolean, equity double, debt double, cost_equity double, cost_debt double, tax double, terminal double"
+
+
+def test_appraisal_and_tornado(spark):
+    flows = spark.createDataFrame([(1, 0, -100.0), (1, 1, 60.0), (1, 2, 40.0), (2, 0, 10.0), (2, 1, 10.0), (3, 0, -50.0), (3, 1, 55.0)], "project long, t int, cash double")
+    projects = spark.createDataFrame([(1, 0.2, True, 60.0, 40.0, 0.1, 0.05, 0.2, 20.0), (2, 0.1, False, None, None, None, None, None, None), (3, 0.1, True, 0.0, 0.0, 0.1, 0.1, 0.1, None)], PROJECT)
+    e = appraisal.effective(flows, projects)
+    a = {r.project: r for r in appraisal.appraise(e, 0.05, 0.06).collect()}
+    assert a[1].rate == pytest.approx(0.6 * 0.1 + 0.4 * 0.05 * 0.8) and a[2].rate == 0.1 and a[3].rate == 0.1
+    assert a[1].npv == pytest.approx(-100 + 60 / 1.076 + 60 / 1.076**2) and a[3].npv == pytest.approx(0.0) and a[3].irr == pytest.approx(0.1)
+    assert (a[2].irr, a[2].status, a[2].mirr, a[2].payback) == (None, "none", None, None)
+    frame = appraisal.appraise(e, 0.05, 0.06)
+    assert {(r.project, r.check) for r in appraisal.check(e, frame, flows, projects).collect() if not r.ok} == {(2, "MIRR")}
+    off = frame.withColumn("irr", F.lit(0.5))
+    assert {(r.project, r.check) for r in appraisal.check(flows.join(e.select("project", "rate").distinct(), "project"), off, flows, projects).collect() if not r.ok} == {(1, "ROOT"), (2, "ROOT"), (3, "ROOT"), (1, "TERMINAL"), (2, "MIRR")}
+    cases = spark.createDataFrame([(1, "price", -50.0, 50.0), (1, "cost", 30.0, 20.0), (1, "volume", None, 5.0), (1, "delay", 40.0, 60.0)], "project long, variable string, npv_low double, npv_high double")
+    got = {r.variable: (r.rank, r.bracketed) for r in appraisal.tornado(cases, frame).collect()}
+    assert got == {"price": (1, True), "delay": (2, False), "cost": (3, False), "volume": (4, False)}
+
+
+def test_field_contracts(spark):
+    rows = spark.createDataFrame([("q", v) for v in (1.0, 50.0, -1.0, None)] + [("r", v) for v in (1.0, 50.0, 51.0, 0.5, None)] + [("a", v) for v in (1.0, 4.0)] + [("n", 3.0), ("n", -3.0), ("other", 1.0)], "field string, value double")
+    specs = spark.createDataFrame([("q", "quantity", None, None, 50.0, False, None, None, 50.2), ("r", "ratio", None, 1.0, 50.0, None, False, None, None), ("a", None, None, None, None, None, None, [1.0, 2.0], 6.0), ("n", "currency", "-", None, None, None, None, None, None), ("gone", None, None, None, None, None, None, None, 0.0)], field_contracts.SPECS)
+    got = sorted((r.field, r.value, r.status, r.reason) for r in field_contracts.judge_fields(rows.filter("value is not null"), specs).collect())
+    assert got == [
+        ("a", 1.0, "OK", None), ("a", 4.0, "VIOLATION", "NOT_ACCEPTED"), ("n", -3.0, "OK", None), ("n", 3.0, "VIOLATION", "SIGN"), ("q", -1.0, "VIOLATION", "SIGN"), ("q", 1.0, "OK", None),
+        ("q", 50.0, "VIOLATION", "HIGH"), ("r", 0.5, "VIOLATION", "LOW"), ("r", 1.0, "OK", None), ("r", 50.0, "OK", None), ("r", 51.0, "VIOLATION", "HIGH"),
+    ]
+    assert {(r.field, r.status, r.reason) for r in field_contracts.judge_fields(rows.filter("value is null"), specs).collect()} == {("q", "NO_DATA", None), ("r", "VIOLATION", "NULL")}
+    assert {(r.field, r.ok) for r in field_contracts.field_totals(rows, specs).collect()} == {("q", True), ("a", False), ("gone", True)}
+
+
+def test_workbook_diff(spark):
+    kind = "w string, sheet string, row int, col int, text string, formula string"
+    before = spark.createDataFrame([("w", "s", 1, 1, "amount", None), ("w", "s", 2, 1, "5", None), ("w", "s", 3, 1, "6", None), ("w", "s", 2, 2, None, "=A2"), ("w", "s", 3, 2, None, "=A3"), ("w", "s", 4, 2, None, "=A4"), ("w", "t", 1, 1, "x", None), ("v", "t", 1, 1, "x", None)], kind)
+    after = spark.createDataFrame([("w", "s", 1, 1, "amount", None), ("w", "s", 1, 2, "new", None), ("w", "s", 3, 1, "#REF!", None), ("w", "s", 2, 2, None, "=A9"), ("w", "s", 3, 2, "6", None), ("v", "t", 1, 1, "x", None), ("w", "s", 9, 9, "more", None)], kind)
+    got = sorted((r.w, r.sheet, r.row, r.col, r.finding) for r in snapshots.workbook_diff(before, after, ["w"]).filter("row is not null").collect())
+    assert got == [("w", "s", 1, 2, "HEADER_CHANGED"), ("w", "s", 2, 1, "CELL_LOST"), ("w", "s", 2, 2, "FORMULA_CHANGED"), ("w", "s", 3, 1, "CELL_CHANGED"), ("w", "s", 3, 1, "ERROR_NEW"), ("w", "s", 3, 2, "FORMULA_LOST"), ("w", "s", 4, 2, "FORMULA_LOST")]
+    assert [(r.w, r.sheet) for r in snapshots.workbook_diff(before, after, ["w"]).filter("finding = 'SHEET_LOST'").collect()] == [("w", "t")]
+    assert snapshots.workbook_diff(before, before, ["w"]).count() == 0
