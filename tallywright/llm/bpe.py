@@ -3,7 +3,7 @@
 A word's symbols form a doubly linked list; a priority queue holds (rank, place) of the pairs that may merge, and
 entries whose symbols have changed since are skipped. Normalisation (NFC, white space, lower case), the pattern of
 pieces and the word-end mark come from the file's kind: a word-level BPE over bytes with ends of words. White space is
-dropped and always parts pieces, so tasks keep results by word. Decoding concatenates vocabulary strings, joined as the
+dropped and always parts pieces, so tasks keep results by word and piece: up to `bound` of the last and as many before. Decoding concatenates vocabulary strings, joined as the
 file's (absent) decoder asks.
 
 Defined results: a null text is empty and has no ids; special strings in a text are their own ids, as in the library.
@@ -55,11 +55,12 @@ class _Kinds(dict):
 class _Lower(dict):
     """Each character's lower case, as the library has it."""
 
-    def __missing__(self, c: str) -> str:
+    def __missing__(self, point: int) -> str:
         from tokenizers.normalizers import Lowercase
 
-        self[c] = c.lower() if c < "\u0250" else Lowercase().normalize_str(c)
-        return self[c]
+        c = chr(point)
+        self[point] = c.lower() if c < "\u0250" else Lowercase().normalize_str(c)
+        return self[point]
 
 
 _kinds, _lower = _Kinds(), _Lower()
@@ -68,63 +69,83 @@ _kinds, _lower = _Kinds(), _Lower()
 class Bpe:
     """Encoder and decoder of one vocabulary file."""
 
-    def __init__(self, path: str, bound: int = 200_000):
+    def __init__(self, path: str, bound: int = 300_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
         self.strings = {i: s for s, i in self.vocab.items()}
         self.end = model["end_of_word_suffix"] or ""
-        self.rank: dict[tuple[str, str], int] = {tuple(m): k for k, m in enumerate(model["merges"])}
+        number = dict(self.vocab)
+        self.letters = byte_letters()
+        most = max(number.values())
+        for x in (*self.letters.values(), *(c + self.end for c in self.letters.values()), *(x for m in model["merges"] for x in (*m, "".join(m)))):
+            number.setdefault(x, most + len(number))
+        self.first = [number[self.letters[b]] for b in range(256)]
+        self.last = [number[self.letters[b] + self.end] for b in range(256)]
+        self.rank: dict[int, int] = {}
+        self.made: list[int] = []
+        for k, (a, b) in enumerate(model["merges"]):
+            self.rank[number[a] << 32 | number[b]] = k
+            self.made.append(number[a + b])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.strings.update({i: s for s, i in self.special.items()})
         self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-        self.letters = byte_letters()
         self.at_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.path, self.bound = path, bound
 
     def merge(self, piece: str) -> list[int]:
-        """Ids of one piece. An entry of the queue is rank * size + place; it is stale if `now` has another rank there."""
-        s: list[str | None] = [self.letters[b] for b in piece.encode()]
-        s[-1] += self.end
-        size, rank = len(s), self.rank.get
-        now = [*map(rank, zip(s, s[1:])), None]
-        queue = [r * size + i for i, r in enumerate(now) if r is not None]
+        """Ids of one piece. Symbols are numbers: their ids, or more than any id. An entry of the queue is rank * size +
+        place; it is stale if `now` has another entry there."""
+        raw, first = piece.encode(), self.first
+        s: list[int | None] = [first[b] for b in raw]
+        s[-1] = self.last[raw[-1]]
+        size, rank, made = len(s), self.rank.get, self.made
+        ranks = [rank(a << 32 | b) for a, b in zip(s, s[1:])]
+        now: list[int | None] = [None if r is None else r * size + i for i, r in enumerate(ranks)]
+        queue = [e for e in now if e is not None]
+        now.append(None)
         left, right = list(range(-1, size - 1)), list(range(1, size + 1))
         heapq.heapify(queue)
+        pop, push = heapq.heappop, heapq.heappush
         while queue:
-            r, i = divmod(heapq.heappop(queue), size)
-            if now[i] != r:
+            e = pop(queue)
+            i = e % size
+            if now[i] != e:
                 continue
             j = right[i]
-            s[i] += s[j]
+            x = s[i] = made[e // size]
             k = right[i] = right[j]
             s[j] = now[j] = now[i] = None
             if k < size:
                 left[k] = i
-                if (r := rank((s[i], s[k]))) is not None:
-                    now[i] = r
-                    heapq.heappush(queue, r * size + i)
+                if (r := rank(x << 32 | s[k])) is not None:
+                    now[i] = r = r * size + i
+                    push(queue, r)
             if (h := left[i]) >= 0:
-                r = now[h] = rank((s[h], s[i]))
-                if r is not None:
-                    heapq.heappush(queue, r * size + h)
-        return [self.vocab[x] for x in s if x is not None and x in self.vocab]
-
-    def word(self, word: str, pieces: dict[str, tuple[str, str]]) -> tuple[str, str]:
+                if (r := rank(s[h] << 32 | x)) is None:
+                    now[h] = None
+                else:
+                    now[h] = r = r * size + h
+                    push(queue, r)
+        return [x for x in s if x is not None and x in self.strings]
+
+    def word(self, word: str, pieces: dict[str, tuple[str, str]], before: dict[str, tuple[str, str]]) -> tuple[str, str]:
         """Decimal ids and strings of a text without white space, each joined by spaces; pieces met before are kept."""
         if word.isascii():
             word = shown = word.lower()
             shown = shown if shown.isprintable() else shown.translate(_kinds)
         else:
-            word = "".join([_lower[c] for c in unicodedata.normalize("NFC", word)])
+            word = unicodedata.normalize("NFC", word).translate(_lower)
             shown = word.translate(_kinds)
         found = []
         for m in self.pattern.finditer(shown):
             piece = word[m.start() : m.end()]
             if (x := pieces.get(piece)) is None:
-                ids = self.merge(piece)
-                x = pieces[piece] = " ".join(map(str, ids)), self.decode(ids)
+                if (x := before.get(piece)) is None:
+                    ids = self.merge(piece)
+                    x = " ".join(map(str, ids)), self.decode(ids)
+                pieces[piece] = x
             if x[0]:
                 found.append(x)
         return found[0] if len(found) == 1 else (" ".join([x[0] for x in found]), " ".join([x[1] for x in found]))
@@ -136,10 +157,10 @@ class Bpe:
         """Decimal ids joined by spaces, and the decoded text."""
         parts = self.at_special.split(text) if self.at_special and any(x in text for x in self.special) else [text]
         kept = memo(self.path)
-        known, pieces = kept.setdefault("words", {}), kept.setdefault("pieces", {})
-        for full in (known, pieces):
-            if len(full) > self.bound:
-                full.clear()
+        for name in "words", "pieces":
+            if len(kept.setdefault(name, {})) > self.bound or name + " before" not in kept:
+                kept[name], kept[name + " before"] = {}, kept[name]
+        known, before = kept["words"], kept["words before"]
         found = []
         for part in parts:
             if part in self.special:
@@ -147,7 +168,7 @@ class Bpe:
                 continue
             for w in _split_space(part) if _odd_space.search(part) else part.split():
                 if (x := known.get(w)) is None:
-                    x = known[w] = self.word(w, pieces)
+                    x = known[w] = before.get(w) or self.word(w, kept["pieces"], kept["pieces before"])
                 found.append(x)
         found = [x for x in found if x[0]]
         return " ".join([x[0] for x in found]), " ".join([x[1] for x in found])

@@ -7,8 +7,10 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
+from tokenizers import Tokenizer
 
-from tallywright.llm import filter_audit, html_extraction, spelling
+from tallywright.llm import bpe, filter_audit, html_extraction, spelling
 
 WORDS = re.compile("[^\x20\x09-\x0d]+")
 
@@ -238,3 +240,12 @@ def test_near_words_and_their_vectors():
         want = {u for u in vectors if sum(max(0, a - b) for a, b in zip(u, v, strict=True)) <= 1 and sum(max(0, b - a) for a, b in zip(u, v, strict=True)) <= 1}
         assert set(spelling.search(root, vectors, v)) == want
         assert want - {v} <= set(spelling.reached(v)) and v not in spelling.reached(v)
+
+
+def test_op9_small_memory_changes_nothing():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, few = Tokenizer.from_file(path), bpe.Bpe(path, bound=2)
+    for t in ["one two, Two one three. One FOUR five", "one Élan 42x two", "", "three two one, <|endoftext|> one", "ſtraße ΑΣ one" + " word" * 20] * 3:
+        ids = library.encode(t, add_special_tokens=False).ids
+        got, decoded = few.encode(t)
+        assert list(map(int, got.split())) == ids and decoded == library.decode(ids, skip_special_tokens=False)
