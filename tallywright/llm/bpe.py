@@ -3,7 +3,8 @@
 A word's symbols form a doubly linked list; a priority queue holds (rank, place) of the pairs that may merge, and
 entries whose symbols have changed since are skipped. Normalisation (NFC, white space, lower case), the pattern of
 pieces and the word-end mark come from the file's kind: a word-level BPE over bytes with ends of words. White space is
-dropped and always parts pieces, so tasks keep results by word and piece: up to `bound` of the last and as many before. Decoding concatenates vocabulary strings, joined as the
+dropped and always parts pieces, so tasks keep results by word and piece: the last `bound` (counted
+between texts) and as many before. Decoding concatenates vocabulary strings, joined as the
 file's (absent) decoder asks.
 
 Defined results: a null text is empty and has no ids; special strings in a text are their own ids, as in the library.
