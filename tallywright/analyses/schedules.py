@@ -11,8 +11,9 @@ from tallywright.operators.checks import ratio, tie_out
 C = F.col
 
 
-def asset_schedule(assets: DataFrame, start: int, end: int) -> DataFrame:
-    """Asset, period, opening, dep, closing, impairment and active, a row per asset and month from start to end.
+def asset_schedule(assets: DataFrame, start: int, end: int, only: DataFrame | None = None) -> DataFrame:
+    """Asset, period, opening, dep, closing, impairment and active, a row per asset and month from start to end, or for
+    the months of `only` (asset, period) among these alone.
 
     assets: asset, cost, salvage, life, in_service, first_factor, dispose, impair, impair_to; months are whole numbers
     (12 * year + month - 1) and null events are none. Nothing is written before the asset is in service, after its life and
@@ -20,6 +21,9 @@ def asset_schedule(assets: DataFrame, start: int, end: int) -> DataFrame:
     spreads over what is left of the life; the last month of a life lands on the salvage value. Events after the disposal
     are ignored; an asset without a positive life keeps its cost. A null in_service is the first month, a null first_factor
     one. `active` is whether the ledger must show the month: in service and before the disposal.
+
+    Spark takes a table of assets times months for as small as the assets' file, so joins with it are merges by hint: none of
+    its sides is sent through the driver.
     """
     begun = F.coalesce(C("in_service"), F.lit(start))
     gone, hit = C("dispose") - C("_from"), C("impair") - C("_from")
@@ -27,7 +31,11 @@ def asset_schedule(assets: DataFrame, start: int, end: int) -> DataFrame:
     a = assets.withColumn("_from", begun).withColumn("_gone", gone).withColumn("_life", life)
     counts = C("impair_to").isNotNull() & (hit >= 0) & (C("_gone").isNull() | (hit <= C("_gone")))
     a = a.withColumn("_hit", F.when(counts, hit)).withColumn("_f", F.coalesce(C("first_factor"), F.lit(1.0)))
-    grid = a.withColumn("period", F.explode(F.sequence(F.lit(start), F.lit(end)))).withColumn("_i", C("period") - C("_from"))
+    if only is None:
+        months = a.repartition("asset").withColumn("period", F.explode(F.sequence(F.lit(start), F.lit(end))))
+    else:
+        months = a.join(only.filter(C("period").between(start, end)).select("asset", "period").distinct().hint("merge"), "asset")
+    grid = months.withColumn("_i", C("period") - C("_from"))
     base, each = C("cost") - C("salvage"), (C("cost") - C("salvage")) / C("_life")
     rest = F.greatest(C("impair_to") - C("salvage"), F.lit(0.0)) / F.greatest(C("_life") - C("_hit"), F.lit(1))
 
@@ -56,21 +64,21 @@ def asset_schedule(assets: DataFrame, start: int, end: int) -> DataFrame:
 def missing_accruals(schedule: DataFrame, booked: DataFrame) -> DataFrame:
     """Asset, period and dep of active months for which the ledger (asset, period, amount) has no amount."""
     there = booked.filter("amount is not null").select("asset", "period").distinct()
-    return schedule.filter("active").join(there, ["asset", "period"], "left_anti").select("asset", "period", "dep")
+    return schedule.filter("active").join(there.hint("merge"), ["asset", "period"], "left_anti").select("asset", "period", "dep")
 
 
 def disposal_results(schedule: DataFrame, sales: DataFrame) -> DataFrame:
     """Asset, period, nbv, price and result (a gain is positive) of sales (asset, period, price). A sale outside the
     schedule's months has no book value here and a null result."""
     nbv = schedule.select("asset", "period", C("opening").alias("nbv"))
-    return sales.join(nbv, ["asset", "period"], "left").select("asset", "period", "nbv", "price", (C("price") - C("nbv")).alias("result"))
+    return sales.join(nbv.hint("merge"), ["asset", "period"], "left").select("asset", "period", "nbv", "price", (C("price") - C("nbv")).alias("result"))
 
 
 def ledger_tie(schedule: DataFrame, booked: DataFrame, tol: float = 0.5) -> DataFrame:
     """Period, scheduled, missing (the count of months not booked), accrued, ledger and ok. What the ledger lacks is
     reported apart and isn't in `accrued`, which must tie; postings in months without a schedule fail."""
-    lacking = missing_accruals(schedule, booked).withColumn("_lacks", F.lit(1)).select("asset", "period", "_lacks")
-    rows = schedule.join(lacking, ["asset", "period"], "left")
+    there = booked.filter("amount is not null").select("asset", "period").distinct().withColumn("_there", F.lit(1))
+    rows = schedule.join(there.hint("merge"), ["asset", "period"], "left").withColumn("_lacks", F.when(C("active") & C("_there").isNull(), 1))
     mine = rows.groupBy("period").agg(
         F.sum("dep").alias("scheduled"), F.count("_lacks").alias("missing"), F.coalesce(F.sum(F.when(C("_lacks").isNull(), C("dep"))), F.lit(0.0)).alias("accrued")
     )

@@ -36,7 +36,7 @@ sch AS (SELECT asset, CAST(period AS INT) AS period, opening, dep, book AS closi
 bk AS (SELECT asset, period, dep+CASE WHEN period%10=0 AND asset%50=0 THEN 100 ELSE 0 END AS amount FROM sch WHERE active AND (asset+period)%17<>0)"""
 
 
-def _assets(t: Tables) -> DataFrame:
+def _assets(t: Tables, only: DataFrame | None = None) -> DataFrame:
     begun, month = 6 + C("p_partkey") % 24, lambda x: F.ceil(C("p_size") * x).cast("int")
     a = t.part.select(
         C("p_partkey").alias("asset"), C("p_retailprice").alias("cost"), (C("p_retailprice") * 0.1).alias("salvage"), C("p_size").alias("life"),
@@ -44,7 +44,7 @@ def _assets(t: Tables) -> DataFrame:
         F.when(C("p_partkey") % 3 == 0, (begun + month(0.7)).cast("int")).alias("dispose"), F.when(C("p_partkey") % 4 == 0, (begun + month(0.4)).cast("int")).alias("impair"),
         (C("p_retailprice") * 0.3).alias("impair_to"),
     )
-    return schedules.asset_schedule(a, FIRST, LAST)
+    return schedules.asset_schedule(a, FIRST, LAST, only)
 
 
 def _booked(schedule: DataFrame) -> DataFrame:
@@ -81,7 +81,7 @@ def k14_disposals(t: Tables) -> DataFrame:
     gone = C("p_partkey") % 3 == 0
     period = (6 + C("p_partkey") % 24 + F.ceil(C("p_size") * 0.7)).cast("int")
     sales = t.part.filter(gone).select(C("p_partkey").alias("asset"), period.alias("period"), (C("p_retailprice") * 0.4).alias("price"))
-    return rounded(schedules.disposal_results(_assets(t), sales), "nbv", "price", "result", places=4, ties=True)
+    return rounded(schedules.disposal_results(_assets(t, sales), sales), "nbv", "price", "result", places=4, ties=True)
 
 
 #: Flows of entities by line and week, the full grid of lines, and balances.
