@@ -14,9 +14,15 @@ def month(day: str) -> Column:
     return F.year(day) * 12 + F.month(day) - 1
 
 
-def nation_months(t: Tables) -> DataFrame:
-    """nation, ym, value, n of orders."""
-    o = t.orders.select("o_custkey", month("o_orderdate").alias("ym"), "o_totalprice")
+def exact(amount: str) -> Column:
+    """An amount as a decimal, whose sums don't hang on the order of rows."""
+    return C(amount).cast("decimal(28,9)")
+
+
+def nation_months(t: Tables, decimals: bool = False) -> DataFrame:
+    """nation, ym, value, n of orders; decimals: value is an exact sum."""
+    amount = exact("o_totalprice") if decimals else C("o_totalprice")
+    o = t.orders.select("o_custkey", month("o_orderdate").alias("ym"), amount.alias("o_totalprice"))
     return o.join(t.customer.select(C("c_custkey").alias("o_custkey"), C("c_nationkey").alias("nation")), "o_custkey").groupBy("nation", "ym").agg(F.sum("o_totalprice").alias("value"), F.count("*").alias("n"))
 
 

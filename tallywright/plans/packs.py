@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallywright.analyses import funding, statements
 from tallywright.operators import checks as q
 from tallywright.operators import contracts as co
-from tallywright.plans.facts import BY, NM, NY, brand_years, nation_months, nation_years, rounded
+from tallywright.plans.facts import BY, NM, NY, brand_years, exact, nation_months, nation_years, rounded
 from tallywright.plans.registry import Tables, query
 
 C = F.col
@@ -209,7 +209,8 @@ def d10_shape_grain(t: Tables) -> DataFrame:
 
 @query(f"""WITH {NM} SELECT 'grain' AS check_name, true AS ok, '0' AS detail UNION ALL SELECT 'error_literals', count(*) FILTER (nation%10=0)=0, CAST(count(*) FILTER (nation%10=0) AS VARCHAR) FROM nm UNION ALL SELECT 'conserved:value', true, '0.0' UNION ALL SELECT 'ledger', false, count(*)||'/'||count(*) FILTER (nation%2=0) FROM nm""")
 def s8_base_gate(t: Tables) -> DataFrame:
-    """Months of nations as an output: some cells hold an error, and half of the findings don't come out."""
-    nm = nation_months(t).withColumn("note", F.when(C("nation") % 10 == 0, "#REF!").otherwise("fine"))
+    """Months of nations as an output: some cells hold an error, and half of the findings don't come out. Sums are exact, so
+    that a difference is money and not rounding."""
+    nm = nation_months(t, decimals=True).withColumn("note", F.when(C("nation") % 10 == 0, "#REF!").otherwise("fine"))
     flags = nm.select("nation", F.lit("X").alias("anomaly_type"))
-    return co.base_gate(nm, ["nation", "ym"], "value", F.sum("value"), t.orders, F.sum("o_totalprice"), flags, flags.filter("nation % 2 = 0"), 0.01)
+    return co.base_gate(nm, ["nation", "ym"], "value", F.sum("value"), t.orders, F.sum(exact("o_totalprice")), flags, flags.filter("nation % 2 = 0"), 0.01)
