@@ -289,12 +289,14 @@ def derived(text: Column) -> Column:
     return digits * sign * factor / F.when(t.contains("%"), 100).otherwise(1)
 
 
-def reconcile(cells: DataFrame, rows: DataFrame, tol: float = 1e-12) -> DataFrame:
+def reconcile(cells: DataFrame, rows: DataFrame, tol: float = 2.0**-50) -> DataFrame:
     """A status per coordinate of figures in the cells and of tidy rows.
 
     covered: one row, whose value is the text's own (`derived`), or whose raw text is an error's or a date's. scaled: it is
     the text's times the row's scale or with the sign of its colour, and the row says so. mismatch: it is neither. missing:
-    no row; duplicate: more than one; extra: a row without such a cell.
+    no row; duplicate: more than one; extra: a row without such a cell. Two readings of one text differ by the rounding of a few
+    products at most, so values are the same within that (`tol`, relative) and a cent in billions isn't lost. Cells are read
+    twice: sums must be settled before, or their last cents may differ.
     """
     own = derived(C("value_str"))
     other = C("value_str").isNotNull() & (F.trim("value_str").isin(n.ERRORS) | (n.value_kind(C("value_str")) == "DATE"))
@@ -303,7 +305,7 @@ def reconcile(cells: DataFrame, rows: DataFrame, tol: float = 1e-12) -> DataFram
         F.count("*").alias("k"), F.max("raw_value").alias("raw"), F.max("value").alias("value"), F.max("scale_applied").alias("scale"), F.bool_or(F.array_contains("flags", "SIGN_FROM_COLOR")).alias("red")
     )
     j = truth.join(got, [*SHEET, "row", "col"], "full")
-    near = lambda x: F.coalesce(F.abs(C("value") - x) <= tol * (F.abs(x) + 1), F.lit(False))
+    near = lambda x: F.coalesce(F.abs(C("value") - x) <= tol * F.abs(x), F.lit(False))
     same = F.when(C("own").isNull() | C("other"), C("raw") == C("want")).otherwise(near(C("own")))
     told = near(C("own") * C("scale") * F.when(C("red"), -1).otherwise(1))
     status = F.when(C("k").isNull(), "missing").when(C("want").isNull(), "extra").when(C("k") > 1, "duplicate").when(same, "covered").when(told, "scaled").otherwise("mismatch")

@@ -196,7 +196,7 @@ SELECT status, count(*) AS n FROM s GROUP BY status""")
 def t13_reconcile(t: Tables) -> DataFrame:
     """Tidy rows that are damaged after the ingest: of 1996, items 1 are lost, items 2 doubled, items 3 off by a hundredth,
     items 4 scaled by a thousand and say so, and items 5 come twice, once where no cell is."""
-    c = cells(t)
+    c = settle(cells(t))
     rows = settle(grid.ingest(c))
     d = F.when((C("period") == "1996") & (C("metric") == "revenue"), F.right("entity", F.lit(1))).otherwise("")
     kept = rows.withColumn("_d", d).filter("_d <> '1'")

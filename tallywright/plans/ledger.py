@@ -162,7 +162,7 @@ CELLS = "(SELECT 2*count(*) FROM (SELECT DISTINCT p_brand, year(l_shipdate) FROM
 
 @query(f"SELECT 'w' AS workbook, (SELECT count(DISTINCT left(p_brand,length(p_brand)-1)) FROM part) AS blocks, {CELLS} AS kept, 0 AS rejected, {CELLS} AS covered, 0 AS uncovered")
 def t11_ingest_summary(t: Tables) -> DataFrame:
-    c = cells(t)
+    c = settle(cells(t))
     rows = grid.ingest(c)
     return totals.summary(grid.validate(rows), grid.reconcile(c, rows).withColumn("workbook", F.coalesce("workbook", F.lit("w"))), ["workbook"])
 
@@ -170,7 +170,7 @@ def t11_ingest_summary(t: Tables) -> DataFrame:
 @query("WITH b AS (SELECT DISTINCT p_brand, year(l_shipdate) AS y FROM lineitem JOIN part ON l_partkey=p_partkey) SELECT 0 AS no_entity, 2*count(*) FILTER (right(p_brand,1)='3') AS no_period, 0 AS no_metric, 0 AS leaks, 2*count(*) FILTER (right(p_brand,1)='3') AS rejected, 2*count(*) FILTER (right(p_brand,1)='2') AS unreconciled, false AS value_leak, false AS ok FROM b")
 def t16_invariants(t: Tables) -> DataFrame:
     """An output that is damaged after the ingest: rows of items 3 lose their period, those of items 2 are lost."""
-    c = cells(t)
+    c = settle(cells(t))
     whole = settle(grid.ingest(c).filter("not endswith(entity, '2')"))
     rows = whole.withColumn("period", F.when(~C("entity").endswith("3"), C("period")))
     return totals.invariants(grid.validate(rows), grid.reconcile(c, rows))
