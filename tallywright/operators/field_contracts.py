@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallywright.operators.checks import tie_out
+from tallywright.operators.lineage import small
 
 C = F.col
 
@@ -32,8 +33,10 @@ def _reason() -> Column:
 
 
 def judge_fields(rows: DataFrame, specs: DataFrame) -> DataFrame:
-    """rows with status (OK, NO_DATA, VIOLATION) and reason. rows: field, value and any keys; fields without a spec go."""
-    j = rows.join(specs, "field").withColumn("reason", _reason())
+    """rows with status (OK, NO_DATA, VIOLATION) and reason. rows: field, value and any keys; fields without a spec go.
+
+    Few fields hold all rows, so specs are sent to the rows, which stay where they are."""
+    j = rows.join(small(specs), "field").withColumn("reason", _reason())
     status = F.when(C("reason").isNotNull(), "VIOLATION").when(C("value").isNull(), "NO_DATA").otherwise("OK")
     return j.withColumn("status", status).select(*rows.columns, "status", "reason")
 
