@@ -1,5 +1,5 @@
 """Five stages over the documents table, whose decisions take effect. Each calls one of the training-data operators; the
-near-duplicate stage hands simhash.keep_first the pairs of similar.py, an exact join by five-word sets, and not op2's masks."""
+near-duplicate stage links by op2's fingerprints and adds the pairs of similar.py, an exact join by five-word sets."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywright.llm import packing, quality_classifier, quality_rules, similar, simhash, suffix_dedup
-from tallywright.llm.common import shared_folder, table
+from tallywright.llm.common import settle, shared_folder, table
 
 
 #: Words of the shortest passage that counts as repeated: over 50.
@@ -29,8 +29,12 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays that pairs with a five-word similarity of 0.8 or more join."""
-    return simhash.keep_first(docs, find=similar.similar)
+    """One document of each group stays that SimHash fingerprints within three bits, or a five-word similarity of 0.8 or more,
+    join; of rows with one id, one."""
+    named = docs.filter("doc_id is not null")
+    if not named.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        docs = settle(named.dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null")))
+    return simhash.keep_first(docs, find=simhash.with_links_of(similar.similar))
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

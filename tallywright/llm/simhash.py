@@ -148,6 +148,20 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     return marked.join(ids, "fp").select(doc_id, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def with_links_of(find: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A search for near-duplicates by fingerprints to which the links of `find` are added: components of both together. Ids
+    must be different."""
+
+    def both(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+        has_id = F.col(doc_id).isNotNull()
+        mine = settle(near_duplicates(docs, text, doc_id).filter(has_id).select(doc_id, "component_id"))
+        links = mine.unionByName(find(docs, text, doc_id).filter(has_id).select(doc_id, "component_id"))
+        roots = components(links.select(F.col(doc_id).alias("a"), F.col("component_id").alias("b")))
+        return mine.select(doc_id).join(roots, mine[doc_id] == roots.node, "left").select(doc_id, F.coalesce("root", doc_id).alias("component_id"))
+
+    return both
+
+
 def keep_first(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", find: Callable[..., DataFrame] = near_duplicates) -> DataFrame:
     """The document with the smallest id of each component stays; of rows with one id, one. Rows without an id stay."""
     first = settle(find(docs, text, doc_id).filter(F.col(doc_id) == F.col("component_id")).groupBy(doc_id).count())
