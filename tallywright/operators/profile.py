@@ -2,20 +2,41 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallywright.functions.normalize import lenient, number, value_kind
 
 C = F.col
 
 
+def _distinct(table: DataFrame, column: str) -> DataFrame:
+    """column, v (text) and k, how many rows have it: the values are counted as they are stored and become text after that."""
+    as_is = isinstance(table.schema[column].dataType, (T.StringType, T.NumericType, T.BooleanType, T.DateType))
+    v = C(column) if as_is else C(column).cast("string")
+    return table.groupBy(v.alias("v")).agg(F.count("*").alias("k")).select(F.lit(column).alias("column"), C("v").cast("string").alias("v"), "k")
+
+
 def column_stats(table: DataFrame, columns: list[str]) -> DataFrame:
-    """One pass over a table: rows, nulls, shares of dates and numbers, and distinct values of each column."""
-    long = table.select(*(C(c).cast("string").alias(c) for c in columns)).unpivot([], columns, "column", "v")
-    kinds = long.withColumns({"k": value_kind(C("v")), "x": number(C("v"))["value"]})
-    share = lambda *k: F.coalesce(F.avg(F.when(C("v").isNotNull(), C("k").isin(*k).cast("int"))), F.lit(0.0))
-    return kinds.groupBy("column").agg(F.count("*").alias("n"), F.count_if(C("v").isNull()).alias("nulls"), share("DATE").alias("dates"), share("NUM", "PCT").alias("numbers"), F.countDistinct("v").alias("card"), F.coalesce(F.bool_and(C("x") == F.floor("x")), F.lit(False)).alias("whole"), F.min("x").alias("low"), F.max("x").alias("high"))
+    """Rows, nulls, shares of dates and numbers, and distinct values of each column. Each column is counted by its values, so
+    that texts are read once for each distinct value and not for each row."""
+    each = reduce(DataFrame.unionByName, (_distinct(table, c) for c in columns))
+    kinds = each.withColumns({"t": value_kind(C("v")), "x": number(C("v"))["value"]})
+    rows = lambda when: F.coalesce(F.sum(F.when(when, C("k"))), F.lit(0))
+    share = lambda *t: F.coalesce(rows(C("t").isin(*t)) / F.sum(F.when(C("t").isNotNull(), C("k"))), F.lit(0.0))
+    return kinds.groupBy("column").agg(F.sum("k").alias("n"), rows(C("v").isNull()).alias("nulls"), share("DATE").alias("dates"), share("NUM", "PCT").alias("numbers"), F.count("v").alias("card"), F.coalesce(F.bool_and(C("x") == F.floor("x")), F.lit(False)).alias("whole"), F.min("x").alias("low"), F.max("x").alias("high"))
+
+
+def amount(table: DataFrame, column: str) -> Column:
+    """A column's numbers, zero for what is none: `lenient` of its text, which a stored number needn't become."""
+    kind = table.schema[column].dataType
+    if not isinstance(kind, (T.IntegralType, T.DoubleType, T.DecimalType)):
+        return lenient(C(column).cast("string"))
+    x = C(column).cast("double")
+    return F.when(F.abs(x) < float("inf"), x).otherwise(0.0)
 
 
 def roles(stats: DataFrame) -> DataFrame:
@@ -87,19 +108,18 @@ def date_range(table: DataFrame, day: str) -> DataFrame:
 
 def profile(table: DataFrame, columns: list[str]) -> DataFrame:
     """P10: a row per column with its kind, role and rates, without members or absolute values."""
-    s = column_stats(table, columns)
-    k = kinds(s).select("column", "kind").join(roles(s).select("column", "role"), "column")
-    return s.select("column", "n", "card", F.round(C("nulls") / C("n"), 6).alias("null_rate")).join(k, "column")
+    s = roles(kinds(column_stats(table, columns)))
+    return s.select("column", "n", "card", F.round(C("nulls") / C("n"), 6).alias("null_rate"), "kind", "role")
 
 
 def trend(table: DataFrame, period: Column, measures: list[str]) -> DataFrame:
     """Sums of the measures per period; what isn't a number counts as zero."""
-    return table.groupBy(period.alias("period")).agg(*(F.sum(lenient(C(m).cast("string"))).alias(m) for m in measures))
+    return table.groupBy(period.alias("period")).agg(*(F.sum(amount(table, m)).alias(m) for m in measures))
 
 
 def listing(table: DataFrame, by: str | None, measures: list[str]) -> DataFrame:
     """Number of rows and sums of the measures per group and in all; `is_total` marks the last."""
-    sums = [F.count("*").alias("n_rows"), *(F.sum(lenient(C(m).cast("string"))).alias(m) for m in measures)]
+    sums = [F.count("*").alias("n_rows"), *(F.sum(amount(table, m)).alias(m) for m in measures)]
     if by is None:
         return table.agg(*sums).withColumns({"label": F.lit(None).cast("string"), "is_total": F.lit(True)})
     named = table.select(C(by).cast("string").alias("label"), *measures)
@@ -109,13 +129,13 @@ def listing(table: DataFrame, by: str | None, measures: list[str]) -> DataFrame:
 def variance(table: DataFrame, label: str | None, plan: str, actual: str) -> DataFrame:
     """Plan, actual and their difference per label."""
     of = C(label).cast("string") if label else F.lit("all")
-    g = table.groupBy(of.alias("label")).agg(*(F.sum(lenient(C(m).cast("string"))).alias(m) for m in (plan, actual)))
+    g = table.groupBy(of.alias("label")).agg(*(F.sum(amount(table, m)).alias(m) for m in (plan, actual)))
     return g.withColumn("difference", C(actual) - C(plan))
 
 
 def bind(table: DataFrame, output: str | None = None) -> tuple[str, DataFrame, list[str]]:
     """The output that the roles of an unknown table's columns suit (or the one named), made from it, and the measures
-    that it sums. Roles come from one pass over the table; only the names of its columns come to the driver.
+    that it sums. Roles come from a count of each column's values; only the names of its columns come to the driver.
 
     A trend goes by the first time column; a listing by the first dimension; a variance takes the first two measures as plan
     and actual by the first dimension or id. What can't be made as named is listed.
@@ -137,7 +157,7 @@ def sums_conserved(table: DataFrame, made: DataFrame, measures: list[str], tol:
         made = alone if not alone.isEmpty() else made
 
     def total(df: DataFrame) -> DataFrame:
-        return df.agg(*(F.coalesce(F.sum(lenient(C(m).cast("string"))), F.lit(0.0)).alias(m) for m in measures)).unpivot([], measures, "measure", "v")
+        return df.agg(*(F.coalesce(F.sum(amount(df, m)), F.lit(0.0)).alias(m) for m in measures)).unpivot([], measures, "measure", "v")
 
     j = total(table).withColumnRenamed("v", "source").join(total(made).withColumnRenamed("v", "output"), "measure")
     return j.withColumn("ok", F.abs(C("source") - C("output")) <= tol)
