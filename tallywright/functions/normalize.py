@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,10 +40,16 @@ def unit_scale(label: Column) -> Column:
     return F.coalesce(*(F.when(F.lower(label).contains(u), F.lit(UNITS[u])) for u in _LONGEST_FIRST), F.lit(1)).cast("long")
 
 
+#: How a text with a unit behind it ends.
+_UNIT_END = "[" + "".join(sorted({u[-1] for u in UNITS})) + r"]\s*\)?\s*$"
+
+
 def split_scale(x: Column) -> Column:
     """Body and factor of a number with a unit behind it."""
     pattern = r"^(.*\d[\d,.]*\)?)\s*(" + "|".join(_LONGEST_FIRST) + r")\s*(\)?)\s*$"
     body, unit = F.concat(F.regexp_extract(x, pattern, 1), F.regexp_extract(x, pattern, 3)), F.regexp_extract(x, pattern, 2)
+    # The long pattern is for texts that end like a unit alone: it goes back and forth over all others.
+    unit = F.when(x.rlike(_UNIT_END), unit).otherwise("")
     return F.struct(F.when(unit == "", x).otherwise(body).alias("body"), F.when(unit == "", F.lit(1)).otherwise(unit_scale(unit)).cast("long").alias("scale"))
 
 
@@ -50,23 +58,35 @@ _DIGITS = r"(?:[\d,]*\.?\d+(?:[eE][+-]?\d+)?|[\d,]*\d\.)"
 NUMBER = rf"^(?:\(\s*[△▲−-]?\s*[₩$€£]?\s*{_DIGITS}\s*%?\s*\)|[△▲−+-]?\s*[₩$€£]?\s*{_DIGITS}\s*(?:\(-\))?)\s*%?$"
 
 
+#: Digits with a point and a minus at most, and no code.
+PLAIN = r"^(?!0\d+$)-?\d+(?:\.\d+)?$"
+
+
 def number(x: Column) -> Column:
     """Value, scale and whether a mark made it negative, from text; signs, brackets, commas, per cent and units.
     A bracket without its fellow, or a blank between digits, makes it text."""
 
     def read(s: Column) -> Column:
         t = s["body"]
-        negative = t.rlike(r"^\(.*\)$") | t.rlike(r"^[△▲−-]") | t.rlike(r"\(-\)$")
+        negative = t.rlike(r"^\(.*\)$|^[△▲−-]|\(-\)$")
         percent = t.contains("%")
         bare = F.regexp_replace(t, r"\(-\)\s*%?$|[(),△▲−%\s₩$€£+]|^-", "")
         value = F.when(s["there"] & ~is_identifier(t) & t.rlike(NUMBER), F.regexp_replace(bare, "^-", "")).try_cast("double")
         scale, parts = F.when(percent, F.lit(1)).otherwise(s["scale"]), F.when(percent, F.lit(100)).otherwise(F.lit(1))
         return F.struct((value * scale * F.when(negative, -1).otherwise(1) / parts).alias("value"), scale.alias("scale"), negative.alias("negative"))
 
-    split = split_scale(F.trim(ascii_digits(x)))
-    # An array of one holds what is used more than once.
-    held = F.array(F.struct(split["body"].alias("body"), split["scale"].alias("scale"), sentinel(x).isNull().alias("there")))
-    return F.element_at(F.transform(held, read), 1)
+    def marked(t: Column) -> Column:
+        split = split_scale(t)
+        there = F.coalesce(~F.lower(t).isin(SENTINELS), F.lit(True))
+        return held(F.struct(split["body"].alias("body"), split["scale"].alias("scale"), there.alias("there")), read)
+
+    def held(value: Column, then: Callable[[Column], Column]) -> Column:
+        """An array of one holds what is used more than once."""
+        return F.element_at(F.transform(F.array(value), then), 1)
+
+    # Plain digits need none of the marks.
+    plain = lambda t: F.struct(t.try_cast("double").alias("value"), F.lit(1).cast("long").alias("scale"), t.startswith("-").alias("negative"))
+    return held(F.trim(ascii_digits(x)), lambda t: F.when(t.rlike(PLAIN), plain(t)).otherwise(marked(t)))
 
 
 def format_scale(number_format: Column) -> Column:
@@ -95,7 +115,7 @@ def value_kind(x: Column) -> Column:
         F.when(x.isNull() | sentinel(x).isNotNull(), F.lit(None))
         .when(t.rlike(r"^(\d{4}[-/]\d{1,2}|(19|20)\d{2}\.(0?[1-9]|1[0-2]))([-./]\d{1,2})?$"), "DATE")
         .when(t.rlike(r"^[△▲−(-]?[\d,.]+\)?\s*%\)?$"), "PCT")
-        .when(number(x)["value"].isNotNull(), "NUM")
+        .when(t.rlike(PLAIN) | number(x)["value"].isNotNull(), "NUM")
         .otherwise("TEXT")
     )
 
