@@ -20,10 +20,10 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         back = edges.select(F.col("b").alias("u"), F.col("a").alias("v"))
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(back)
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        out = both.filter("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        out = both.filter("v > u").join(low.hint("merge"), "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
         low = edges.groupBy("a").agg(F.min("b").alias("m"))
-        out = edges.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        out = edges.join(low.hint("merge"), "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         out = out.unionByName(low.select("a", F.col("m").alias("b")))
     return out.filter("a <> b").distinct()
 

@@ -2,7 +2,8 @@
 
 cells: workbook, sheet, row, col, value_str (text as shown), bold, merge_row, merge_col, and where known font_rgb and
 number_format. All work is keyed by workbook
-and sheet, so a cluster spreads over sheets.
+and sheet, so a cluster spreads over sheets. Cells may come out of a small file, by which Spark takes them for few: they are dealt
+out by sheet first, and joins are merges by hint, so that no side goes through the driver.
 """
 
 from __future__ import annotations
@@ -45,7 +46,7 @@ def oversize(cells: DataFrame, cap: int = 3_000_000) -> DataFrame:
 def unmerge(cells: DataFrame) -> DataFrame:
     """S3, B1: blank cells of a merged range take the value of its anchor."""
     anchor = cells.select(*SHEET, C("row").alias("merge_row"), C("col").alias("merge_col"), C("value_str").alias("_a"))
-    j = cells.join(anchor, [*SHEET, "merge_row", "merge_col"], "left")
+    j = cells.repartition(*SHEET).join(anchor.hint("merge"), [*SHEET, "merge_row", "merge_col"], "left")
     return j.withColumn("value_str", F.when(F.coalesce(F.trim("value_str"), F.lit("")) == "", C("_a")).otherwise(C("value_str"))).drop("_a").select(cells.columns)
 
 
@@ -66,14 +67,14 @@ def blocks(cells: DataFrame) -> DataFrame:
     runs = row_runs(cells).withColumn("_g", C("row") - F.row_number().over(w))
     runs = settle(runs.withColumn("id", F.xxhash64(*SHEET, "c0", "_g")).drop("_g"))
     up = runs.select(*SHEET, (C("row") + 1).alias("row"), C("c0").alias("u0"), C("c1").alias("u1"), C("id").alias("up"))
-    edge = runs.join(up, [*SHEET, "row"]).filter("u0 <= c1 + 1 and u1 >= c0 - 1 and id <> up").select(C("id").alias("a"), C("up").alias("b"))
+    edge = runs.join(up.hint("merge"), [*SHEET, "row"]).filter("u0 <= c1 + 1 and u1 >= c0 - 1 and id <> up").select(C("id").alias("a"), C("up").alias("b"))
     root = components(edge).select(C("node").alias("id"), "root")
-    label = runs.select("id").distinct().join(root, "id", "left").select("id", F.coalesce("root", "id").alias("label"))
-    placed = runs.join(label, "id")
+    label = runs.select("id").distinct().join(root.hint("merge"), "id", "left").select("id", F.coalesce("root", "id").alias("label"))
+    placed = runs.join(label.hint("merge"), "id")
     column = placed.select(*SHEET, C("label").alias("block_id"), F.explode(F.sequence("c0", "c1")).alias("col")).groupBy(*SHEET, "block_id", "col").agg(F.count("*").alias("k"))
     fullest = column.groupBy(*SHEET, "block_id").agg(F.max("k").alias("fullest"))
     box = placed.groupBy(*SHEET, C("label").alias("block_id")).agg(F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("c0").alias("c0"), F.max("c1").alias("c1"), F.sum("n").alias("n"), F.countDistinct("row").alias("rows"))
-    box = box.join(fullest, [*SHEET, "block_id"])
+    box = box.join(fullest.hint("merge"), [*SHEET, "block_id"])
     tall = C("r1") - C("r0") + 1
     area = (C("r1") - C("r0") + 1) * (C("c1") - C("c0") + 1)
     return box.filter((C("c1") > C("c0")) & (C("r1") - C("r0") >= 2) & ((C("n") / area >= 0.55) | (C("rows") / tall >= 0.9) & (C("fullest") >= 0.5 * tall))).drop("n", "rows", "fullest")
@@ -96,7 +97,7 @@ def within(cells: DataFrame, rectangles: DataFrame, keys: list[str], tile: int =
     near it and not all of its sheet. A tile doesn't hold more cells than its rows and columns, so no key is hot.
     """
     dealt = cells.withColumn("_tile", F.floor(C("row") / tile))
-    return dealt.join(tiles(rectangles, tile), [*keys, "_tile"]).filter("row between r0 and r1 and col between c0 and c1").drop("_tile")
+    return dealt.join(tiles(rectangles, tile).hint("merge"), [*keys, "_tile"]).filter("row between r0 and r1 and col between c0 and c1").drop("_tile")
 
 
 def value_like(x: Column) -> Column:
@@ -114,7 +115,7 @@ def strip_titles(placed: DataFrame) -> DataFrame:
     marked = row.withColumn("_t", F.min(title).over(down)).withColumn("_n", F.min(note).over(back))
     unit = marked.filter("_t").groupBy(*key).agg(F.max(F.regexp_extract("t", r"단위\s*[:：]\s*([^)]+)", 1)).alias("unit"))
     keep = marked.filter("not _t and not _n").select(*key, "row")
-    return placed.join(keep, [*key, "row"]).join(unit, key, "left")
+    return placed.join(keep.hint("merge"), [*key, "row"]).join(unit.hint("merge"), key, "left")
 
 
 # Texts that stand for a missing figure and take its place in the grid.
@@ -139,7 +140,7 @@ def value_slots(body: DataFrame) -> DataFrame:
     main = marked.groupBy(*key, "col").agg((F.count_if("_s") > F.count_if(~C("_s") & ~C("_y"))).alias("_main"))
     row = Window.partitionBy(*key, "row")
     above = Window.partitionBy(*key, "col").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
-    seen = marked.withColumns({"_r": F.max("_f").over(row), "_a": F.coalesce(F.max("_f").over(above), F.lit(False))}).join(main, [*key, "col"])
+    seen = marked.withColumns({"_r": F.max("_f").over(row), "_a": F.coalesce(F.max("_f").over(above), F.lit(False))}).join(main.hint("merge"), [*key, "col"])
     return seen.withColumn("_v", C("_s") | C("_y") & C("_main") & C("_r") | C("_y") & C("_main") & C("_a") & (F.count_if("_y").over(row) < 2)).drop("_f", "_y", "_s", "_r", "_a")
 
 
@@ -153,13 +154,13 @@ def classify(body: DataFrame) -> DataFrame:
     judged = value_slots(body)
     v = C("_v").cast("int")
     first = judged.groupBy(*key).agg(F.coalesce(F.min(F.when(C("_main") & (C("col") > C("c0")), C("col"))), F.min("c0") + 1).alias("_first"))
-    judged = settle(judged.join(first, key))
+    judged = settle(judged.join(first.hint("merge"), key))
     rows = judged.groupBy(*key, "row").agg(F.avg(F.when(C("col") >= C("_first"), v)).alias("f"))
     w = Window.partitionBy(*key).orderBy("row")
     start = rows.withColumn("ok", (C("f") >= 0.5) & (F.coalesce(F.lead("f").over(w), C("f")) >= 0.5)).filter("ok").groupBy(*key).agg((F.min("row") - 1).alias("header_end"))
-    b = judged.join(start, key)
+    b = judged.join(start.hint("merge"), key)
     cols = b.filter("row > header_end").groupBy(*key, "col").agg(F.avg(v).alias("f")).filter("f >= 0.5").groupBy(*key).agg((F.min("col") - 1).alias("label_end"))
-    return b.join(cols, key).drop("_v", "_main", "_first")
+    return b.join(cols.hint("merge"), key).drop("_v", "_main", "_first")
 
 
 def _corner(data: DataFrame, heads: DataFrame, keys: list[str], row: str, col: str) -> DataFrame:
@@ -207,16 +208,16 @@ def unpivot(body: DataFrame) -> DataFrame:
     key = [*SHEET, "block_id"]
     data = body.filter("row > header_end and col > label_end")
     heads = body.filter("row <= header_end and col > label_end").select(*key, C("row").alias("hr"), "col", C("value_str").alias("h"))
-    grid = data.select(*key, "col").distinct().join(heads.select(*key, "hr").distinct(), key).join(heads, [*key, "hr", "col"], "left")
+    grid = data.select(*key, "col").distinct().join(heads.select(*key, "hr").distinct().hint("merge"), key).join(heads.hint("merge"), [*key, "hr", "col"], "left")
     w = Window.partitionBy(*key, "hr").orderBy("col")
     col_hdrs = grid.withColumn("h", F.last("h", True).over(w)).groupBy(*key, "col").agg(F.transform(F.sort_array(F.collect_list(F.struct("hr", "h"))), lambda x: n.strip_footnote(x["h"])).alias("col_hdrs"))
     bold = F.coalesce(C("bold"), F.lit(False)) if "bold" in body.columns else F.lit(False)
     labels = body.filter("row > header_end and col <= label_end").select(*key, "row", C("col").alias("lc"), C("value_str").alias("l"), bold.alias("lb"))
-    all_rows = data.select(*key, "row").distinct().join(labels.select(*key, "lc").distinct(), key).join(labels, [*key, "row", "lc"], "left")
+    all_rows = data.select(*key, "row").distinct().join(labels.select(*key, "lc").distinct().hint("merge"), key).join(labels.hint("merge"), [*key, "row", "lc"], "left")
     w = Window.partitionBy(*key, "lc").orderBy("row")
     row_hdrs = all_rows.withColumn("l", F.last("l", True).over(w)).groupBy(*key, "row").agg(F.transform(F.sort_array(F.collect_list(F.struct("lc", "l"))), lambda x: n.strip_footnote(F.trim(x["l"]))).alias("row_hdrs"), F.min_by(n.indent_level(C("l")), "lc").alias("level"), F.coalesce(F.max("lb"), F.lit(False)).alias("label_bold"))
     none = F.array().cast("array<string>")
-    long = data.join(col_hdrs, [*key, "col"], "left").join(row_hdrs, [*key, "row"], "left")
+    long = data.join(col_hdrs.hint("merge"), [*key, "col"], "left").join(row_hdrs.hint("merge"), [*key, "row"], "left")
     return long.withColumns({"col_hdrs": F.coalesce("col_hdrs", none), "row_hdrs": F.coalesce("row_hdrs", none), "level": F.coalesce("level", F.lit(0)), "label_bold": F.coalesce("label_bold", F.lit(False))})
 
 

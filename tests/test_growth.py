@@ -101,3 +101,14 @@ def test_plain_digits_skip_the_long_patterns(spark):
     assert [r.s for r in got] == [1, 1, 1, 1, 1, 1, 10**8, 1000, 1, 1]
     assert [r.k for r in got] == ["NUM", "NUM", "TEXT", "NUM", "NUM", "DATE", "NUM", "NUM", None, None]
     assert "(?!0" in str(v)
+
+
+def test_grid_steps_send_no_cells(spark):
+    kind = "workbook string, sheet string, row int, col int, value_str string, merge_row int, merge_col int"
+    cells = spark.createDataFrame([("w", f"s{s}", r, c, f"{r}.5", None, None) for s in range(3) for r in range(1, 5) for c in (1, 2)], kind)
+    full = grid.filled(grid.unmerge(cells))
+    found = grid.blocks(full)
+    placed = grid.in_blocks(full, found)
+    for step in (full, found, placed, grid.strip_titles(placed)):
+        assert "Broadcast" not in plan(step)
+    assert sorted((r.sheet, r.r0, r.c0, r.r1, r.c1) for r in found.collect()) == [(f"s{s}", 1, 1, 4, 2) for s in range(3)]
