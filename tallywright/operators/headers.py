@@ -24,12 +24,12 @@ def absorb_bands(cells: DataFrame, found: DataFrame, gap: int = 4, most: int = 6
     c = filled(cells).select(*SHEET, "row", "col", numeric.alias("_v"))
     inside = C("col").between(C("c0"), C("c1"))
     above = tiles(found.select(*BLOCK, "c0", "c1", (C("r0") - reach).alias("r0"), (C("r0") - 1).alias("r1")))
-    near = c.withColumn("_tile", F.floor(C("row") / TILE)).join(above, [*SHEET, "_tile"]).filter("row between r0 and r1").withColumn("r0", C("r1") + 1).drop("_tile", "r1")
+    near = c.withColumn("_tile", F.floor(C("row") / TILE)).join(above.hint("merge"), [*SHEET, "_tile"]).filter("row between r0 and r1").withColumn("r0", C("r1") + 1).drop("_tile", "r1")
     rows = near.groupBy(*BLOCK, "r0", "c0", "c1", "row").agg(F.count_if(inside).alias("_k"), F.sum(F.when(inside, C("_v")).otherwise(0)).alias("_n"))
     owner = found.select(*SHEET, C("block_id").alias("_owner"), C("r0").alias("_o0"), C("r1").alias("_o1"))
     owner = tiles(owner.withColumnsRenamed({"_o0": "r0", "_o1": "r1"})).withColumnsRenamed({"r0": "_o0", "r1": "_o1"})
-    owned = rows.withColumn("_tile", F.floor(C("row") / TILE)).join(owner, [*SHEET, "_tile"]).filter((C("row").between(C("_o0"), C("_o1"))) & (C("_owner") != C("block_id")))
-    rows = rows.join(owned.groupBy(*BLOCK, "row").agg(F.min("_owner").alias("_owner")), [*BLOCK, "row"], "left")
+    owned = rows.withColumn("_tile", F.floor(C("row") / TILE)).join(owner.hint("merge"), [*SHEET, "_tile"]).filter((C("row").between(C("_o0"), C("_o1"))) & (C("_owner") != C("block_id")))
+    rows = rows.join(owned.groupBy(*BLOCK, "row").agg(F.min("_owner").alias("_owner")).hint("merge"), [*BLOCK, "row"], "left")
     up = Window.partitionBy(*BLOCK).orderBy(F.desc("row"))
     blank = F.coalesce(F.lag("row").over(up), C("r0")) - C("row") - 1
     first = F.first("_owner", True).over(up)
@@ -38,7 +38,7 @@ def absorb_bands(cells: DataFrame, found: DataFrame, gap: int = 4, most: int = 6
     joins = rows.withColumn("_ok", heading & placed & (blank <= gap)).withColumn("_ok", F.min("_ok").over(up)).filter("_ok")
     top = joins.groupBy(*BLOCK).agg(F.min("row").alias("_top"))
     gone = joins.filter("_owner is not null").select(*SHEET, C("_owner").alias("block_id")).distinct()
-    return found.join(top, BLOCK, "left").withColumn("r0", F.coalesce("_top", "r0")).drop("_top").join(gone, BLOCK, "left_anti").select(found.columns)
+    return found.join(top.hint("merge"), BLOCK, "left").withColumn("r0", F.coalesce("_top", "r0")).drop("_top").join(gone.hint("merge"), BLOCK, "left_anti").select(found.columns)
 
 
 def drop_repeated(body: DataFrame) -> DataFrame:
@@ -46,8 +46,8 @@ def drop_repeated(body: DataFrame) -> DataFrame:
     number = cell_type(C("value_str")) == "numeric"
     text = F.when(~number, F.struct("col", F.lower(F.regexp_replace("value_str", r"\s+", "")).alias("t")))
     rows = body.groupBy(*BLOCK, "row").agg(F.sort_array(F.collect_list(text)).alias("_s"), F.max(number).alias("_v"), F.max("header_end").alias("_h")).filter(F.size("_s") > 0)
-    again = rows.filter("row > _h and not _v").join(rows.filter("row <= _h").select(*BLOCK, "_s").distinct(), [*BLOCK, "_s"], "left_semi")
-    return body.join(again.select(*BLOCK, "row"), [*BLOCK, "row"], "left_anti")
+    again = rows.filter("row > _h and not _v").join(rows.filter("row <= _h").select(*BLOCK, "_s").distinct().hint("merge"), [*BLOCK, "_s"], "left_semi")
+    return body.join(again.select(*BLOCK, "row").hint("merge"), [*BLOCK, "row"], "left_anti")
 
 
 def propagate(found: DataFrame) -> DataFrame:

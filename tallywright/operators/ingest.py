@@ -27,7 +27,7 @@ def share_headers(body: DataFrame) -> DataFrame:
     spans = body.groupBy(*headers.BLOCK).agg(F.min("row").alias("r0"), F.min("col").alias("c0"), F.max("col").alias("c1"), F.max("header_end").alias("header_end"), F.max("label_end").alias("label_end"))
     takes = headers.propagate(spans.withColumn("has_header", C("header_end") >= C("r0"))).filter("header_from is not null")
     takes = takes.select(*grid.SHEET, C("block_id").alias("_to"), C("header_from").alias("block_id"), C("header_end").alias("_h"), C("label_end").alias("_l"))
-    lent = body.filter("row <= header_end").join(takes, headers.BLOCK)
+    lent = body.filter("row <= header_end").join(takes.hint("merge"), headers.BLOCK)
     lent = lent.withColumns({"block_id": C("_to"), "header_end": C("_h"), "label_end": C("_l")}).select(body.columns)
     return body.unionByName(lent)
 
@@ -42,6 +42,6 @@ def ingest(cells: DataFrame) -> DataFrame:
     labelled = rows.withColumns({"label": F.coalesce("entity", F.lit("")), "bold": C("label_bold"), "_p": F.coalesce("period", F.lit("")), "_m": F.coalesce("metric", F.lit(""))})
     scored = settle(totals.score_subtotals(labelled, [*headers.BLOCK, "_p", "_m"]).drop("label", "bold", "score"))
     wrong = totals.subtotal_mismatches(scored, [*headers.BLOCK, "_p", "_m"]).select(*headers.BLOCK, "src_row", "src_col", F.lit(True).alias("_w"))
-    marked = scored.join(wrong, [*headers.BLOCK, "src_row", "src_col"], "left")
+    marked = scored.join(wrong.hint("merge"), [*headers.BLOCK, "src_row", "src_col"], "left")
     flags = F.when(C("_w"), F.concat("flags", F.array(F.lit("SUBTOTAL_ARITH_MISMATCH")))).otherwise(C("flags"))
     return marked.withColumn("flags", flags).select(rows.columns)

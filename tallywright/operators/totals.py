@@ -23,7 +23,7 @@ def score_subtotals(rows: DataFrame, keys: list[str], tol: float = 1e-6) -> Data
     others = C("_k") - (~label).cast("int")
     sums_up = (C("_n") >= 2) & (others >= 1) & (F.abs(C("value") - (C("_s") - own)) <= tol * (F.abs("value") + 1))
     score = label.cast("int") + F.coalesce(C("bold"), F.lit(False)).cast("int") + F.coalesce(sums_up, F.lit(False)).cast("int")
-    j = rows.join(sums, keys, "left").withColumn("score", score)
+    j = rows.join(sums.hint("merge"), keys, "left").withColumn("score", score)
     return j.withColumn("row_role", F.when(C("score") >= 2, "subtotal").otherwise(C("row_role"))).drop("_s", "_k", "_n")
 
 
