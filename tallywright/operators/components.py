@@ -30,28 +30,33 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Union-find over the edges of one task."""
-    up: dict[int, int] = {}
+    up: dict = {}
 
-    def root(x: int) -> int:
+    def root(x):
         while up.setdefault(x, x) != x:
             up[x] = up[up[x]]
             x = up[x]
         return x
 
+    kind = None
     for batch in batches:
+        kind = batch.column(0).type
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             a, b = root(a), root(b)
             up[max(a, b)] = min(a, b)
-    nodes = [x for x in up if root(x) != x]
-    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], names=["node", "root"])
+    if kind is not None:
+        nodes = [x for x in up if root(x) != x]
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array([root(x) for x in nodes], kind)], names=["node", "root"])
 
 
 def components(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
-    """node, root for all nodes of edges (a, b) that aren't a root: the smallest node reachable. Edges may repeat or be loops."""
+    """node, root for all nodes of edges (a, b) that aren't a root: the smallest node reachable. Edges may repeat or be loops;
+    nodes may be of any type that Python orders as Spark does."""
     pairs = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
     state = settle(pairs)
     if state.count() <= one_task:
-        return state.coalesce(1).mapInArrow(_solve, "node long, root long")
+        kind = state.schema["a"].dataType.simpleString()
+        return state.coalesce(1).mapInArrow(_solve, f"node {kind}, root {kind}")
     mark = None
     while True:
         state = settle(_star(_star(state, True), False))

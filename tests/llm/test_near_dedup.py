@@ -1,9 +1,12 @@
 """The pipeline's near-duplicates: SimHash links count, exact ones are added, and chains over both are one group."""
 
 import random
+from pathlib import Path
 
 import corpus_pipeline
 from tallywright.llm import similar, simhash
+from tallywright.operators import components
+from tallywright.operators.lineage import shared_folder
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -38,3 +41,20 @@ def test_simhash_links_count_and_join_with_exact_ones(spark):
 def test_rows_with_one_id(spark):
     docs = spark.createDataFrame([(1, "a b c", "en", "s", 5), (1, "other text of its own", "en", "s", 21), (2, "third text", "en", "s", 10)], DOCS)
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [1, 2]
+
+
+def test_few_links_are_solved_in_one_written_table(spark):
+    written = lambda: {p.name for p in Path(shared_folder(spark).removeprefix("file:")).glob("rdd-*")}
+    chain = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(7, 7), (3, 2), (100, 101)], "a long, b long")
+    for find in (simhash.components, similar.components):
+        before = written()
+        assert {r.node: r.root for r in find(chain).collect()} == {k: 0 for k in range(1, 61)} | {101: 100}
+        assert len(written() - before) <= 1
+
+
+def test_links_between_texts_by_either_way(spark):
+    edges = spark.createDataFrame([("b", "a"), ("c", "b"), ("é", "z"), ("😀", "\uffee"), (None, "c"), ("x", "x")], "a string, b string")
+    for one in (components.ONE_TASK, 0):
+        got = components.components(edges, one)
+        assert {r.node: r.root for r in got.collect()} == {"b": "a", "c": "a", "é": "z", "😀": "\uffee"}
+        assert components.components(edges.limit(0), one).count() == 0
