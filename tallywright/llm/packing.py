@@ -8,7 +8,7 @@ each piece its sequence. Full pieces need no partner.
 
 A document's ids are its text's ids and the end id. Documents longer than `size` are cut from the end, so only the first
 piece can be shorter. Texts are split at white space before tokenizing, where this vocabulary's pattern always splits
-too, so ids are looked up by word and equal those of the whole text.
+too, so each different word of a batch is encoded once and ids equal those of the whole text.
 
 Defined results: null and empty texts are the end id alone; equal rows are packed as often as they occur.
 """
@@ -18,14 +18,13 @@ from __future__ import annotations
 import json
 import os
 import re
-import struct
 import zlib
 from collections import Counter
-from collections.abc import Callable
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,46 +38,97 @@ _chunks = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+").findall
 _kept: dict = {}
 
 
-def encoder(path: str, bound: int = 150_000) -> Callable[[str], bytes]:
-    """Text to its ids as little-endian 32-bit numbers, kept by word up to a bound. Words of Latin letters are encoded
-    by a second library from the same vocabulary, which takes half as long; all others by the file's own library."""
-    if path in _kept:
-        return _kept[path]
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
-    special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-    at_special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
-    with open(path, encoding="utf-8") as f:
-        vocab = json.load(f)["model"]["vocab"]
-    byte_of = {letter: b for b, letter in byte_letters().items()}
-    ranks = {bytes(byte_of[c] for c in s): i for s, i in vocab.items() if s not in special}
-    latin = tiktoken.Encoding("latin", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-
-    def encode(text: str) -> bytes:
-        known = memo(path)
-        parts = [text]
-        if at_special and any(s in text for s in special):
-            parts = at_special.split(text)
-        chunks = [c for p in parts for c in ([p] if p in special else _chunks(p))]
-        try:
-            return b"".join(map(known.__getitem__, chunks))
-        except KeyError:
-            if len(known) > bound:
-                known.clear()
-            new = {c for c in chunks if c not in known}
-            other = [c for c in new if max(c) > "\u024f" or c in special]
-            for c in new.difference(other):
-                known[c] = struct.pack(f"<{len(ids := latin(c))}I", *ids)
-            for c, e in zip(other, tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
-                known[c] = np.array(e.ids, "<u4").tobytes()
-            return b"".join(map(known.__getitem__, chunks))
-
-    _kept[path] = encode
-    return encode
+class Encoder:
+    """Texts to their ids as little-endian 32-bit numbers.
+
+    A batch of texts is split at spaces, and each different word that isn't remembered is encoded once: those of Latin
+    letters in one call of a second library with the same vocabulary, all others by the file's own library. A space
+    before a character that isn't white always opens a token, so words can be encoded side by side. Texts with a
+    space between white characters, where that space doesn't open one, and with special tokens are cut into chunks.
+    """
+
+    def __init__(self, path: str, bound: int = 150_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.path, self.bound = path, bound
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.at_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
+        with open(path, encoding="utf-8") as f:
+            vocab = json.load(f)["model"]["vocab"]
+        byte_of = {letter: b for b, letter in byte_letters().items()}
+        ranks = {bytes(byte_of[c] for c in s): i for s, i in vocab.items() if s not in self.special}
+        self.latin = tiktoken.Encoding("latin", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.n_bytes = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.n_bytes[list(ranks.values())] = [len(b) for b in ranks]
+
+    def __call__(self, text: str) -> bytes:
+        return self.all(pa.array([text]))[0]
+
+    def all(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text. Words that a batch has twice are remembered for the next ones, up to a bound."""
+        kept = memo(self.path)
+        words, chunks = kept.setdefault("words", {}), kept.setdefault("chunks", {})
+        if len(words) + len(chunks) > self.bound:
+            words.clear()
+            chunks.clear()
+        texts = pc.fill_null(texts, "")
+        hard = pc.match_substring_regex(texts, f"[{WHITE}] (?:[{WHITE}]|$)")
+        for s in self.special:
+            hard = pc.or_(hard, pc.match_substring(texts, s))
+        split = pc.split_pattern(pc.if_else(hard, "", texts), " ")
+        found = split.flatten().dictionary_encode()
+        at, ends, listed = found.indices.to_numpy(), split.offsets.to_numpy().tolist(), _strings(found.dictionary)
+        ids = list(map(words.get, listed))
+        lost = np.array([k for k, x in enumerate(ids) if x is None], np.int64)
+        often = np.bincount(at, minlength=len(listed)) > 1
+        for k, x in zip(lost.tolist(), self._words(found.dictionary.take(pa.array(lost)), chunks), strict=True):
+            ids[k] = x
+            if often[k]:
+                words[listed[k]] = x
+        first = self._chunks([listed[at[lo]] for lo in ends[:-1]], chunks)  # no space before it
+        out = [x + b"".join(map(ids.__getitem__, at[lo + 1 : hi].tolist())) for x, lo, hi in zip(first, ends[:-1], ends[1:], strict=True)]
+        for k, x in zip(np.flatnonzero(hard).tolist(), self._chunks(_strings(texts.filter(hard)), chunks), strict=True):
+            out[k] = x
+        return out
+
+    def _words(self, words: pa.Array, known: dict[str, bytes]) -> list[bytes]:
+        """The ids of each word with a space before it."""
+        other = np.asarray(pc.match_substring_regex(words, f"^(?:[{WHITE}]|$)|[^\\x00-\u024f]"))
+        plain, out = words.filter(pa.array(~other)), np.empty(len(words), object)
+        ids = np.array(self.latin("".join(" " + w for w in _strings(plain))), "<u4")
+        last = np.searchsorted(np.cumsum(self.n_bytes[ids]), np.cumsum(pc.binary_length(plain).to_numpy() + 1)) + 1
+        ends, raw = [0, *(4 * last).tolist()], ids.tobytes()
+        out[~other] = [raw[lo:hi] for lo, hi in zip(ends[:-1], ends[1:], strict=True)]
+        out[other] = self._chunks([" " + w for w in _strings(words.filter(pa.array(other)))], known)
+        return out.tolist()
+
+    def _chunks(self, texts: list[str], known: dict[str, bytes]) -> list[bytes]:
+        """The ids of each text, cut at white space, where the vocabulary's pattern always splits."""
+        cut = []
+        for text in texts:
+            parts = self.at_special.split(text) if self.at_special and any(s in text for s in self.special) else [text]
+            cut.append([c for p in parts for c in ([p] if p in self.special else _chunks(p))])
+        new = {c for chunks in cut for c in chunks if c not in known}
+        other = [c for c in new if max(c) > "\u024f" or c in self.special]
+        for c in new.difference(other):
+            known[c] = np.array(self.latin(c), "<u4").tobytes()
+        for c, e in zip(other, self.library.encode_batch_fast(other, add_special_tokens=False), strict=True):
+            known[c] = np.array(e.ids, "<u4").tobytes()
+        return [b"".join(map(known.__getitem__, chunks)) for chunks in cut]
+
+
+def _strings(x: pa.Array) -> list[str]:
+    return x.to_numpy(zero_copy_only=False).tolist()  # much faster than to_pylist
+
+
+def encoder(path: str) -> Encoder:
+    if path not in _kept:
+        _kept[path] = Encoder(path)
+    return _kept[path]
 
 
 def cut(n: int, size: int = SIZE) -> list[tuple[int, int]]:
@@ -94,9 +144,9 @@ def pieces(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id
     last = np.array([end], "<u4").tobytes()
 
     def fn(texts: pa.Array) -> list:
-        encode, out = encoder(path), []
-        for x in texts.to_pylist():
-            ids = encode(x or "") + last
+        out = []
+        for ids in encoder(path).all(texts):
+            ids += last
             out.append([{"start": s, "length": n, "ids_crc32": zlib.crc32(ids[4 * s : 4 * (s + n)])} | ({"ids": np.frombuffer(ids[4 * s : 4 * (s + n)], "<u4").astype(np.int32).tolist()} if with_ids else {}) for s, n in cut(len(ids) // 4, size)])
         return [out]
 
